@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import secrets_dfa
+from shelfmark.llm import bpe_codec, secrets_dfa
 from shelfmark.llm.common import read_table
 
 
@@ -12,6 +13,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_dfa.secret_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_scan,)}
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe_codec.round_trip_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op4_secret_scan, op5_bpe_codec)}
 
 ORACLE_SQL: dict[str, str] = {}
