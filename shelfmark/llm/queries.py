@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe_codec, secrets_dfa
+from shelfmark.llm import bpe_codec, secrets_dfa, winnowing
 from shelfmark.llm.common import read_table
 
 
@@ -18,6 +18,11 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_scan, op5_bpe_codec)}
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return winnowing.contamination_report(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+QUERIES = {f.__name__: f for f in (op4_secret_scan, op5_bpe_codec, op9_winnowing)}
+
+ORACLE_SQL: dict[str, str] = {"op9_winnowing": winnowing.ORACLE_SQL}
