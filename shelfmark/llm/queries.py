@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe_codec, secrets_dfa, winnowing
+from shelfmark.llm import bpe_codec, embedding_dedup, secrets_dfa, winnowing
 from shelfmark.llm.common import read_table
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_dfa.secret_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -23,6 +27,6 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contamination_report(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_scan, op5_bpe_codec, op9_winnowing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op4_secret_scan, op5_bpe_codec, op9_winnowing)}
 
-ORACLE_SQL: dict[str, str] = {"op9_winnowing": winnowing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": embedding_dedup.ORACLE_SQL, "op9_winnowing": winnowing.ORACLE_SQL}
