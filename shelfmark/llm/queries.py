@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe_codec, embedding_dedup, secrets_dfa, winnowing
+from shelfmark.llm import bpe_codec, embedding_dedup, prob_minhash, secrets_dfa, winnowing
 from shelfmark.llm.common import read_table
 
 
@@ -22,11 +22,15 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
 
 
+def op6_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prob_minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return winnowing.contamination_report(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op4_secret_scan, op5_bpe_codec, op9_winnowing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op4_secret_scan, op5_bpe_codec, op6_prob_minhash, op9_winnowing)}
 
 ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": embedding_dedup.ORACLE_SQL, "op9_winnowing": winnowing.ORACLE_SQL}
