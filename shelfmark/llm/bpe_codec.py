@@ -25,13 +25,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import tiktoken
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.pretokens import pretokenize
 
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 5 << 20
 #: Buckets of words for each shuffle partition of the session.
 BUCKETS_PER_PARTITION = 2
 
@@ -92,51 +91,52 @@ def _split(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _explode(buckets: int):
-    """Texts -> rows (block, bucket, blob, ids): a block's words by bucket, and its positions under a
-    bucket of its own below zero."""
+def _explode(buckets: int, part: str):
+    """Texts -> rows (block, bucket, blob, ids).  Part ``words`` gives the distinct words of each block by
+    bucket; part ``places`` gives one row a block with its positions, below all buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 24
+        done = 0
         for batch in batches:
+            part_id = batch.column(2)[0].as_py() if batch.num_rows else 0
             texts = [t or "" for t in batch.column(1).to_pylist()]
+            id_type = pa.list_(batch.schema.field(0).type)
             for a, b in _split(texts):
                 tokens, counts = pretokenize(texts[a:b])
                 coded = tokens.dictionary_encode()
+                del tokens
                 words = coded.dictionary.to_pylist()
                 where = np.fromiter((crc32(w) % buckets for w in words), np.int64, len(words))
                 order = np.argsort(where, kind="stable")
-                edges = np.searchsorted(where[order], np.arange(buckets + 1))
-                blobs, keys = [], []
-                for k in np.flatnonzero(np.diff(edges)):
-                    own = [words[i] for i in order[edges[k] : edges[k + 1]]]
-                    sizes = np.fromiter(map(len, own), np.int64, len(own))
-                    blobs.append(_pack(*_pack_numbers(sizes), b"".join(own)))
-                    keys.append(int(k))
-                # after the ids return bucket by bucket, a word stands at its place in this order
-                rank = np.empty(len(words), np.int64)
-                rank[order] = np.arange(len(words))
-                positions = rank[coded.indices.to_numpy()]
-                blobs.append(_pack(*_pack_numbers(positions), *_pack_numbers(counts)))
-                keys.append(-1 - block)
-                ids = pa.array([None] * (len(keys) - 1) + [batch.column(0)[a:b].to_pylist()], pa.list_(batch.schema.field(0).type))
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(blobs, pa.binary()), ids], names=["block", "bucket", "blob", "ids"])
-                block += 1
+                if part == "words":
+                    edges = np.searchsorted(where[order], np.arange(buckets + 1))
+                    keys = np.flatnonzero(np.diff(edges)).tolist()
+                    blobs = []
+                    for k in keys:
+                        own = [words[i] for i in order[edges[k] : edges[k + 1]]]
+                        blobs.append(_pack(*_pack_numbers(np.fromiter(map(len, own), np.int64, len(own))), b"".join(own)))
+                    ids = [None] * len(keys)
+                else:
+                    # the ids come back bucket by bucket, where a word stands at its place in this order
+                    rank = np.empty(len(words), np.int64)
+                    rank[order] = np.arange(len(words))
+                    blobs = [_pack(*_pack_numbers(rank[coded.indices.to_numpy()]), *_pack_numbers(counts))]
+                    keys, ids = [-1], [batch.column(0)[a:b].to_pylist()]
+                block = (part_id << 32) + done
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(blobs, pa.binary()), pa.array(ids, id_type)], names=["block", "bucket", "blob", "ids"])
+                done += 1
 
     return run
 
 
 def _encode_words(path: str, pattern: str):
-    """One bucket: encode each distinct word once; positions pass through."""
+    """One bucket: encode each distinct word once."""
 
     def run(table: pa.Table) -> pa.Table:
         known: dict[bytes, list[int]] = {}
         blobs = []
         encode = word_encoder(path, pattern)._encode_single_piece
-        for bucket, blob in zip(table["bucket"].to_pylist(), table["blob"].to_pylist(), strict=True):
-            if bucket < 0:
-                blobs.append(blob)
-                continue
+        for blob in table["blob"].to_pylist():
             *planes, data = _unpack(blob)
             ends = np.cumsum(_unpack_numbers(planes), dtype=np.int64).tolist()
             sizes, flat, start = [], [], 0
@@ -156,12 +156,11 @@ def _encode_words(path: str, pattern: str):
 
 def _reassemble(table: pa.Table) -> pa.Table:
     """One block: ids of its words by bucket and its positions -> packed ids of each text."""
-    table = table.sort_by("bucket")
-    blobs = table["blob"].to_pylist()
-    at = next(i for i, b in enumerate(table["bucket"].to_pylist()) if b < 0)
-    planes = _unpack(blobs[at])
+    table = table.sort_by("bucket")  # positions first
+    places, *blobs = table["blob"].to_pylist()
+    planes = _unpack(places)
     positions, counts = _unpack_numbers(planes[:4]).astype(np.int64), _unpack_numbers(planes[4:]).astype(np.int64)
-    parts = [_unpack(b) for i, b in enumerate(blobs) if i != at]
+    parts = [_unpack(b) for b in blobs]
     none = [np.empty(0, np.uint32)]
     sizes = np.concatenate([_unpack_numbers(p[:4]) for p in parts] or none).astype(np.int64)
     flat = np.concatenate([_unpack_numbers(p[4:]) for p in parts] or none)
@@ -171,18 +170,18 @@ def _reassemble(table: pa.Table) -> pa.Table:
     ids = flat[np.repeat(begins[positions] - (ends - size), size) + np.arange(ends[-1] if ends.size else 0)].astype("<u4")
     edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])] * 4
     packed = pa.Array.from_buffers(pa.binary(), counts.size, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(ids.tobytes())])
-    return pa.table({"id": table["ids"].combine_chunks()[at].values, "ids_le": packed})
+    return pa.table({"id": table["ids"].combine_chunks()[0].values, "ids_le": packed})
 
 
 def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id of each row and ``ids_le``: token ids as little-endian unsigned 32-bit integers."""
-    kept = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kept = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.spark_partition_id().cast("long").alias("part"))
     id_type = kept.schema["id"].dataType.simpleString()
     buckets = BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     row = f"block bigint, bucket bigint, blob binary, ids array<{id_type}>"
-    words = kept.mapInArrow(_explode(buckets), row)
-    coded = words.groupBy("bucket").applyInArrow(_encode_words(vocabulary, pattern), row)
-    return coded.groupBy("block").applyInArrow(_reassemble, f"id {id_type}, ids_le binary").withColumnRenamed("id", id_col)
+    coded = kept.mapInArrow(_explode(buckets, "words"), row).groupBy("bucket").applyInArrow(_encode_words(vocabulary, pattern), row)
+    # texts are split twice, which costs less than sending the positions through two shuffles
+    return coded.unionByName(kept.mapInArrow(_explode(buckets, "places"), row)).groupBy("block").applyInArrow(_reassemble, f"id {id_type}, ids_le binary").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids_le", out_col: str = "decoded") -> DataFrame:
