@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe_codec, embedding_dedup, prob_minhash, secrets_dfa, winnowing
+from shelfmark.llm import bpe_codec, embedding_dedup, language_gru, prob_minhash, quality_gam, secrets_dfa, winnowing
 from shelfmark.llm.common import read_table
 
 
@@ -13,6 +13,14 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op3_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_gru.language_report(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_dfa.secret_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -31,6 +39,6 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contamination_report(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op4_secret_scan, op5_bpe_codec, op6_prob_minhash, op9_winnowing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_quality_gam, op3_language_gru, op4_secret_scan, op5_bpe_codec, op6_prob_minhash, op9_winnowing)}
 
 ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": embedding_dedup.ORACLE_SQL, "op9_winnowing": winnowing.ORACLE_SQL}
