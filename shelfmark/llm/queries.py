@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe_codec, embedding_dedup, language_gru, prob_minhash, quality_gam, secrets_dfa, winnowing
+from shelfmark.llm import bpe_codec, embedding_dedup, language_gru, prob_minhash, quality_gam, secrets_dfa, winnowing, wrapper_induction
 from shelfmark.llm.common import read_table
 
 
@@ -39,6 +39,10 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contamination_report(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_quality_gam, op3_language_gru, op4_secret_scan, op5_bpe_codec, op6_prob_minhash, op9_winnowing)}
+def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_induction.extraction_report(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_quality_gam, op3_language_gru, op4_secret_scan, op5_bpe_codec, op6_prob_minhash, op9_winnowing, op10_wrapper_induction)}
 
 ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": embedding_dedup.ORACLE_SQL, "op9_winnowing": winnowing.ORACLE_SQL}
