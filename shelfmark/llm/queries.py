@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe_codec, embedding_dedup, language_gru, prob_minhash, quality_gam, quote_threads, secrets_dfa, winnowing, wrapper_induction
+from shelfmark.llm import bpe_codec, compact_windows, embedding_dedup, language_gru, prob_minhash, quality_gam, quote_threads, secrets_dfa, winnowing, wrapper_induction
 from shelfmark.llm.common import read_table
 
 
@@ -34,6 +34,10 @@ def op6_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quote_threads.conversations(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
@@ -47,6 +51,6 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper_induction.extraction_report(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_quality_gam, op3_language_gru, op4_secret_scan, op5_bpe_codec, op6_prob_minhash, op8_quote_threads, op9_winnowing, op10_wrapper_induction)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_quality_gam, op3_language_gru, op4_secret_scan, op5_bpe_codec, op6_prob_minhash, op7_compact_windows, op8_quote_threads, op9_winnowing, op10_wrapper_induction)}
 
 ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": embedding_dedup.ORACLE_SQL, "op8_quote_threads": quote_threads.ORACLE_SQL, "op9_winnowing": winnowing.ORACLE_SQL}
