@@ -46,7 +46,7 @@ def cost_by_model(ledger: DataFrame) -> DataFrame:
 def token_rate(ledger: DataFrame, seconds: int = 60, *keys: str) -> DataFrame:
     """``ledger`` (ts, tokens) with the tokens of the trailing window, both ends included.  Keys split the
     window's work; without keys there is one sequence, as there is one rate limit."""
-    window = Window.partitionBy(*keys).orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000, 0)
+    window = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return ledger.withColumn("tokens_in_window", F.round(F.sum("tokens").over(window), 3))
 
 

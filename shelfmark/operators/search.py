@@ -18,11 +18,15 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return tokens.select(id_col, F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).groupBy(id_col, "token", "dl").agg(F.count("*").alias("tf"))
 
 
+def _starting(tokens: Column, prefix: str) -> Column:
+    return F.size(F.filter(tokens, lambda x: x.startswith(prefix)))
+
+
 def phrase_counts(docs: DataFrame, terms: list[str], text_col: str, keep: list) -> DataFrame:
     """The columns ``keep``, dl, and f: how many tokens start with each term.  Counted inside the row, so
     the corpus is not shuffled; a repeated term is another phrase, and documents without a hit stay for the
     statistics."""
-    counted = F.transform(F.array(index_tokens(F.col(text_col))), lambda t: F.struct(F.size(t).alias("dl"), F.array(*[F.size(F.filter(t, lambda x, p=p: x.startswith(p))) for p in terms]).alias("f")))
+    counted = F.transform(F.array(index_tokens(F.col(text_col))), lambda t: F.struct(F.size(t).alias("dl"), F.array(*[_starting(t, p) for p in terms]).alias("f")))
     return docs.select(*keep, F.explode(counted).alias("s")).select("*", "s.dl", "s.f").drop("s")
 
 

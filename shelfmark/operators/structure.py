@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import lines_with_ends, safe_name, strip
+from shelfmark.session import cut as materialise
 
 MIN_COUNT, REGION_MIN_COUNT, MOST_LEVELS, REGION_DEPTH = 5, 3, 4, 3
 CEILING, COVERAGE, LEAST_SEGMENTS, CHARS_PER_SEGMENT = 60_000, 0.95, 3, 200
@@ -139,12 +140,15 @@ def regional(docs: DataFrame, cut: DataFrame, ceiling: int = CEILING, depth: int
     """``cut`` with each oversized segment replaced by the segments mined inside it, to a fixed depth.
     Text before the first inner heading stays as a segment under the outer breadcrumb."""
     size = F.col("end_off") - F.col("start_off")
+    cut = materialise(cut)
     done = cut.where(size <= ceiling)
     open_ = cut.where(size > ceiling)
     for _ in range(depth):
+        if open_.isEmpty():
+            break
         keyed = open_.withColumn("key", F.struct("doc", "start_off"))
         spans = keyed.join(docs, "doc").select(F.col("key").alias("doc"), F.substr("txt", F.col("start_off") + 1, size).alias("txt"))
-        inner = induced(spans, REGION_MIN_COUNT)
+        inner = materialise(induced(materialise(spans), REGION_MIN_COUNT))
         count = inner.groupBy("doc").agg(F.count("*").alias("parts"), F.min("start_off").alias("lead")).where("parts > 1").withColumnRenamed("doc", "key")
         outer = keyed.join(count, "key", "left")
         crumb = F.concat_ws(CRUMB, F.nullif(F.col("breadcrumb"), F.lit("")), F.col("i_crumb"))
@@ -153,7 +157,7 @@ def regional(docs: DataFrame, cut: DataFrame, ceiling: int = CEILING, depth: int
         found = split.join(parts, "key").select("doc", (F.col("start_off") + F.col("i_start")).alias("start_off"), (F.col("start_off") + F.col("i_end")).alias("end_off"), crumb.alias("breadcrumb"), F.col("i_level").alias("level_name"))
         lead = split.where("lead > 0").select("doc", "start_off", (F.col("start_off") + F.col("lead")).alias("end_off"), "breadcrumb", "level_name")
         done = done.unionByName(outer.where("parts is null").select(*done.columns)).unionByName(lead).unionByName(found.where(size <= ceiling))
-        open_ = found.where(size > ceiling)
+        open_ = materialise(found.where(size > ceiling))
     return done.unionByName(open_)
 
 

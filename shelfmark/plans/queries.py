@@ -62,7 +62,7 @@ g1 as (select sd.doc, coalesce(n, 0) n, coalesce(median_chars, 0) median_chars,
 ga as (select doc, n, median_chars, max_chars, oversized, coverage, n >= 3 and coverage >= 0.95 and n <= greatest(4, len // 200) and oversized = 0 passed, n >= 3 and coverage >= 0.95 and n <= greatest(4, len // 200) and oversized > 0 sound_but_oversized from g1)"""
 CHUNKS = SEGS + r""", f as (select doc, min(start_off) fo from se group by doc),
 pt as (select doc, start_off, end_off, breadcrumb, true structural from se union all select sd.doc, 0, coalesce(fo, len(txt)), null, false from sd left join f on f.doc = sd.doc),
-tk as (select pt.*, regexp_extract_all(substr(txt, start_off + 1, end_off - start_off), '\S+\s*') t from pt join sd on sd.doc = pt.doc),
+tk as (select pt.*, regexp_extract_all(substr(txt, cast(start_off + 1 as bigint), cast(end_off - start_off as bigint)), '\S+\s*') t from pt join sd on sd.doc = pt.doc),
 pc as (select doc, start_off, end_off, breadcrumb, structural, t, unnest(range(0, cast(greatest(0, ceil((len(t) - 60) / 48.0)) as int) + 1)) i from tk where len(t) > 0),
 ch as (select doc, row_number() over (partition by doc order by start_off, structural, i) - 1 chunk_index, breadcrumb, structural, start_off pos_start, end_off pos_end, len(t[i * 48 + 1 : i * 48 + 60]) n_tokens, array_to_string(t[i * 48 + 1 : i * 48 + 60], '') text from pc)"""
 #: One chunk row a source, with the states that labels and ids give it.
@@ -120,7 +120,7 @@ def _page_sql() -> str:
     out = f"regexp_replace({out}, '(?i)</?(?:{readers.BLOCKS})\\b[^>]*>', chr(10), 'g')"
     out = f"regexp_replace({out}, '<[^>]*>', '', 'g')"
     for code, char in readers.ENTITIES:
-        out = f"replace({out}, '{code}', '{char}')"
+        out = f"replace({out}, '{code}', chr({ord(char)}))"
     return f"select page_id, regexp_replace(regexp_replace(regexp_replace({out}, '[ \\t]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') text from pages"
 
 
