@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.pretokens import pretokenize
 
-BLOCK_CHARS = 5 << 20
+BLOCK_CHARS = 3 << 20
 #: Buckets of words for each shuffle partition of the session.
 BUCKETS_PER_PARTITION = 2
 

@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 
 SHINGLE = 5
-BLOCK_BYTES = 4 << 20
+#: A block's arrays take some fifty times its bytes.
+BLOCK_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
