@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.session import cut, shared_dir
+
+__all__ = ["cut", "held_out", "read_table", "shared_dir"]
+
 
 #: Rows in an Arrow batch, at most: texts are long, and a Python worker holds a batch several times over.
 BATCH_ROWS = 2000
@@ -20,34 +22,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``).
-
-    Only a local session may fall back to a folder of its own; a cluster without the setting is
-    refused, because a machine-local folder would not survive the loss of an executor.
-    """
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not configured:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="shelfmark-checkpoint-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(configured)
-    return configured
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def same(left, right):
-    """Null-safe equality as a join condition that still hashes."""
-    return left.eqNullSafe(right)
-
-
 def held_out(id_col: str):
     """True for the quarter of ids that no model may learn from: crc32(id as text) mod 4 = 2."""
     return F.coalesce((F.crc32(F.col(id_col).cast("string").cast("binary")) % 4) == 2, F.lit(False))
