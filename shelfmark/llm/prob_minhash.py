@@ -33,8 +33,9 @@ from shelfmark.llm.words import all_shingles, blocks, mix, word_hashes
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
-#: Leaders of a bucket, chosen by as many hashes; members are verified against each of them.
-LEADERS = 2
+#: Leaders of a bucket, which members are verified against: the smallest id (an original comes before its
+#: copies), and others by a hash.
+LEADERS = 3
 #: Members of a bucket compared at once after the leaders.
 BLOCK = 64
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -54,10 +55,10 @@ def signatures(rows: np.ndarray, shingles: np.ndarray, weights: np.ndarray, n: i
     """ProbMinHash signature (n x slots of shingle hashes) of ``n`` rows of weighted shingles."""
     arrival = np.full(n * slots, np.inf)
     winner = np.zeros(n * slots, np.uint64)
-    time, step = np.zeros(rows.size), np.uint64(0)
+    time, step = np.zeros(rows.size), np.zeros(1, np.uint64)
     while rows.size:
-        step += np.uint64(1)
-        random = mix(shingles + step * _GOLD)
+        step += _GOLD
+        random = mix(shingles + step)
         slot = ((random >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
         time = time - np.log(((random & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) / 2**32) / weights
         cell = rows * slots + slot.astype(np.int64)
@@ -165,7 +166,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     classes = cut(signed.where("words is not null").groupBy("words").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")))
     members = classes.where("rep is not null").select(F.col("rep").alias("node"), F.posexplode("bands").alias("band", "key")).drop("band")
 
-    first = lambda k: F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"leader{k}")
+    first = lambda k: (F.min_by("node", F.xxhash64("node", F.lit(k))) if k else F.min("node")).alias(f"leader{k}")
     shared = cut(members.groupBy("key").agg(F.count("*").alias("size"), *[first(k) for k in range(LEADERS)]).where("size > 1"))
     inside = cut(members.join(shared, "key"))
     pairs = inside.select("node", F.explode(F.array_distinct(F.array(*[f"leader{k}" for k in range(LEADERS)]))).alias("leader")).where("node != leader")
