@@ -30,10 +30,10 @@ SRC = """src as (select d.doc_id, d.lang notebook, d.source, d.text, coalesce(l.
 VEC = SRC + ", vec as (select e.vec_id, s.notebook, s.space, e.embedding from embeddings e join src s on s.doc_id = e.vec_id)"
 QV = "qv as (select embedding q from embeddings where vec_id = (select min(vec_id) from embeddings))"
 #: BM25 of the fixed terms over all documents, as the lexical search defines it.
-BM25 = r"""tk as (select doc_id, len(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) dl, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) tok from documents),
-nn as (select count(*) n, cast(sum(len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) as double) / count(*) avgdl from documents),
+BM25 = r"""tk as materialized (select doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') toks from documents),
+nn as (select count(*) n, cast(sum(len(toks)) as double) / count(*) avgdl from tk),
 qt as (select * from (values (0, 'thin'), (1, 'que'), (2, 'tion'), (3, 'que')) v(qi, t)),
-hit as (select qi, doc_id, dl, count(*) f from tk join qt on starts_with(tok, t) group by all),
+hit as (select * from (select qi, doc_id, len(toks) dl, len(list_filter(toks, lambda x: starts_with(x, t))) f from tk cross join qt) where f > 0),
 df as (select qi, count(*) df from hit group by qi),
 bm as (select doc_id, round(sum(case when ln((n - df + 0.5e0) / (df + 0.5e0)) > 0 then ln((n - df + 0.5e0) / (df + 0.5e0)) else 1e-6 end * f * 2.2e0 / (f + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 6) score
   from hit join df using (qi) cross join nn group by doc_id)"""
