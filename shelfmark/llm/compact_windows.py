@@ -8,7 +8,8 @@ same; frequent lines, whose surroundings differ, so never form a group.  Within
 is joined with that of the smallest id; the joint interval of the two windows, on its diagonal, is a candidate.
 Candidates of a pair of documents are verified on their shingle sequences: a stretch of MIN_WORDS words
 repeats another if their shingle sets have a Jaccard similarity of 0.8 or more, where edits may shift the
-text by up to SHIFT words.
+text by up to SHIFT words.  Windows whose root no verified stretch covers go on to the next smallest place
+of their key for ROUNDS rounds; those still open are then compared with all others of the key, in blocks.
 
 A stretch with similarity 0.8 shares each min-hash with probability 0.8; all HASHES miss it with 4 %, and
 less the longer it is (exact repeats are never missed).  Defined results: null and empty texts, and texts of fewer than MIN_WORDS
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import cut
@@ -35,6 +36,11 @@ HASHES = 2
 SIMILARITY = 0.8
 SHIFT = 5
 CONTEXT = (5, 10, 15)
+#: Rounds against the smallest place of a key, before all places left are compared.
+ROUNDS = 2
+#: Windows of a key in a block of that comparison, and the shingles around a root that a stretch over it can touch.
+BLOCK = 1024
+REACH = SPAN - 1 + SHIFT
 #: Ids of documents to verify are broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64))
@@ -172,37 +178,153 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sources, pa.int64()), pa.array(repeats, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["source", "id", "start", "end"])
 
 
-def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (source, id, start, end): words [start, end) of document ``id`` repeat a passage of ``source``,
-    a document with a smaller id."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).where("id is not null")
-    anchors = docs.mapInArrow(_anchors, "key bigint, id bigint, place bigint")
-    shared = anchors.groupBy("key").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source < last").select("key", "source")
-    inside = cut(anchors.join(shared, "key"))
-    # the source's own window of a key (the first, if it has several)
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, root, left, right, shingles) -> the REACH shingles around the root, zeros outside of the text."""
+    for batch in batches:
+        local = []
+        for root, packed in zip(batch.column("root").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+            text, at = np.frombuffer(packed, np.uint32), max(root - REACH, 0)
+            part, line = text[at : root + REACH + 1], np.zeros(2 * REACH + 1, np.uint32)
+            line[at - root + REACH : at - root + REACH + part.size] = part
+            local.append(line.tobytes())
+        columns = [batch.column(c) for c in ("key", "id", "root", "left", "right", "block")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(local, pa.binary())], names=["key", "id", "root", "left", "right", "block", "local"])
+
+
+def _alike(texts: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which rows of surroundings repeat ``text`` over some stretch, by the test of ``repeated_spans``."""
+    need = int(np.ceil(SIMILARITY * 2 * SPAN / (1 + SIMILARITY) - 1e-9))
+    equal = np.zeros(texts.shape, bool)
+    for shift in range(-SHIFT, SHIFT + 1):
+        low, high = max(-shift, 0), text.size - max(shift, 0)
+        equal[:, low:high] |= texts[:, low + shift : high + shift] == text[low:high]
+    equal &= text != 0
+    total = np.zeros((len(texts), text.size + 1), np.int32)
+    np.cumsum(equal, axis=1, out=total[:, 1:])
+    return (total[:, SPAN:] - total[:, :-SPAN] >= need).any(axis=1)
+
+
+def _pair_up(ids: np.ndarray, roots: np.ndarray, block: np.ndarray, local: np.ndarray, cross: bool) -> Iterator[tuple[int, int, int, int]]:
+    """Spans (source, id, start, end) of each window against the first smaller id that it repeats."""
+    order = np.lexsort((roots, ids))
+    ids, roots, block, local = ids[order], roots[order], block[order], local[order]
+    smaller = np.searchsorted(ids, ids)
+    for y in np.flatnonzero(smaller):
+        others = np.arange(smaller[y])
+        if cross:
+            others = others[block[others] != block[y]]
+        hit = others[_alike(local[others], local[y])]
+        text = np.flatnonzero(local[y])
+        for x in hit.tolist():
+            source = np.flatnonzero(local[x])
+            a, b = int(source[0]), int(text[0])
+            found = repeated_spans(local[x][a : source[-1] + 1], local[y][b : text[-1] + 1], [(a - b, 0, int(text[-1]) - b)])
+            for s, e in found:
+                yield int(ids[x]), int(ids[y]), int(roots[y]) - REACH + b + s, int(roots[y]) - REACH + b + e
+            if found:
+                break
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of pairs of blocks, those of a pair next to each other -> spans (source, id, start, end)."""
+    held: list[pa.RecordBatch] = []
+
+    def spans(table: pa.Table) -> pa.RecordBatch:
+        of = np.stack([table[c].to_numpy().astype(np.int64) for c in ("key", "left", "right")], axis=1)
+        edge = [0, *(np.flatnonzero((of[1:] != of[:-1]).any(axis=1)) + 1).tolist(), len(of)]
+        ids, roots, block = (table[c].to_numpy() for c in ("id", "root", "block"))
+        local = np.frombuffer(b"".join(table["local"].to_pylist()), np.uint32).reshape(len(of), -1)
+        rows = [r for a, b in zip(edge, edge[1:]) if b - a > 1 for r in _pair_up(ids[a:b], roots[a:b], block[a:b], local[a:b], of[a, 1] != of[a, 2])]
+        columns = list(zip(*rows)) or [[], [], [], []]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["source", "id", "start", "end"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        of = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "left", "right")], axis=1)
+        last = int(np.flatnonzero((of != of[-1]).any(axis=1)).max(initial=-1)) + 1  # the last pair may go on in the next batch
+        if last:
+            yield spans(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            held = []
+        elif held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in ("key", "left", "right")):
+            yield spans(pa.Table.from_batches(held))
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield spans(pa.Table.from_batches(held))
+
+
+def _first_place(windows: DataFrame) -> DataFrame:
+    """Windows of the keys of two or more documents, with the smallest id of the key and its first place."""
+    ends = windows.groupBy("key").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source < last").select("key", "source")
+    inside = cut(windows.join(ends, "key"))
     theirs = inside.where("id = source").groupBy("key").agg(F.min("place").alias("theirs"))
-    joined = inside.where("id != source").join(theirs, "key")
-    root = lambda c: F.shiftrightunsigned(c, 32)
+    return inside.join(theirs, "key")
+
+
+def _root(c: str) -> Column:
+    return F.shiftrightunsigned(c, 32)
+
+
+def _verified(joined: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Spans (source, id, start, end) of windows against the first place of their key."""
     left = lambda c: F.shiftrightunsigned(c, 16).bitwiseAND(0xFFFF)
     right = lambda c: F.col(c).bitwiseAND(0xFFFF)
-    low = root("place") - F.least(left("place"), left("theirs"))
-    high = root("place") + F.least(right("place"), right("theirs"))
+    low = _root("place") - F.least(left("place"), left("theirs"))
+    high = _root("place") + F.least(right("place"), right("theirs"))
     pairs = (
-        joined.select("source", "id", (root("place") - root("theirs")).alias("diagonal"), low.alias("low"), high.alias("high"))
+        joined.select("source", "id", (_root("place") - _root("theirs")).alias("diagonal"), low.alias("low"), high.alias("high"))
         .groupBy("source", "id", "diagonal")
         .agg(F.min("low").alias("low"), F.max("high").alias("high"))
         .groupBy("source", "id")
         .agg(F.sort_array(F.collect_list(F.struct("diagonal", "low", "high"))).alias("places"))
     )
-    pairs = cut(pairs)
-    named = pairs.select("source").union(pairs.select("id")).distinct().select(F.col("source").alias("node"))
-    named = cut(named)
-    named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
-    texts = docs.join(named, F.col("id") == F.col("node"), "left_semi")
-    sequences = cut(texts.mapInArrow(_sequences, "id bigint, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles")))
     with_source = pairs.join(sequences.select(F.col("id").alias("source"), F.col("shingles").alias("x")), "source")
     both = with_source.join(sequences.select("id", F.col("shingles").alias("y")), "id")
-    return both.select("source", "id", "places", "x", "y").mapInArrow(_verify, "source bigint, id bigint, start int, end int")
+    return cut(both.select("source", "id", "places", "x", "y").mapInArrow(_verify, "source bigint, id bigint, start int, end int"))
+
+
+def _all_places(windows: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Spans of windows against all others of their key: each pair of blocks of a key is a group of rows."""
+    count = windows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = windows.join(count, "key").select("key", "id", _root("place").alias("root"), F.pmod(F.xxhash64("id", "place"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = other.select("key", "id", "root", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block")
+    local = dealt.join(sequences, "id").mapInArrow(_surroundings, "key bigint, id bigint, root bigint, left int, right int, block int, local binary")
+    sorted_ = local.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
+    return cut(sorted_.mapInArrow(_compare, "source bigint, id bigint, start int, end int"))
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """Spans of a pair of documents that overlap or touch become one."""
+    order = Window.partitionBy("source", "id").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    part = F.sum(F.when(F.col("start") <= F.col("before"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    parts = found.withColumn("before", before).withColumn("part", part)
+    return parts.groupBy("source", "id", "part").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("part")
+
+
+def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (source, id, start, end): words [start, end) of document ``id`` repeat a passage of ``source``,
+    a document with a smaller id."""
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).where("id is not null")
+    left, found, sequences = docs.mapInArrow(_anchors, "key bigint, id bigint, place bigint"), None, None
+    for _ in range(ROUNDS):
+        dealt = _first_place(left)
+        if sequences is None:
+            named = cut(dealt.select(F.col("id").alias("node")).distinct())
+            named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+            texts = docs.join(named, F.col("id") == F.col("node"), "left_semi")
+            sequences = cut(texts.mapInArrow(_sequences, "id bigint, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles")))
+        tried = dealt.where("id != source")
+        spans = _verified(tried, sequences)
+        found = spans if found is None else found.unionByName(spans)
+        hit = spans.select(F.col("source").alias("s"), F.col("id").alias("i"), "start", "end")
+        covered = (F.col("source") == F.col("s")) & (F.col("id") == F.col("i")) & (_root("place") >= F.col("start")) & (_root("place") < F.col("end"))
+        unmet = tried.join(hit, covered, "left_anti").unionByName(dealt.where("id = source and place != theirs"))
+        left = cut(unmet.select("key", "id", "place"))
+    return _merged(found.unionByName(_all_places(left, sequences)))
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

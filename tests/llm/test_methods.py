@@ -148,6 +148,31 @@ def test_planted_passages_are_found_and_clean_documents_left_alone(spark):
     assert all(got[i].n_repeat_words == 0 for i in (1, 4, 5, 6))
 
 
+def test_whole_copies_are_linked_beside_holders_of_a_part(spark):
+    rng = random.Random(11)
+    fresh = lambda n: [f"p{rng.randrange(10**9)}" for _ in range(n)]
+    texts, pairs = {}, []
+    for k in range(20):
+        passage, at = fresh(60), 10 * k
+        parts = [passage[:40], passage[20:], passage[10:50], passage[:40] + fresh(9) + passage]
+        for i, part in enumerate([*parts, passage]):
+            texts[at + i] = fresh(20) + part + fresh(20)
+        pairs.append((at + 3, at + 4))
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in compact_windows.repeats(frame).collect()}
+    assert all(got[b].sources == [a] and got[b].n_repeat_words >= 50 for a, b in pairs)
+
+
+def test_blocks_of_a_key_meet_each_other(spark, monkeypatch):
+    monkeypatch.setattr(compact_windows, "BLOCK", 2)
+    rng = random.Random(12)
+    fresh = lambda n: [f"q{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(60)
+    texts = [fresh(20) + passage[5:45] + fresh(20) for _ in range(9)] + [fresh(20) + passage + fresh(20) for _ in range(2)]
+    got = {r.doc_id: r for r in compact_windows.repeats(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got[10].sources == [9] and got[10].n_repeat_words == 60 and all(got[i].n_repeat_words == 0 for i in range(10))
+
+
 def test_winnowing_equals_all_windows(spark):
     rng = random.Random(7)
     for k in range(2):
