@@ -1,18 +1,22 @@
 """Repeated passages: compact windows over token min-hashes.
 
-Tokens are the five-word shingles of a text.  For each of a few hash functions, the node of a text's
-Cartesian tree with root c and range [l, r] is a compact window: every stretch inside it that covers c has
-the min-hash of token c.  Windows shorter than a passage are left out, so about 2 / 46 of the positions stay.
-Windows of two texts meet if their roots, with fifteen further words to the right or to the left, are the
-same; frequent lines, whose surroundings differ, so never form a group.  Within a group every window
-is joined with that of the smallest id; the joint interval of the two windows, on its diagonal, is a candidate.
+Tokens are the five-word shingles of a text; grams of fifteen words (three shingles) are hashed.  The node of a
+text's Cartesian tree over the hashes with root c and range [l, r] is a compact window: every stretch inside it that
+covers c has the min-hash of gram c.  Windows of fewer than GRAMS grams are left out, so about 2 / 12 of the grams stay.
+Windows of two texts meet if their roots are the same gram; frequent lines of fewer words never form a group.
+Within a group every window is joined with that of the smallest id; all stretches over the root, on its diagonal, are
+candidates.
 Candidates of a pair of documents are verified on their shingle sequences: a stretch of MIN_WORDS words
 repeats another if their shingle sets have a Jaccard similarity of 0.8 or more, where edits may shift the
 text by up to SHIFT words.  Windows whose root no verified stretch covers go on to the next smallest place
 of their key for ROUNDS rounds; those still open are then compared with all others of the key, in blocks.
 
-A stretch with similarity 0.8 shares each min-hash with probability 0.8; all HASHES miss it with 4 %, and
-less the longer it is (exact repeats are never missed).  Defined results: null and empty texts, and texts of fewer than MIN_WORDS
+A stretch of 46 shingles with similarity 0.8 has at most five that match nothing.  A changed, added or dropped word inside
+breaks four or five in a row, so that there is one such place, and a run of RUN = 21 shingles stays whole (words that
+repeat themselves aside).  Such a run holds GRAMS = 11 grams, and the smallest of them is a root in both texts: no
+such stretch is missed by the hash.
+
+Defined results: null and empty texts, and texts of fewer than MIN_WORDS
 words, have no passages; rows that share an id count as the smallest text of that id; rows with a null id
 are not compared; each input row gives one output row; an empty table gives an empty result; other
 columns are not read.
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import cut
@@ -32,10 +36,12 @@ from shelfmark.llm.words import BLOCK_BYTES, SHINGLE, all_shingles, blocks, mix,
 
 MIN_WORDS = 50
 SPAN = MIN_WORDS - SHINGLE + 1  # shingles of a passage
-HASHES = 2
 SIMILARITY = 0.8
 SHIFT = 5
-CONTEXT = (5, 10, 15)
+#: Shingles of a gram, from its first; equal shingles on one side of an edit, and the grams of them.
+CONTEXT = (5, 10)
+RUN = 21
+GRAMS = RUN - CONTEXT[-1]
 #: Rounds against the smallest place of a key, before all places left are compared.
 ROUNDS = 2
 #: Windows of a key in a block of that comparison, and the shingles around a root that a stretch over it can touch.
@@ -43,7 +49,6 @@ BLOCK = 1024
 REACH = SPAN - 1 + SHIFT
 #: Ids of documents to verify are broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
-_SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64))
 
 
 def _sliding(values: np.ndarray, width: int, reduce) -> np.ndarray:
@@ -88,42 +93,29 @@ def compact_windows(values: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, n
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> (key, id, place): windows under the hash of their right and left contexts; the place packs
-    root (32 bits) and the reach to the left and right (16 bits each, at most 65535)."""
+    """Texts -> (key, id, place): the gram and the place of the root of each window."""
     for batch in batches:
         texts, ids = [t or b"" for t in batch.column(1).to_pylist()], batch.column(0).to_numpy()
         for a, b in blocks(texts, BLOCK_BYTES):
             words, counts = word_hashes(texts[a:b])
             shingles, number = all_shingles(words, counts)
-            # one zero before, between and after the sequences
+            # one zero before, between and after the sequences, and where no whole gram begins
             owner = np.repeat(np.arange(b - a), number)
             where = np.arange(shingles.size) + owner + 1
             begin = np.cumsum(number) - number + np.arange(b - a) + 1
-            end = begin + number
+            whole = where + CONTEXT[-1] < (begin + number)[owner]
+            first, start = np.flatnonzero(whole), where[whole]
+            key = shingles[first]
+            for step in CONTEXT:
+                key = mix(key * np.uint64(31) + shingles[first + step])
             line = np.zeros(shingles.size + b - a + 1, np.uint64)
-            line[where] = shingles
-            of = np.full(line.size, -1, np.int64)
+            line[start] = key | np.uint64(1)
+            of = np.zeros(line.size, np.int64)
             of[where] = owner
-            seen = np.zeros(0, np.int64)
-            for k in range(HASHES):
-                values = np.zeros(line.size, np.uint64)
-                values[where] = mix(shingles ^ _SEEDS[k]) | np.uint64(1)
-                low, root, high = compact_windows(values)
-                new = ~np.isin(root, seen)
-                low, root, high = low[new], root[new], high[new]
-                seen = np.concatenate([seen, root])
-                doc = of[root]
-                for side in (1, -1):
-                    far = root + side * CONTEXT[-1]
-                    inside = (far >= begin[doc]) & (far < end[doc])
-                    r = root[inside]
-                    key = line[r] + np.uint64(side + 2)
-                    for step in CONTEXT:
-                        key = mix(key * np.uint64(31) + line[r + side * step])
-                    d, base = doc[inside], begin[doc[inside]]
-                    left, right = np.minimum(r - low[inside], 0xFFFF), np.minimum(high[inside] - r, 0xFFFF)
-                    columns = [key.view(np.int64), ids[a:b][d], (r - base) << 32 | left << 16 | right]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "place"])
+            root = compact_windows(line, GRAMS)[1]
+            doc = of[root]
+            columns = [line[root].view(np.int64), ids[a:b][doc], root - begin[doc]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "place"])
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +196,13 @@ def _alike(texts: np.ndarray, text: np.ndarray) -> np.ndarray:
     return (total[:, SPAN:] - total[:, :-SPAN] >= need).any(axis=1)
 
 
+def _run(texts: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Equal shingles in a row around the root."""
+    other = (texts != text) | (text == 0)
+    other = np.concatenate([np.ones((len(texts), 1), bool), other, np.ones((len(texts), 1), bool)], axis=1)
+    return other[:, REACH + 1 :].argmax(axis=1) + other[:, REACH + 1 :: -1].argmax(axis=1) - 1
+
+
 def _pair_up(ids: np.ndarray, roots: np.ndarray, block: np.ndarray, local: np.ndarray, cross: bool) -> Iterator[tuple[int, int, int, int]]:
     """Spans (source, id, start, end) of each window against the first smaller id that it repeats."""
     order = np.lexsort((roots, ids))
@@ -213,7 +212,8 @@ def _pair_up(ids: np.ndarray, roots: np.ndarray, block: np.ndarray, local: np.nd
         others = np.arange(smaller[y])
         if cross:
             others = others[block[others] != block[y]]
-        hit = others[_alike(local[others], local[y])]
+        near = others[_run(local[others], local[y]) >= RUN]  # a stretch that repeats has such a run, which has a root
+        hit = near[_alike(local[near], local[y])]
         text = np.flatnonzero(local[y])
         for x in hit.tolist():
             source = np.flatnonzero(local[x])
@@ -263,18 +263,11 @@ def _first_place(windows: DataFrame) -> DataFrame:
     return inside.join(theirs, "key")
 
 
-def _root(c: str) -> Column:
-    return F.shiftrightunsigned(c, 32)
-
-
 def _verified(joined: DataFrame, sequences: DataFrame) -> DataFrame:
     """Spans (source, id, start, end) of windows against the first place of their key."""
-    left = lambda c: F.shiftrightunsigned(c, 16).bitwiseAND(0xFFFF)
-    right = lambda c: F.col(c).bitwiseAND(0xFFFF)
-    low = _root("place") - F.least(left("place"), left("theirs"))
-    high = _root("place") + F.least(right("place"), right("theirs"))
+    low, high = F.col("place") - (SPAN - 1), F.col("place") + (SPAN - 1)
     pairs = (
-        joined.select("source", "id", (_root("place") - _root("theirs")).alias("diagonal"), low.alias("low"), high.alias("high"))
+        joined.select("source", "id", (F.col("place") - F.col("theirs")).alias("diagonal"), low.alias("low"), high.alias("high"))
         .groupBy("source", "id", "diagonal")
         .agg(F.min("low").alias("low"), F.max("high").alias("high"))
         .groupBy("source", "id")
@@ -288,7 +281,7 @@ def _verified(joined: DataFrame, sequences: DataFrame) -> DataFrame:
 def _all_places(windows: DataFrame, sequences: DataFrame) -> DataFrame:
     """Spans of windows against all others of their key: each pair of blocks of a key is a group of rows."""
     count = windows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = windows.join(count, "key").select("key", "id", _root("place").alias("root"), F.pmod(F.xxhash64("id", "place"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    rows = windows.join(count, "key").select("key", "id", F.col("place").alias("root"), F.pmod(F.xxhash64("id", "place"), F.col("blocks")).cast("int").alias("block"), "blocks")
     other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = other.select("key", "id", "root", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block")
     local = dealt.join(sequences, "id").mapInArrow(_surroundings, "key bigint, id bigint, root bigint, left int, right int, block int, local binary")
@@ -321,7 +314,7 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         spans = _verified(tried, sequences)
         found = spans if found is None else found.unionByName(spans)
         hit = spans.select(F.col("source").alias("s"), F.col("id").alias("i"), "start", "end")
-        covered = (F.col("source") == F.col("s")) & (F.col("id") == F.col("i")) & (_root("place") >= F.col("start")) & (_root("place") < F.col("end"))
+        covered = (F.col("source") == F.col("s")) & (F.col("id") == F.col("i")) & (F.col("place") >= F.col("start")) & (F.col("place") < F.col("end"))
         unmet = tried.join(hit, covered, "left_anti").unionByName(dealt.where("id = source and place != theirs"))
         left = cut(unmet.select("key", "id", "place"))
     return _merged(found.unionByName(_all_places(left, sequences)))

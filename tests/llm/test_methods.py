@@ -173,6 +173,19 @@ def test_blocks_of_a_key_meet_each_other(spark, monkeypatch):
     assert got[10].sources == [9] and got[10].n_repeat_words == 60 and all(got[i].n_repeat_words == 0 for i in range(10))
 
 
+def test_edited_passages_of_fifty_words_are_never_missed(spark):
+    rng = random.Random(13)
+    fresh = lambda n: [f"e{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for k in range(100):
+        passage = fresh(50)
+        edited = [*passage]
+        edited[25 if k % 2 else k // 2] = "edit"
+        texts += [fresh(30) + passage + fresh(30), fresh(30) + edited + fresh(30)]
+    got = {r.doc_id: r for r in compact_windows.repeats(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [got[i].sources for i in range(1, 200, 2)] == [[i] for i in range(0, 200, 2)]
+
+
 def test_winnowing_equals_all_windows(spark):
     rng = random.Random(7)
     for k in range(2):
