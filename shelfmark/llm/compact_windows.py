@@ -25,6 +25,7 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -170,17 +171,28 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sources, pa.int64()), pa.array(repeats, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["source", "id", "start", "end"])
 
 
+def _around(packed: bytes, root: int) -> np.ndarray:
+    """The REACH shingles around a root, zeros outside of the text."""
+    text, at = np.frombuffer(packed, np.uint32), max(root - REACH, 0)
+    part, line = text[at : root + REACH + 1], np.zeros(2 * REACH + 1, np.uint32)
+    line[at - root + REACH : at - root + REACH + part.size] = part
+    return line
+
+
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, root, left, right, shingles) -> the REACH shingles around the root, zeros outside of the text."""
+    """(id, keys, places, shingles) -> (key, id, place, alike): a number for the shingles around each root."""
+    for batch in batches:
+        for i, keys, places, packed in zip(*(batch.column(c) for c in ("id", "keys", "places", "shingles")), strict=True):
+            packed, places = packed.as_py(), places.values.to_numpy()
+            alike = [int.from_bytes(blake2b(_around(packed, p).tobytes(), digest_size=8).digest(), "little", signed=True) for p in places.tolist()]
+            yield pa.RecordBatch.from_arrays([keys.values, pa.array(np.full(places.size, i.as_py())), pa.array(places), pa.array(alike, pa.int64())], names=["key", "id", "place", "alike"])
+
+
+def _locals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["key", "alike", "low", "high", "place", "left", "right", "block"]
     for batch in batches:
-        local = []
-        for root, packed in zip(batch.column("root").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
-            text, at = np.frombuffer(packed, np.uint32), max(root - REACH, 0)
-            part, line = text[at : root + REACH + 1], np.zeros(2 * REACH + 1, np.uint32)
-            line[at - root + REACH : at - root + REACH + part.size] = part
-            local.append(line.tobytes())
-        columns = [batch.column(c) for c in ("key", "id", "root", "left", "right", "block")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(local, pa.binary())], names=["key", "id", "root", "left", "right", "block", "local"])
+        local = [_around(x, p).tobytes() for x, p in zip(batch.column("shingles").to_pylist(), batch.column("place").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(local, pa.binary())], names=[*names, "local"])
 
 
 def _alike(texts: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -203,12 +215,24 @@ def _run(texts: np.ndarray, text: np.ndarray) -> np.ndarray:
     return other[:, REACH + 1 :].argmax(axis=1) + other[:, REACH + 1 :: -1].argmax(axis=1) - 1
 
 
-def _pair_up(ids: np.ndarray, roots: np.ndarray, block: np.ndarray, local: np.ndarray, cross: bool) -> Iterator[tuple[int, int, int, int]]:
-    """Spans (source, id, start, end) of each window against the first smaller id that it repeats."""
-    order = np.lexsort((roots, ids))
-    ids, roots, block, local = ids[order], roots[order], block[order], local[order]
-    smaller = np.searchsorted(ids, ids)
-    for y in np.flatnonzero(smaller):
+def _in_runs(group: np.ndarray, local: np.ndarray) -> np.ndarray:
+    """Rows that share RUN shingles over the root with another row of their group."""
+    shared = np.zeros(len(local), bool)
+    for start in range(REACH - RUN + CONTEXT[-1] + 1, REACH + 1):
+        key = mix(group.astype(np.uint64) + np.uint64(1))
+        for k in range(start, start + RUN):
+            key = mix(key * np.uint64(31) + local[:, k])
+        _, of, count = np.unique(key, return_inverse=True, return_counts=True)
+        shared |= count[of.ravel()] > 1
+    return shared
+
+
+def _pair_up(low: np.ndarray, high: np.ndarray, block: np.ndarray, local: np.ndarray, cross: bool) -> Iterator[tuple[int, int, int, int]]:
+    """(row, source, start, end) of each class of equal surroundings, and of the smallest id that it repeats."""
+    order = np.argsort(low, kind="stable")
+    low, high, block, local = low[order], high[order], block[order], local[order]
+    smaller = np.searchsorted(low, high)
+    for y in range(len(low)):
         others = np.arange(smaller[y])
         if cross:
             others = others[block[others] != block[y]]
@@ -220,24 +244,30 @@ def _pair_up(ids: np.ndarray, roots: np.ndarray, block: np.ndarray, local: np.nd
             a, b = int(source[0]), int(text[0])
             found = repeated_spans(local[x][a : source[-1] + 1], local[y][b : text[-1] + 1], [(a - b, 0, int(text[-1]) - b)])
             for s, e in found:
-                yield int(ids[x]), int(ids[y]), int(roots[y]) - REACH + b + s, int(roots[y]) - REACH + b + e
+                yield int(order[y]), int(low[x]), b + s - REACH, b + e - REACH
             if found:
                 break
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of pairs of blocks, those of a pair next to each other -> spans (source, id, start, end)."""
+    """Classes in pairs of blocks, those of a pair next to each other -> (key, alike, source, start, end), from the root."""
     held: list[pa.RecordBatch] = []
 
     def spans(table: pa.Table) -> pa.RecordBatch:
         of = np.stack([table[c].to_numpy().astype(np.int64) for c in ("key", "left", "right")], axis=1)
-        edge = [0, *(np.flatnonzero((of[1:] != of[:-1]).any(axis=1)) + 1).tolist(), len(of)]
-        ids, roots, block = (table[c].to_numpy() for c in ("id", "root", "block"))
         local = np.frombuffer(b"".join(table["local"].to_pylist()), np.uint32).reshape(len(of), -1)
-        rows = [r for a, b in zip(edge, edge[1:]) if b - a > 1 for r in _pair_up(ids[a:b], roots[a:b], block[a:b], local[a:b], of[a, 1] != of[a, 2])]
-        columns = list(zip(*rows)) or [[], [], [], []]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["source", "id", "start", "end"])
+        group = np.concatenate([[0], np.cumsum((of[1:] != of[:-1]).any(axis=1))])
+        low, high, block, key, alike = (table[c].to_numpy() for c in ("low", "high", "block", "key", "alike"))
+        open_ = np.flatnonzero(_in_runs(group, local) | (low < high))
+        edge = np.flatnonzero(np.diff(group[open_], prepend=-1, append=-1)).tolist()
+        rows = []
+        for a, b in zip(edge, edge[1:]):
+            at = open_[a:b]
+            for y, *found in _pair_up(low[at], high[at], block[at], local[at], of[at[0], 1] != of[at[0], 2]):
+                rows.append((key[at[y]], alike[at[y]], *found))
+        columns = list(zip(*rows)) or [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "alike", "source", "from", "to"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -279,14 +309,24 @@ def _verified(joined: DataFrame, sequences: DataFrame) -> DataFrame:
 
 
 def _all_places(windows: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Spans of windows against all others of their key: each pair of blocks of a key is a group of rows."""
-    count = windows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = windows.join(count, "key").select("key", "id", F.col("place").alias("root"), F.pmod(F.xxhash64("id", "place"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    """Spans of windows against all others of their key.  Windows with the same surroundings form a class, compared
+    once; each pair of blocks of classes of a key is a group of rows."""
+    shared = windows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    of_text = windows.join(shared, "key", "left_semi").groupBy("id").agg(F.collect_list("key").alias("keys"), F.collect_list("place").alias("places"))
+    members = cut(of_text.join(sequences, "id").mapInArrow(_surroundings, "key bigint, id bigint, place bigint, alike bigint"))
+    classes = members.groupBy("key", "alike").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("place", "id").alias("place"))
+    count = classes.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = cut(classes.join(count, "key").withColumn("block", F.pmod("alike", F.col("blocks")).cast("int")))
     other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = other.select("key", "id", "root", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block")
-    local = dealt.join(sequences, "id").mapInArrow(_surroundings, "key bigint, id bigint, root bigint, left int, right int, block int, local binary")
-    sorted_ = local.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    return cut(sorted_.mapInArrow(_compare, "source bigint, id bigint, start int, end int"))
+    dealt = other.select("key", "alike", "low", "high", "place", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block")
+    local = dealt.join(sequences.select(F.col("id").alias("low"), "shingles"), "low")
+    local = local.mapInArrow(_locals, "key bigint, alike bigint, low bigint, high bigint, place bigint, left int, right int, block int, local binary")
+    # a fixed number of tasks: the work grows with pairs, not with bytes
+    tasks = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = local.repartition(tasks, "key", "left", "right").sortWithinPartitions("key", "left", "right")
+    found = cut(sorted_.mapInArrow(_compare, "key bigint, alike bigint, source bigint, from int, to int"))
+    place = lambda c: (F.col("place") + F.col(c)).cast("int")
+    return cut(members.join(found, ["key", "alike"]).where("source < id").select("source", "id", place("from").alias("start"), place("to").alias("end")).distinct())
 
 
 def _merged(found: DataFrame) -> DataFrame:
