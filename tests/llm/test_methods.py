@@ -99,6 +99,20 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert got == closure(texts, links) and links
 
 
+def test_near_duplicates_with_repeated_lines_equal_all_pairs(spark):
+    rng, texts = random.Random(17), {}
+    for k in range(30):
+        base = [f"r{rng.randrange(10**9)}" for _ in range(200)]
+        line = base[50:60]
+        texts[2 * k] = " ".join(base)
+        texts[2 * k + 1] = " ".join(base[:60] + line * (20, 100)[k % 2] + base[60:])
+    sets = {i: {tuple(words(t)[k : k + 5]) for k in range(len(words(t)) - 4)} for i, t in texts.items()}
+    links = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in prob_minhash.near_duplicates(frame).collect()}
+    assert len(links) == 30 and got == closure(texts, links)
+
+
 def test_signatures_estimate_probability_jaccard():
     a, b = {1: 1.0, 2: 2.0, 3: 1.0}, {2: 2.0, 3: 3.0, 4: 1.0}
     exact = sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in {*a, *b}) for i in {*a} & {*b})
