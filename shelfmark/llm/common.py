@@ -2,26 +2,52 @@
 
 from __future__ import annotations
 
+import ctypes
+from functools import lru_cache, wraps
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.session import cut, shared_dir
 
-__all__ = ["cut", "held_out", "read_table", "shared_dir"]
-
+__all__ = ["cut", "frugal", "held_out", "read_table", "shared_dir"]
 
-#: Rows in an Arrow batch, at most: texts are long, and a Python worker holds a batch several times over.
-BATCH_ROWS = 2000
+#: An Arrow batch has at most so many rows and bytes: texts are long, and a Python worker holds a batch several times over.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the driver; also bounds the session's Arrow batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """A table of the driver; also sets the session's Arrow batches."""
+    for key, most in BATCH.items():
+        spark.conf.set(key, str(most))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def frugal(body):
+    """``body`` as a function of Arrow batches whose worker gives freed memory back to the system at once: workers
+    live on from stage to stage, and an allocator that keeps its pages adds up over a pipeline."""
+
+    @wraps(body)
+    def run(*args):
+        _give_back()
+        return body(*args)
+
+    return run
+
+
+@lru_cache(maxsize=1)
+def _give_back() -> None:
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        # glibc: mapped blocks from 256 kB on, a trimmed heap, one arena
+        libc = ctypes.CDLL(None)
+        for option, value in ((-3, 256 << 10), (-1, 1 << 20), (-8, 1)):
+            libc.mallopt(option, value)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def held_out(id_col: str):
     """True for the quarter of ids that no model may learn from: crc32(id as text) mod 4 = 2."""
     return F.coalesce((F.crc32(F.col(id_col).cast("string").cast("binary")) % 4) == 2, F.lit(False))
