@@ -33,9 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = winnowing.overlaps(docs.select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
-    hit = found.select(F.col("id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_hash")), "left_anti")
+    return winnowing.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
