@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from functools import lru_cache, wraps
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,20 +24,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frugal(body):
-    """``body`` as a function of Arrow batches whose worker gives freed memory back to the system at once: workers
-    live on from stage to stage, and an allocator that keeps its pages adds up over a pipeline."""
-
-    @wraps(body)
-    def run(*args):
-        _give_back()
-        return body(*args)
-
-    return run
-
-
 @lru_cache(maxsize=1)
-def _give_back() -> None:
+def frugal() -> None:
+    """Has this Python worker give freed memory back to the system at once: workers live on from stage to stage,
+    and an allocator that keeps its pages adds up over a pipeline."""
     pa.set_memory_pool(pa.system_memory_pool())
     try:
         # glibc: mapped blocks from 256 kB on, a trimmed heap, one arena

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import cut
+from shelfmark.llm.common import cut, frugal
 from shelfmark.llm.graph import connected_components
 
 #: Vectors the cell centres are fitted on, at most (taken in order of a hash of the id).
@@ -71,6 +71,7 @@ def _visits(centres: dict[int, np.ndarray], threshold: float):
     reach = math.sqrt(2 - 2 * threshold) + 1e-9
 
     def run(batches):
+        frugal()
         for batch in batches:
             table = pa.Table.from_batches([batch])
             sizes = np.asarray(pc.list_value_length(table["vec"]))
@@ -98,6 +99,7 @@ def _products(threshold: float):
     """One pair of blocks -> (rep, linked vectors, smallest class reached)."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        frugal()
         reps = table["rep"].to_numpy()
         copies = table["n"].to_numpy()
         home = table["home"].to_numpy()

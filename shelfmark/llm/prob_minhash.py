@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import cut
+from shelfmark.llm.common import cut, frugal
 from shelfmark.llm.graph import connected_components
 from shelfmark.llm.words import all_shingles, blocks, mix, word_hashes
 
@@ -82,6 +82,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts -> (id, digest of the words or null, band keys)."""
+    frugal()
     for batch in batches:
         texts = [t or b"" for t in batch.column(1).to_pylist()]
         for a, b in blocks(texts):
@@ -105,6 +106,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts -> (id, sorted distinct shingles as packed 64-bit integers)."""
+    frugal()
     for batch in batches:
         texts = [t or b"" for t in batch.column(1).to_pylist()]
         for a, b in blocks(texts):
@@ -129,6 +131,7 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         for batch in batches:
             pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             good = pa.array([jaccard(x, y) >= threshold for x, y in pairs], pa.bool_())
@@ -141,6 +144,7 @@ def _compare_block(threshold: float):
     """Members of one block of a bucket with the bucket's outsiders -> links that join their components."""
 
     def run(table: pa.Table) -> pa.Table:
+        frugal()
         table = table.take(pa.array(np.unique(table["node"].to_numpy(), return_index=True)[1]))
         nodes, parts = table["node"].to_numpy(), table["comp"].to_numpy().copy()
         sets = [np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()]

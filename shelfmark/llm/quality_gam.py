@@ -7,12 +7,14 @@ A score is the logistic of the intercept plus one table entry a feature and pair
 Arrow batches at a time.
 
 Learning reads a bounded sample (``SAMPLE`` labelled rows in expectation, chosen by a hash of the id) of
-rows outside the held-out quarter.  Labels, language, source and id are no inputs.
-
-Defined results: null and empty texts are scored like any text without characters; without any labels
-each score is 0.5, with one class it is that class' smoothed share; labels repeated for an id count
-once (the smallest); each input row gives one output row, so repeated rows repeat their score; an empty
-table gives an empty result; other columns are not read.
+rows outside the held-out quarter; of ids that documents repeat, at most twice as many rows, by a hash).
+Labels, language, source and id are no inputs.
+
+Defined results: null and empty texts are scored like any text without characters; a very long text is scored
+whole, in memory that grows with it; without any labels each score is 0.5, with one class it is that class'
+smoothed share; labels repeated for an id count once (the smallest); values on the edge of a bin (ties) belong to
+the upper bin; each input row gives one output row, so repeated rows repeat their score; an empty table gives an
+empty result; other columns are kept (``score``) or not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import held_out
+from shelfmark.llm.common import frugal, held_out
 from shelfmark.llm.words import blocks, word_hashes
 
 SAMPLE = 20_000
@@ -188,6 +190,7 @@ def fit(rows: np.ndarray, labels: np.ndarray) -> Model:
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    frugal()
     for batch in batches:
         texts = [t or b"" for t in batch.column(2).to_pylist()]
         for a, b in blocks(texts):
@@ -203,16 +206,19 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.where(F.pmod(F.xxhash64("l_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).join(known, F.col("id") == F.col("l_id"))
     rows = rows.select(F.xxhash64("id", "text").alias("order"), "label", "text").mapInArrow(_feature_batches, "order bigint, label int, row array<double>")
-    table = rows.limit(2 * sample).toArrow().sort_by("order")
+    # rows of repeated ids: the same ones each time, by a hash
+    table = rows.orderBy("order", "label").limit(2 * sample).toArrow().sort_by("order")
     x = np.array(table["row"].combine_chunks().flatten()).reshape(-1, len(FEATURES))
     return fit(x, table["label"].to_numpy().astype(float))
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``df`` with the score of each row's whole text."""
+    """``df`` with the score of each row's whole text, in place of a column of that name."""
+    df = df.drop(out_col)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         for batch in batches:
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
             scores = np.concatenate([np.empty(0), *[model.score(features(texts[a:b])) for a, b in blocks(texts)]])

@@ -27,7 +27,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe_codec.round_trip_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    return bpe_codec.round_trip_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
 
 
 def op6_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import frugal
+
 BLOCK_BYTES = 4 << 20
 LANE_BYTES = 256
 
@@ -390,6 +392,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         for batch in batches:
             spans = [[{"kind": rules[r].kind, "start": a, "end": b} for a, b, r in s] for s in scan_column(batch.column(1), rules)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, span_type)], names=["id", "spans"])
@@ -405,6 +408,7 @@ def redact(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULE
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         for batch in batches:
             texts = batch.column(at).to_pylist()
             for i, spans in enumerate(scan_column(batch.column(at), rules)):

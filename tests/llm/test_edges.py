@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from shelfmark.llm import bpe_codec, compact_windows, embedding_dedup, language_gru, prob_minhash, quality_gam, quote_threads, secrets_dfa, winnowing, wrapper_induction
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-PATTERN = public_tokenizers.PATTERN
 DOC = "doc_id long, text string, id string, words string, node long"
 LONG = "word " * 40_000
 
@@ -25,7 +24,7 @@ def items(spark):
 
 DOC_OPERATORS = {
     "secrets": lambda s, d: secrets_dfa.secret_report(d),
-    "bpe": lambda s, d: bpe_codec.round_trip_report(d, PATH, PATTERN),
+    "bpe": lambda s, d: bpe_codec.round_trip_report(d, PATH),
     "minhash": lambda s, d: prob_minhash.near_duplicates(d),
     "windows": lambda s, d: compact_windows.repeats(d),
     "winnowing": lambda s, d: winnowing.contamination(d, items(s)),

@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bpe_codec, compact_windows, embedding_dedup, language_gru, prob_minhash, quality_gam, quote_threads, secrets_dfa, winnowing, wrapper_induction
@@ -68,10 +69,10 @@ def test_bpe_equals_the_library(spark):
     parts = ["'s", "'re", "'", " ", "  ", "\n", "a", "Bc", "é", "12", "!", "　", "中", "\r\n", "😀", "\x1c", "s", "don't "]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(400)] + [None, "x" * 5000]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    encoding = bpe_codec.word_encoder(PATH, PATTERN)
+    encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=bpe_codec.load_ranks(PATH), special_tokens={})
     tokens, counts = pretokenize([t or "" for t in texts])
     assert counts.sum() == len(tokens)
-    for r in bpe_codec.round_trip_report(frame, PATH, PATTERN).collect():
+    for r in bpe_codec.round_trip_report(frame, PATH).collect():
         ids = encoding.encode_ordinary(texts[r.doc_id] or "")
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(b"".join(struct.pack("<I", i) for i in ids)).hexdigest()
@@ -298,3 +299,22 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
         docs, left = spark.createDataFrame(out.toPandas(), docs.schema), now
     assert docs.where(F.col("text").contains("AKIA")).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == left
+
+
+def test_long_words_merge_as_the_library_does():
+    rng, ranks = random.Random(4), bpe_codec.load_ranks(PATH)
+    encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for letters in ("x", "ab", "aehinorst", "abcdefghijklmnopqrstuvwxyzäéß"):
+        for n in (1, 3, 30, 199, 201, 3000):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            want = encoding.encode_ordinary(word)
+            assert bpe_codec.merge(word.encode(), ranks) == want == (ranks.get(word.encode()) is not None and want or bpe_codec._merge_long(word.encode(), ranks))
+
+
+def test_an_input_that_changes_between_scans_is_an_error(spark):
+    row = bpe_codec._reassemble
+    import pyarrow as pa
+
+    table = pa.table({"block": [0, 0], "digest": [1, 2], "bucket": [-1, 0], "blob": [b"", b""], "ids": [[1], None]})
+    with pytest.raises(ValueError, match="read again"):
+        row(table)
