@@ -43,7 +43,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes of each document."""
-    return bpe_codec.round_trip_report(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return bpe_codec.round_trip_report(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY))
 
 
 STAGES = [
