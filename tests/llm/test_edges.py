@@ -28,7 +28,7 @@ DOC_OPERATORS = {
     "minhash": lambda s, d: prob_minhash.near_duplicates(d),
     "windows": lambda s, d: compact_windows.repeats(d),
     "winnowing": lambda s, d: winnowing.contamination(d, items(s)),
-    "language": lambda s, d: language_gru.predict(d, language_gru.train([("en", b"word", 3), ("fr", "été".encode(), 3)], steps=5)),
+    "language": lambda s, d: language_gru.predict(d, language_gru.train([("en", b"word"), ("fr", "été".encode())], steps=5)),
 }
 
 
@@ -74,10 +74,12 @@ def test_quality_without_labels_or_with_one_class(spark):
 
 def test_language_without_letters_or_model(spark):
     docs = odd_docs(spark)
-    net = language_gru.train([("en", b"word", 3), ("fr", "été".encode(), 3)], steps=5)
+    net = language_gru.train([("en", b"word"), ("fr", "été".encode())], steps=5)
     got = {r.doc_id: r.lang_pred for r in language_gru.predict(docs, net).collect()}
     assert got[1] == got[2] == got[3] == "und" and got[6] in ("en", "fr")
     assert {r.lang_pred for r in language_gru.predict(docs, None).collect()} == {"und"}
+    short = spark.createDataFrame([(1, "'s"), (2, "12 '"), (3, "\u0301")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in language_gru.predict(short, net).orderBy("doc_id").collect()] == [False, True, True]
 
 
 def test_vocabulary_covers_all_bytes():

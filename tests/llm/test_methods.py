@@ -259,6 +259,29 @@ def test_gru_gradients_are_those_of_the_loss():
         assert grads[name][where] == pytest.approx((losses[0] - losses[1]) / (2 * eps), rel=0.05, abs=1e-4)
 
 
+def test_pooling_equals_reading_position_by_position():
+    rng = random.Random(3)
+    net = language_gru.Network(["a", "b", "c"], seed=2)
+    parts = ["word", "ÉTÉ", "'s", " ", ", ", "\n", "12", "ß", "x" * 70, "日本" * 30, "Und so", "-", "é" * 61]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(30)] + ["", "1", "It's"]
+    data, start, end, owner = language_gru.segments(texts)
+    for k, text in enumerate(texts):
+        runs = re.findall(r"[^\W\d_]+", text)
+        stream = " ".join(x.lower() for x in runs)
+        own = [data[a:b].tobytes() for a, b, o in zip(start, end, owner) if o == k]
+        assert b"".join(own).decode().rstrip(" ") == stream and all(len(p) < 3 * language_gru.SPAN for p in own)
+        assert [p.decode() for p in own] or not own  # no character is cut
+        total, seen = np.zeros(3), 0
+        for piece in own:
+            p = net.positions(np.frombuffer(piece, np.uint8)[:, None])[:, 0]
+            for at, byte in enumerate(piece):
+                if byte != 32:
+                    total, seen = total + p[at], seen + 1
+        lang, score = language_gru.label([text], net)
+        assert lang == [net.languages[int(total.argmax())] if seen else "und"]
+        assert score[0] == pytest.approx(total.max() / seen if seen else 0, abs=1e-4)
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = language_gru.language_report(docs.select("doc_id", "text", "lang")).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
