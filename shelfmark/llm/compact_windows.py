@@ -3,23 +3,26 @@
 Tokens are the five-word shingles of a text; grams of fifteen words (three shingles) are hashed.  The node of a
 text's Cartesian tree over the hashes with root c and range [l, r] is a compact window: every stretch inside it that
 covers c has the min-hash of gram c.  Windows of fewer than GRAMS grams are left out, so about 2 / 12 of the grams stay.
-Windows of two texts meet if their roots are the same gram; frequent lines of fewer words never form a group.
-Within a group every window is joined with that of the smallest id; all stretches over the root, on its diagonal, are
-candidates.
-Candidates of a pair of documents are verified on their shingle sequences: a stretch of MIN_WORDS words
-repeats another if their shingle sets have a Jaccard similarity of 0.8 or more, where edits may shift the
-text by up to SHIFT words.  Windows whose root no verified stretch covers go on to the next smallest place
-of their key for ROUNDS rounds; those still open are then compared with all others of the key, in blocks.
+Windows of two texts meet if their roots are the same gram.  That alone would gather every text that holds a common
+line of 25 words, so windows that meet are joined with further hashes: for each root and side, HASHES min-hashes of the
+shingles BAND behind (or before) the gram.  A key is a root with one of these; texts that share 30 words or fewer
+have none in common.  A passage that is repeated word for word holds a root whose band lies inside as well.
+
+Texts with the same words are one class, which goes on as its smallest id; the copies repeat it as a whole.  In every
+group of a key all windows are compared with that of the smallest id: stretches over the root, on its diagonal, are
+candidates.  They are verified on the shingle sequences of both texts: a stretch of MIN_WORDS words repeats another if
+their shingle sets have a Jaccard similarity of 0.8 or more, where edits may shift the text by up to SHIFT words.  A
+window is settled when root and band lie in a verified stretch.  Groups with open windows go on with their next
+smallest window for ROUNDS rounds in all; what is open then is compared with all others of the key, in blocks.
 
 A stretch of 46 shingles with similarity 0.8 has at most five that match nothing.  A changed, added or dropped word inside
 breaks four or five in a row, so that there is one such place, and a run of RUN = 21 shingles stays whole (words that
-repeat themselves aside).  Such a run holds GRAMS = 11 grams, and the smallest of them is a root in both texts: no
-such stretch is missed by the hash.
+repeat themselves aside).  Such a run holds GRAMS = 11 grams, and the smallest of them is a root in both texts.
 
-Defined results: null and empty texts, and texts of fewer than MIN_WORDS
-words, have no passages; rows that share an id count as the smallest text of that id; rows with a null id
-are not compared; each input row gives one output row; an empty table gives an empty result; other
-columns are not read.
+Defined results: null and empty texts, and texts of fewer than MIN_WORDS words, have no passages; rows that share an
+id count as the smallest text of that id; rows with a null id are not compared; of equal hashes (ties) the leftmost is the
+root; a very long text is one sequence, whose memory grows with it; each input row gives one output row; an empty table
+gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import cut
-from shelfmark.llm.words import BLOCK_BYTES, SHINGLE, all_shingles, blocks, mix, word_hashes
+from shelfmark.llm.common import cut, frugal
+from shelfmark.llm.words import SHINGLE, all_shingles, blocks, mix, word_hashes
 
 MIN_WORDS = 50
 SPAN = MIN_WORDS - SHINGLE + 1  # shingles of a passage
@@ -43,6 +46,8 @@ SHIFT = 5
 CONTEXT = (5, 10)
 RUN = 21
 GRAMS = RUN - CONTEXT[-1]
+#: Min-hashes of each side of a root, and the shingles that they are of, from the gram's end (or its start).
+HASHES, BAND = 2, (15, 25)
 #: Rounds against the smallest place of a key, before all places left are compared.
 ROUNDS = 2
 #: Windows of a key in a block of that comparison, and the shingles around a root that a stretch over it can touch.
@@ -95,9 +100,10 @@ def compact_windows(values: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, n
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts -> (key, id, place): the gram and the place of the root of each window."""
+    frugal()
     for batch in batches:
         texts, ids = [t or b"" for t in batch.column(1).to_pylist()], batch.column(0).to_numpy()
-        for a, b in blocks(texts, BLOCK_BYTES):
+        for a, b in blocks(texts):
             words, counts = word_hashes(texts[a:b])
             shingles, number = all_shingles(words, counts)
             # one zero before, between and after the sequences, and where no whole gram begins
@@ -121,6 +127,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts -> (id, shingle sequence, packed): 32 bits of each hash, which decide by place, not by set."""
+    frugal()
     for batch in batches:
         texts = [t or b"" for t in batch.column(1).to_pylist()]
         for a, b in blocks(texts):
@@ -140,11 +147,15 @@ def repeated_spans(source: np.ndarray, text: np.ndarray, places: list[tuple[int,
         part = text[low : high + 1]
         if part.size < span:
             continue
+        begin, stop = max(low, diagonal), min(high + 1, source.size + diagonal)  # where the diagonal meets the source
         equal = np.zeros(part.size, bool)
-        for shift in range(-SHIFT, SHIFT + 1):
-            at = np.arange(low, high + 1) - diagonal + shift
+        if begin < stop:
+            equal[begin - low : stop - low] = part[begin - low : stop - low] == source[begin - diagonal : stop - diagonal]
+        rest = np.flatnonzero(~equal)
+        for shift in [x for x in range(-SHIFT, SHIFT + 1) if x] if rest.size else ():
+            at = rest + (low - diagonal + shift)
             ok = (at >= 0) & (at < source.size)
-            equal[ok] |= part[ok] == source[at[ok]]
+            equal[rest[ok]] |= part[rest[ok]] == source[at[ok]]
         matched[low : high + 1] |= equal
         total = np.concatenate([[0], np.cumsum(equal)])
         starts = np.flatnonzero(total[span:] - total[:-span] >= need) + low
@@ -159,6 +170,7 @@ def repeated_spans(source: np.ndarray, text: np.ndarray, places: list[tuple[int,
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    frugal()
     for batch in batches:
         sources, repeats, starts, ends = [], [], [], []
         for a, b, places, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -180,16 +192,18 @@ def _around(packed: bytes, root: int) -> np.ndarray:
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, keys, places, shingles) -> (key, id, place, alike): a number for the shingles around each root."""
+    """(id, keys, places, opens, shingles) -> (key, id, place, open, alike): a number for the shingles around each root."""
+    frugal()
     for batch in batches:
-        for i, keys, places, packed in zip(*(batch.column(c) for c in ("id", "keys", "places", "shingles")), strict=True):
+        for i, keys, places, opens, packed in zip(*(batch.column(c) for c in ("id", "keys", "places", "opens", "shingles")), strict=True):
             packed, places = packed.as_py(), places.values.to_numpy()
             alike = [int.from_bytes(blake2b(_around(packed, p).tobytes(), digest_size=8).digest(), "little", signed=True) for p in places.tolist()]
-            yield pa.RecordBatch.from_arrays([keys.values, pa.array(np.full(places.size, i.as_py())), pa.array(places), pa.array(alike, pa.int64())], names=["key", "id", "place", "alike"])
+            yield pa.RecordBatch.from_arrays([keys.values, pa.array(np.full(places.size, i.as_py())), pa.array(places), opens.values, pa.array(alike, pa.int64())], names=["key", "id", "place", "open", "alike"])
 
 
 def _locals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["key", "alike", "low", "high", "place", "left", "right", "block"]
+    frugal()
+    names = ["key", "alike", "low", "high", "place", "open", "left", "right", "block"]
     for batch in batches:
         local = [_around(x, p).tobytes() for x, p in zip(batch.column("shingles").to_pylist(), batch.column("place").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(local, pa.binary())], names=[*names, "local"])
@@ -227,12 +241,22 @@ def _in_runs(group: np.ndarray, local: np.ndarray) -> np.ndarray:
     return shared
 
 
-def _pair_up(low: np.ndarray, high: np.ndarray, block: np.ndarray, local: np.ndarray, cross: bool) -> Iterator[tuple[int, int, int, int]]:
-    """(row, source, start, end) of each class of equal surroundings, and of the smallest id that it repeats."""
+def _can_repeat(group: np.ndarray, local: np.ndarray) -> np.ndarray:
+    """Rows with a stretch of surroundings that could repeat another row of their group: enough of its shingles
+    stand anywhere else in the group."""
+    need = int(np.ceil(SIMILARITY * 2 * SPAN / (1 + SIMILARITY) - 1e-9))
+    _, of, count = np.unique(mix(local + (group.astype(np.uint64)[:, None] << np.uint64(32))), return_inverse=True, return_counts=True)
+    total = np.zeros((len(local), local.shape[1] + 1), np.int32)
+    np.cumsum((count[of.reshape(local.shape)] > 1) & (local != 0), axis=1, out=total[:, 1:])
+    return (total[:, SPAN:] - total[:, :-SPAN] >= need).any(axis=1)
+
+
+def _pair_up(low: np.ndarray, high: np.ndarray, block: np.ndarray, wanted: np.ndarray, local: np.ndarray, cross: bool) -> Iterator[tuple[int, int, int, int]]:
+    """(row, source, start, end) of each wanted class of equal surroundings, and of the smallest id that it repeats."""
     order = np.argsort(low, kind="stable")
-    low, high, block, local = low[order], high[order], block[order], local[order]
+    low, high, block, wanted, local = low[order], high[order], block[order], wanted[order], local[order]
     smaller = np.searchsorted(low, high)
-    for y in range(len(low)):
+    for y in np.flatnonzero(wanted).tolist():
         others = np.arange(smaller[y])
         if cross:
             others = others[block[others] != block[y]]
@@ -251,19 +275,24 @@ def _pair_up(low: np.ndarray, high: np.ndarray, block: np.ndarray, local: np.nda
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Classes in pairs of blocks, those of a pair next to each other -> (key, alike, source, start, end), from the root."""
+    frugal()
     held: list[pa.RecordBatch] = []
 
     def spans(table: pa.Table) -> pa.RecordBatch:
         of = np.stack([table[c].to_numpy().astype(np.int64) for c in ("key", "left", "right")], axis=1)
         local = np.frombuffer(b"".join(table["local"].to_pylist()), np.uint32).reshape(len(of), -1)
         group = np.concatenate([[0], np.cumsum((of[1:] != of[:-1]).any(axis=1))])
-        low, high, block, key, alike = (table[c].to_numpy() for c in ("low", "high", "block", "key", "alike"))
-        open_ = np.flatnonzero(_in_runs(group, local) | (low < high))
+        low, high, block, key, alike, wanted = (table[c].to_numpy() for c in ("low", "high", "block", "key", "alike", "open"))
+        wanted = wanted.astype(bool) & (_can_repeat(group, local) | (low < high))
+        some = np.zeros(int(group.max()) + 1, bool)
+        some[group[wanted]] = True
+        rest = np.flatnonzero(some[group])
+        open_ = rest[_in_runs(group[rest], local[rest]) | (low < high)[rest]]
         edge = np.flatnonzero(np.diff(group[open_], prepend=-1, append=-1)).tolist()
         rows = []
         for a, b in zip(edge, edge[1:]):
             at = open_[a:b]
-            for y, *found in _pair_up(low[at], high[at], block[at], local[at], of[at[0], 1] != of[at[0], 2]):
+            for y, *found in _pair_up(low[at], high[at], block[at], wanted[at], local[at], of[at[0], 1] != of[at[0], 2]):
                 rows.append((key[at[y]], alike[at[y]], *found))
         columns = list(zip(*rows)) or [[]] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
@@ -285,12 +314,41 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield spans(pa.Table.from_batches(held))
 
 
-def _first_place(windows: DataFrame) -> DataFrame:
-    """Windows of the keys of two or more documents, with the smallest id of the key and its first place."""
-    ends = windows.groupBy("key").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source < last").select("key", "source")
-    inside = cut(windows.join(ends, "key"))
-    theirs = inside.where("id = source").groupBy("key").agg(F.min("place").alias("theirs"))
-    return inside.join(theirs, "key")
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, places, shingles) -> (key, id, place, low, high): keys of each root, and the shingles from the first to the
+    last that a key is made of, counted from the root."""
+    frugal()
+    near, far = BAND
+    for batch in batches:
+        for i, places, packed in zip(*(batch.column(c) for c in ("id", "places", "shingles")), strict=True):
+            text = np.frombuffer(packed.as_py(), np.uint32).astype(np.uint64)
+            places = places.values.to_numpy().astype(np.int64)
+            gram = text[places]
+            for step in CONTEXT:
+                gram = mix(gram * np.uint64(31) + text[places + step])
+            found = []
+            for k in range(HASHES):
+                value = mix(text ^ np.uint64(k + 1 << 40))
+                least = _sliding(value, far - near + 1, np.minimum) if text.size > far - near else value[:0]
+                for side, at in ((0, places - far), (1, places + CONTEXT[-1] + near)):
+                    ok = np.flatnonzero((at >= 0) & (at < least.size))
+                    at, root = at[ok], places[ok]
+                    where = np.zeros(at.size, np.int64)
+                    for step in range(far - near, -1, -1):
+                        where = np.where(value[at + step] == least[at], at + step, where)
+                    key = mix(gram[ok] * np.uint64(31) + least[at] + np.uint64(2 * k + side))
+                    low, high = (root * 0, where - root) if side else (where - root, root * 0 + CONTEXT[-1])
+                    found.append((key.view(np.int64), root, low, high))
+            columns = [np.concatenate(c) for c in zip(*found)]
+            key, root, low, high = (pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int16(), pa.int16()), strict=True))
+            yield pa.RecordBatch.from_arrays([key, pa.array(np.full(len(key), i.as_py())), root, low, high], names=["key", "id", "place", "low", "high"])
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows of the keys of two or more documents, with the first place of the smallest one (its leader)."""
+    lead = F.min(F.struct("id", "place")).alias("lead")
+    ends = rows.groupBy("key").agg(lead, F.max("id").alias("last")).where("lead.id < last")
+    return rows.join(ends.select("key", F.col("lead.id").alias("source"), F.col("lead.place").alias("theirs")), "key")
 
 
 def _verified(joined: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -308,68 +366,86 @@ def _verified(joined: DataFrame, sequences: DataFrame) -> DataFrame:
     return cut(both.select("source", "id", "places", "x", "y").mapInArrow(_verify, "source bigint, id bigint, start int, end int"))
 
 
+def _intervals(spans: DataFrame, *by: str) -> DataFrame:
+    """Spans of the same columns ``by`` that overlap or touch become one."""
+    order = Window.partitionBy(*by).orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    part = F.sum(F.when(F.col("start") <= F.col("before"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return spans.withColumn("before", before).withColumn("part", part).groupBy(*by, "part").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("part")
+
+
 def _all_places(windows: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Spans of windows against all others of their key.  Windows with the same surroundings form a class, compared
+    """Spans of open windows against all others of their key.  Windows with the same surroundings form a class, compared
     once; each pair of blocks of classes of a key is a group of rows."""
     shared = windows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    of_text = windows.join(shared, "key", "left_semi").groupBy("id").agg(F.collect_list("key").alias("keys"), F.collect_list("place").alias("places"))
-    members = cut(of_text.join(sequences, "id").mapInArrow(_surroundings, "key bigint, id bigint, place bigint, alike bigint"))
-    classes = members.groupBy("key", "alike").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("place", "id").alias("place"))
+    window = F.collect_list(F.struct("key", "place", "open")).alias("w")
+    of_text = windows.join(shared, "key", "left_semi").groupBy("id").agg(window).select("id", F.col("w.key").alias("keys"), F.col("w.place").alias("places"), F.col("w.open").alias("opens"))
+    members = cut(of_text.join(sequences, "id").mapInArrow(_surroundings, "key bigint, id bigint, place bigint, open boolean, alike bigint"))
+    classes = members.groupBy("key", "alike").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("place", "id").alias("place"), F.max("open").alias("open"))
     count = classes.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = cut(classes.join(count, "key").withColumn("block", F.pmod("alike", F.col("blocks")).cast("int")))
     other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = other.select("key", "alike", "low", "high", "place", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block")
+    dealt = other.select("key", "alike", "low", "high", "place", "open", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block")
     local = dealt.join(sequences.select(F.col("id").alias("low"), "shingles"), "low")
-    local = local.mapInArrow(_locals, "key bigint, alike bigint, low bigint, high bigint, place bigint, left int, right int, block int, local binary")
+    local = local.mapInArrow(_locals, "key bigint, alike bigint, low bigint, high bigint, place bigint, open boolean, left int, right int, block int, local binary")
     # a fixed number of tasks: the work grows with pairs, not with bytes
     tasks = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = local.repartition(tasks, "key", "left", "right").sortWithinPartitions("key", "left", "right")
     found = cut(sorted_.mapInArrow(_compare, "key bigint, alike bigint, source bigint, from int, to int"))
     place = lambda c: (F.col("place") + F.col(c)).cast("int")
-    return cut(members.join(found, ["key", "alike"]).where("source < id").select("source", "id", place("from").alias("start"), place("to").alias("end")).distinct())
+    return cut(members.where("open").join(found, ["key", "alike"]).where("source < id").select("source", "id", place("from").alias("start"), place("to").alias("end")).distinct())
 
 
-def _merged(found: DataFrame) -> DataFrame:
-    """Spans of a pair of documents that overlap or touch become one."""
-    order = Window.partitionBy("source", "id").orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    part = F.sum(F.when(F.col("start") <= F.col("before"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    parts = found.withColumn("before", before).withColumn("part", part)
-    return parts.groupBy("source", "id", "part").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("part")
+def _class_sequences(docs: DataFrame) -> DataFrame:
+    """(id, shingles, rep): one row per id with a passage's length of words; ``rep`` is the smallest id of the same words."""
+    rows = docs.mapInArrow(_sequences, "id bigint, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles"))
+    rows = cut(rows.where(F.octet_length("shingles") >= 4 * SPAN).withColumn("digest", F.md5("shingles")))
+    reps = rows.groupBy("digest").agg(F.min("id").alias("rep"))
+    return rows.join(reps, "digest").select("id", "shingles", "rep")
 
 
 def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (source, id, start, end): words [start, end) of document ``id`` repeat a passage of ``source``,
-    a document with a smaller id."""
+    a document with a smaller id.  Copies of a text repeat only the smallest id that has it."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).where("id is not null")
-    left, found, sequences = docs.mapInArrow(_anchors, "key bigint, id bigint, place bigint"), None, None
+    windows = docs.mapInArrow(_anchors, "key bigint, id bigint, place bigint")
+    ends = windows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    roots = cut(windows.join(ends, "key").groupBy("id").agg(F.collect_list("place").alias("places")))
+    named = roots.select(F.col("id").alias("node"))
+    named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    classes = cut(_class_sequences(docs.join(named, F.col("id") == F.col("node"), "left_semi")))
+    copies = classes.where("id != rep").select(F.col("rep").alias("source"), "id", F.lit(0).alias("start"), (F.octet_length("shingles") / 4 + (SHINGLE - 1)).cast("int").alias("end"))
+    sequences = classes.where("id = rep").select("id", "shingles")
+
+    left = roots.join(sequences, "id").mapInArrow(_keys, "key bigint, id bigint, place bigint, low smallint, high smallint").withColumn("open", F.lit(True))
+    found = None
     for _ in range(ROUNDS):
-        dealt = _first_place(left)
-        if sequences is None:
-            named = cut(dealt.select(F.col("id").alias("node")).distinct())
-            named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
-            texts = docs.join(named, F.col("id") == F.col("node"), "left_semi")
-            sequences = cut(texts.mapInArrow(_sequences, "id bigint, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles")))
-        tried = dealt.where("id != source")
-        spans = _verified(tried, sequences)
-        found = spans if found is None else found.unionByName(spans)
-        hit = spans.select(F.col("source").alias("s"), F.col("id").alias("i"), "start", "end")
-        covered = (F.col("source") == F.col("s")) & (F.col("id") == F.col("i")) & (F.col("place") >= F.col("start")) & (F.col("place") < F.col("end"))
-        unmet = tried.join(hit, covered, "left_anti").unionByName(dealt.where("id = source and place != theirs"))
-        left = cut(unmet.select("key", "id", "place"))
-    return _merged(found.unionByName(_all_places(left, sequences)))
+        dealt = cut(_shared(left))
+        spans = _verified(dealt.where("open and id != source"), sequences)
+        found = spans if found is None else cut(found.unionByName(spans))
+        # settled: root and band in one verified stretch
+        inside = _intervals(found.select("id", "start", "end"), "id").select(F.col("id").alias("i"), "start", "end")
+        lies = (F.col("id") == F.col("i")) & (F.col("place") + F.col("low") >= F.col("start")) & (F.col("place") + F.col("high") + SHINGLE <= F.col("end"))
+        rest = dealt.where("not (id = source and place = theirs)").select("key", "id", "place", "low", "high", "open")
+        still = rest.where("open").join(inside, lies, "left_anti")
+        waiting = cut(still.select(F.col("key").alias("k"), F.col("id").alias("i"), F.col("place").alias("p")))
+        live = rest.drop("open").join(waiting.select(F.col("k").alias("key")).distinct(), "key")
+        same = (F.col("key") == F.col("k")) & (F.col("id") == F.col("i")) & (F.col("place") == F.col("p"))
+        left = cut(live.join(waiting.distinct(), same, "left").select("key", "id", "place", "low", "high", F.col("k").isNotNull().alias("open")))
+    return _intervals(found.unionByName(_all_places(left, sequences)).unionByName(copies), "source", "id")
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: n_repeat_words inside passages of documents with smaller ids, those ids
     (sources), the word spans, and n_repeated_by (documents that repeat a passage of this one)."""
     found = cut(passages(df, id_col, text_col))
-    words = F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("end") - 1))))
-    spans = F.sort_array(F.collect_set(F.struct("start", "end")))
-    own = found.groupBy(F.col("id").alias("r_id")).agg(F.size(words).cast("long").alias("n_repeat_words"), F.sort_array(F.collect_set("source")).alias("sources"), spans.alias("spans"))
-    used = found.select("source", "id").distinct().groupBy(F.col("source").alias("s_id")).agg(F.count("*").alias("n_repeated_by"))
+    spans = _intervals(found.select("id", "start", "end"), "id").groupBy(F.col("id").alias("r_id"))
+    own = spans.agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("n_repeat_words"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    pairs = found.select("source", "id").distinct()
+    sources = pairs.groupBy(F.col("id").alias("p_id")).agg(F.sort_array(F.collect_list("source")).alias("sources"))
+    used = pairs.groupBy(F.col("source").alias("s_id")).agg(F.count("*").alias("n_repeated_by"))
     rows = df.select(F.col(id_col).cast("long").alias("id"))
-    joined = rows.join(own, F.col("id") == F.col("r_id"), "left").join(used, F.col("id") == F.col("s_id"), "left")
+    joined = rows.join(own, F.col("id") == F.col("r_id"), "left").join(sources, F.col("id") == F.col("p_id"), "left").join(used, F.col("id") == F.col("s_id"), "left")
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return joined.select(
         F.col("id").alias(id_col),
