@@ -9,11 +9,11 @@ shingles BAND behind (or before) the gram.  A key is a root with one of these; t
 have none in common.  A passage that is repeated word for word holds a root whose band lies inside as well.
 
 Texts with the same words are one class, which goes on as its smallest id; the copies repeat it as a whole.  In every
-group of a key all windows are compared with that of the smallest id: stretches over the root, on its diagonal, are
-candidates.  They are verified on the shingle sequences of both texts: a stretch of MIN_WORDS words repeats another if
-their shingle sets have a Jaccard similarity of 0.8 or more, where edits may shift the text by up to SHIFT words.  A
-window is settled when root and band lie in a verified stretch.  Groups with open windows go on with their next
-smallest window for ROUNDS rounds in all; what is open then is compared with all others of the key, in blocks.
+group of a key all windows are first compared with that of the smallest id, the leader: stretches over the root, on its
+diagonal, are candidates.  They are verified on the shingle sequences of both texts: a stretch of MIN_WORDS words
+repeats another if their shingle sets have a Jaccard similarity of 0.8 or more, where edits may shift the text by up to
+SHIFT words.  A window is settled when root and band lie in one verified stretch of its text.  Every other window is then
+compared with all windows of its key, in blocks.
 
 A stretch of 46 shingles with similarity 0.8 has at most five that match nothing.  A changed, added or dropped word inside
 breaks four or five in a row, so that there is one such place, and a run of RUN = 21 shingles stays whole (words that
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import cut, frugal
+from shelfmark.llm.common import Scratch, cut, frugal
 from shelfmark.llm.words import SHINGLE, all_shingles, blocks, mix, word_hashes
 
 MIN_WORDS = 50
@@ -48,8 +48,6 @@ RUN = 21
 GRAMS = RUN - CONTEXT[-1]
 #: Min-hashes of each side of a root, and the shingles that they are of, from the gram's end (or its start).
 HASHES, BAND = 2, (15, 25)
-#: Rounds against the smallest place of a key, before all places left are compared.
-ROUNDS = 2
 #: Windows of a key in a block of that comparison, and the shingles around a root that a stretch over it can touch.
 BLOCK = 1024
 REACH = SPAN - 1 + SHIFT
@@ -121,7 +119,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of[where] = owner
             root = compact_windows(line, GRAMS)[1]
             doc = of[root]
-            columns = [line[root].view(np.int64), ids[a:b][doc], root - begin[doc]]
+            columns = [line[root].view(np.int64), ids[a:b][doc], (root - begin[doc]).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "place"])
 
 
@@ -147,15 +145,11 @@ def repeated_spans(source: np.ndarray, text: np.ndarray, places: list[tuple[int,
         part = text[low : high + 1]
         if part.size < span:
             continue
-        begin, stop = max(low, diagonal), min(high + 1, source.size + diagonal)  # where the diagonal meets the source
         equal = np.zeros(part.size, bool)
-        if begin < stop:
-            equal[begin - low : stop - low] = part[begin - low : stop - low] == source[begin - diagonal : stop - diagonal]
-        rest = np.flatnonzero(~equal)
-        for shift in [x for x in range(-SHIFT, SHIFT + 1) if x] if rest.size else ():
-            at = rest + (low - diagonal + shift)
-            ok = (at >= 0) & (at < source.size)
-            equal[rest[ok]] |= part[rest[ok]] == source[at[ok]]
+        for other in range(diagonal - SHIFT, diagonal + SHIFT + 1):  # where a diagonal meets the source
+            begin, stop = max(low, other), min(high + 1, source.size + other)
+            if begin < stop:
+                equal[begin - low : stop - low] |= part[begin - low : stop - low] == source[begin - other : stop - other]
         matched[low : high + 1] |= equal
         total = np.concatenate([[0], np.cumsum(equal)])
         starts = np.flatnonzero(total[span:] - total[:-span] >= need) + low
@@ -340,7 +334,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     low, high = (root * 0, where - root) if side else (where - root, root * 0 + CONTEXT[-1])
                     found.append((key.view(np.int64), root, low, high))
             columns = [np.concatenate(c) for c in zip(*found)]
-            key, root, low, high = (pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int16(), pa.int16()), strict=True))
+            key, root, low, high = (pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.int16(), pa.int16()), strict=True))
             yield pa.RecordBatch.from_arrays([key, pa.array(np.full(len(key), i.as_py())), root, low, high], names=["key", "id", "place", "low", "high"])
 
 
@@ -351,6 +345,14 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.join(ends.select("key", F.col("lead.id").alias("source"), F.col("lead.place").alias("theirs")), "key")
 
 
+def _still_open(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows whose root and band do not lie in one verified stretch of the text."""
+    spans = _intervals(found.select("id", "start", "end"), "id").groupBy(F.col("id").alias("i")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    first, last = F.col("place") + F.col("low"), F.col("place") + F.col("high") + SHINGLE
+    settled = F.exists("spans", lambda s: (first >= s["start"]) & (last <= s["end"]))
+    return rows.join(spans, F.col("id") == F.col("i"), "left").where(~F.coalesce(settled, F.lit(False))).drop("i", "spans")
+
+
 def _verified(joined: DataFrame, sequences: DataFrame) -> DataFrame:
     """Spans (source, id, start, end) of windows against the first place of their key."""
     low, high = F.col("place") - (SPAN - 1), F.col("place") + (SPAN - 1)
@@ -363,7 +365,7 @@ def _verified(joined: DataFrame, sequences: DataFrame) -> DataFrame:
     )
     with_source = pairs.join(sequences.select(F.col("id").alias("source"), F.col("shingles").alias("x")), "source")
     both = with_source.join(sequences.select("id", F.col("shingles").alias("y")), "id")
-    return cut(both.select("source", "id", "places", "x", "y").mapInArrow(_verify, "source bigint, id bigint, start int, end int"))
+    return both.select("source", "id", "places", "x", "y").mapInArrow(_verify, "source bigint, id bigint, start int, end int")
 
 
 def _intervals(spans: DataFrame, *by: str) -> DataFrame:
@@ -374,71 +376,69 @@ def _intervals(spans: DataFrame, *by: str) -> DataFrame:
     return spans.withColumn("before", before).withColumn("part", part).groupBy(*by, "part").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("part")
 
 
-def _all_places(windows: DataFrame, sequences: DataFrame) -> DataFrame:
+def _all_places(windows: DataFrame, sequences: DataFrame, scratch: Scratch) -> DataFrame:
     """Spans of open windows against all others of their key.  Windows with the same surroundings form a class, compared
     once; each pair of blocks of classes of a key is a group of rows."""
     shared = windows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     window = F.collect_list(F.struct("key", "place", "open")).alias("w")
     of_text = windows.join(shared, "key", "left_semi").groupBy("id").agg(window).select("id", F.col("w.key").alias("keys"), F.col("w.place").alias("places"), F.col("w.open").alias("opens"))
-    members = cut(of_text.join(sequences, "id").mapInArrow(_surroundings, "key bigint, id bigint, place bigint, open boolean, alike bigint"))
+    members = scratch.keep(of_text.join(sequences, "id").mapInArrow(_surroundings, "key bigint, id bigint, place int, open boolean, alike bigint"))
     classes = members.groupBy("key", "alike").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("place", "id").alias("place"), F.max("open").alias("open"))
     count = classes.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = cut(classes.join(count, "key").withColumn("block", F.pmod("alike", F.col("blocks")).cast("int")))
+    rows = scratch.keep(classes.join(count, "key").withColumn("block", F.pmod("alike", F.col("blocks")).cast("int")))
     other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = other.select("key", "alike", "low", "high", "place", "open", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block")
     local = dealt.join(sequences.select(F.col("id").alias("low"), "shingles"), "low")
-    local = local.mapInArrow(_locals, "key bigint, alike bigint, low bigint, high bigint, place bigint, open boolean, left int, right int, block int, local binary")
+    local = local.mapInArrow(_locals, "key bigint, alike bigint, low bigint, high bigint, place int, open boolean, left int, right int, block int, local binary")
     # a fixed number of tasks: the work grows with pairs, not with bytes
     tasks = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = local.repartition(tasks, "key", "left", "right").sortWithinPartitions("key", "left", "right")
-    found = cut(sorted_.mapInArrow(_compare, "key bigint, alike bigint, source bigint, from int, to int"))
+    found = scratch.keep(sorted_.mapInArrow(_compare, "key bigint, alike bigint, source bigint, from int, to int"))
     place = lambda c: (F.col("place") + F.col(c)).cast("int")
-    return cut(members.where("open").join(found, ["key", "alike"]).where("source < id").select("source", "id", place("from").alias("start"), place("to").alias("end")).distinct())
+    return scratch.keep(members.where("open").join(found, ["key", "alike"]).where("source < id").select("source", "id", place("from").alias("start"), place("to").alias("end")).distinct())
 
 
-def _class_sequences(docs: DataFrame) -> DataFrame:
+def _class_sequences(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, shingles, rep): one row per id with a passage's length of words; ``rep`` is the smallest id of the same words."""
     rows = docs.mapInArrow(_sequences, "id bigint, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles"))
-    rows = cut(rows.where(F.octet_length("shingles") >= 4 * SPAN).withColumn("digest", F.md5("shingles")))
-    reps = rows.groupBy("digest").agg(F.min("id").alias("rep"))
-    return rows.join(reps, "digest").select("id", "shingles", "rep")
+    rows = scratch.keep(rows.where(F.octet_length("shingles") >= 4 * SPAN).withColumn("digest", F.md5("shingles")))
+    same = rows.groupBy("digest").agg(F.min("id").alias("rep"))
+    return rows.join(same, "digest").select("id", "shingles", "rep")
 
 
 def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (source, id, start, end): words [start, end) of document ``id`` repeat a passage of ``source``,
     a document with a smaller id.  Copies of a text repeat only the smallest id that has it."""
+    scratch = Scratch(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).where("id is not null")
-    windows = docs.mapInArrow(_anchors, "key bigint, id bigint, place bigint")
+    windows = docs.mapInArrow(_anchors, "key bigint, id bigint, place int")
     ends = windows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    roots = cut(windows.join(ends, "key").groupBy("id").agg(F.collect_list("place").alias("places")))
+    roots = scratch.keep(windows.join(ends, "key").groupBy("id").agg(F.collect_list("place").alias("places")))
     named = roots.select(F.col("id").alias("node"))
     named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
-    classes = cut(_class_sequences(docs.join(named, F.col("id") == F.col("node"), "left_semi")))
-    copies = classes.where("id != rep").select(F.col("rep").alias("source"), "id", F.lit(0).alias("start"), (F.octet_length("shingles") / 4 + (SHINGLE - 1)).cast("int").alias("end"))
+    classes = _class_sequences(docs.join(named, F.col("id") == F.col("node"), "left_semi"), scratch)
+    classes = scratch.keep(classes.withColumn("shingles", F.when(F.col("id") == F.col("rep"), F.col("shingles"))).withColumn("n", (F.octet_length("shingles") / 4).cast("int")))
+    length = classes.where("id = rep").select(F.col("id").alias("r"), (F.col("n") + SHINGLE - 1).alias("end"))
+    copies = classes.where("id != rep").join(length, F.col("rep") == F.col("r")).select(F.col("rep").alias("source"), "id", F.lit(0).alias("start"), "end")
     sequences = classes.where("id = rep").select("id", "shingles")
 
-    left = roots.join(sequences, "id").mapInArrow(_keys, "key bigint, id bigint, place bigint, low smallint, high smallint").withColumn("open", F.lit(True))
-    found = None
-    for _ in range(ROUNDS):
-        dealt = cut(_shared(left))
-        spans = _verified(dealt.where("open and id != source"), sequences)
-        found = spans if found is None else cut(found.unionByName(spans))
-        # settled: root and band in one verified stretch
-        inside = _intervals(found.select("id", "start", "end"), "id").select(F.col("id").alias("i"), "start", "end")
-        lies = (F.col("id") == F.col("i")) & (F.col("place") + F.col("low") >= F.col("start")) & (F.col("place") + F.col("high") + SHINGLE <= F.col("end"))
-        rest = dealt.where("not (id = source and place = theirs)").select("key", "id", "place", "low", "high", "open")
-        still = rest.where("open").join(inside, lies, "left_anti")
-        waiting = cut(still.select(F.col("key").alias("k"), F.col("id").alias("i"), F.col("place").alias("p")))
-        live = rest.drop("open").join(waiting.select(F.col("k").alias("key")).distinct(), "key")
-        same = (F.col("key") == F.col("k")) & (F.col("id") == F.col("i")) & (F.col("place") == F.col("p"))
-        left = cut(live.join(waiting.distinct(), same, "left").select("key", "id", "place", "low", "high", F.col("k").isNotNull().alias("open")))
-    return _intervals(found.unionByName(_all_places(left, sequences)).unionByName(copies), "source", "id")
+    # windows against the leader of their key
+    dealt = scratch.keep(_shared(roots.join(sequences, "id").mapInArrow(_keys, "key bigint, id bigint, place int, low smallint, high smallint")))
+    found = scratch.keep(_verified(dealt.where("id != source"), sequences))
+    # windows that are open then, among all others of their key
+    leads = (F.col("id") == F.col("source")) & (F.col("place") == F.col("theirs"))
+    still = scratch.keep(_still_open(dealt.where(~leads), found).select("key", "id", "place"))
+    others = dealt.join(still.select(F.col("key").alias("k")).distinct(), F.col("key") == F.col("k"), "left_semi").select("key", "id", "place")
+    left = still.withColumn("open", F.lit(True)).unionByName(others.withColumn("open", F.lit(False))).groupBy("key", "id", "place").agg(F.max("open").alias("open"))
+    out = cut(_intervals(found.unionByName(_all_places(left, sequences, scratch)).unionByName(copies), "source", "id"))
+    scratch.clear()
+    return out
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: n_repeat_words inside passages of documents with smaller ids, those ids
     (sources), the word spans, and n_repeated_by (documents that repeat a passage of this one)."""
-    found = cut(passages(df, id_col, text_col))
+    found = passages(df, id_col, text_col)
     spans = _intervals(found.select("id", "start", "end"), "id").groupBy(F.col("id").alias("r_id"))
     own = spans.agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("n_repeat_words"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     pairs = found.select("source", "id").distinct()
