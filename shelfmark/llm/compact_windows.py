@@ -197,7 +197,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _locals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     frugal()
-    names = ["key", "alike", "low", "high", "place", "open", "left", "right", "block"]
+    names = ["key", "alike", "low", "high", "place", "open", "block", "own"]
     for batch in batches:
         local = [_around(x, p).tobytes() for x, p in zip(batch.column("shingles").to_pylist(), batch.column("place").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(local, pa.binary())], names=[*names, "local"])
@@ -245,15 +245,15 @@ def _can_repeat(group: np.ndarray, local: np.ndarray) -> np.ndarray:
     return (total[:, SPAN:] - total[:, :-SPAN] >= need).any(axis=1)
 
 
-def _pair_up(low: np.ndarray, high: np.ndarray, block: np.ndarray, wanted: np.ndarray, local: np.ndarray, cross: bool) -> Iterator[tuple[int, int, int, int]]:
-    """(row, source, start, end) of each wanted class of equal surroundings, and of the smallest id that it repeats."""
+def _pair_up(low: np.ndarray, high: np.ndarray, own: np.ndarray, wanted: np.ndarray, local: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(row, source, start, end) of each wanted class of equal surroundings, and of the smallest id of the block's own
+    that it repeats."""
     order = np.argsort(low, kind="stable")
-    low, high, block, wanted, local = low[order], high[order], block[order], wanted[order], local[order]
-    smaller = np.searchsorted(low, high)
+    low, high, own, wanted, local = low[order], high[order], own[order], wanted[order], local[order]
+    mine = np.flatnonzero(own)
+    smaller = np.searchsorted(low[mine], high)
     for y in np.flatnonzero(wanted).tolist():
-        others = np.arange(smaller[y])
-        if cross:
-            others = others[block[others] != block[y]]
+        others = mine[: smaller[y]]
         near = others[_run(local[others], local[y]) >= RUN]  # a stretch that repeats has such a run, which has a root
         hit = near[_alike(local[near], local[y])]
         text = np.flatnonzero(local[y])
@@ -268,15 +268,18 @@ def _pair_up(low: np.ndarray, high: np.ndarray, block: np.ndarray, wanted: np.nd
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes in pairs of blocks, those of a pair next to each other -> (key, alike, source, start, end), from the root."""
+    """Classes by blocks of a key, those of a block next to each other -> (key, alike, source, start, end), from the root."""
     frugal()
     held: list[pa.RecordBatch] = []
 
+    def marks(batch) -> np.ndarray:
+        return np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "block")], axis=1)
+
     def spans(table: pa.Table) -> pa.RecordBatch:
-        of = np.stack([table[c].to_numpy().astype(np.int64) for c in ("key", "left", "right")], axis=1)
+        of = marks(table)
         local = np.frombuffer(b"".join(table["local"].to_pylist()), np.uint32).reshape(len(of), -1)
         group = np.concatenate([[0], np.cumsum((of[1:] != of[:-1]).any(axis=1))])
-        low, high, block, key, alike, wanted = (table[c].to_numpy() for c in ("low", "high", "block", "key", "alike", "open"))
+        low, high, key, alike, wanted, own = (table[c].to_numpy() for c in ("low", "high", "key", "alike", "open", "own"))
         wanted = wanted.astype(bool) & (_can_repeat(group, local) | (low < high))
         some = np.zeros(int(group.max()) + 1, bool)
         some[group[wanted]] = True
@@ -286,7 +289,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for a, b in zip(edge, edge[1:]):
             at = open_[a:b]
-            for y, *found in _pair_up(low[at], high[at], block[at], wanted[at], local[at], of[at[0], 1] != of[at[0], 2]):
+            for y, *found in _pair_up(low[at], high[at], own[at].astype(bool), wanted[at], local[at]):
                 rows.append((key[at[y]], alike[at[y]], *found))
         columns = list(zip(*rows)) or [[]] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
@@ -295,12 +298,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        of = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "left", "right")], axis=1)
-        last = int(np.flatnonzero((of != of[-1]).any(axis=1)).max(initial=-1)) + 1  # the last pair may go on in the next batch
+        of = marks(batch)
+        last = int(np.flatnonzero((of != of[-1]).any(axis=1)).max(initial=-1)) + 1  # the last block may go on in the next batch
         if last:
             yield spans(pa.Table.from_batches([*held, batch.slice(0, last)]))
             held = []
-        elif held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in ("key", "left", "right")):
+        elif held and (marks(held[-1])[-1] != of[0]).any():
             yield spans(pa.Table.from_batches(held))
             held = []
         held.append(batch.slice(last))
@@ -378,7 +381,7 @@ def _intervals(spans: DataFrame, *by: str) -> DataFrame:
 
 def _all_places(windows: DataFrame, sequences: DataFrame, scratch: Scratch) -> DataFrame:
     """Spans of open windows against all others of their key.  Windows with the same surroundings form a class, compared
-    once; each pair of blocks of classes of a key is a group of rows."""
+    once; classes of a key lie in blocks, and open ones are sent to each block."""
     shared = windows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     window = F.collect_list(F.struct("key", "place", "open")).alias("w")
     of_text = windows.join(shared, "key", "left_semi").groupBy("id").agg(window).select("id", F.col("w.key").alias("keys"), F.col("w.place").alias("places"), F.col("w.open").alias("opens"))
@@ -386,13 +389,15 @@ def _all_places(windows: DataFrame, sequences: DataFrame, scratch: Scratch) -> D
     classes = members.groupBy("key", "alike").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("place", "id").alias("place"), F.max("open").alias("open"))
     count = classes.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = scratch.keep(classes.join(count, "key").withColumn("block", F.pmod("alike", F.col("blocks")).cast("int")))
-    other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = other.select("key", "alike", "low", "high", "place", "open", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block")
+    # every class stands in its own block; only open ones also visit the others
+    base = rows.select("key", "alike", "low", "high", "place", "open", "block", F.lit(True).alias("own"))
+    away = rows.where("open and blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other != block")
+    dealt = base.unionByName(away.select("key", "alike", "low", "high", "place", "open", F.col("other").alias("block"), F.lit(False).alias("own")))
     local = dealt.join(sequences.select(F.col("id").alias("low"), "shingles"), "low")
-    local = local.mapInArrow(_locals, "key bigint, alike bigint, low bigint, high bigint, place int, open boolean, left int, right int, block int, local binary")
-    # a fixed number of tasks: the work grows with pairs, not with bytes
+    local = local.mapInArrow(_locals, "key bigint, alike bigint, low bigint, high bigint, place int, open boolean, block int, own boolean, local binary")
+    # a fixed number of tasks: the work grows with comparisons, not with bytes
     tasks = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = local.repartition(tasks, "key", "left", "right").sortWithinPartitions("key", "left", "right")
+    sorted_ = local.repartition(tasks, "key", "block").sortWithinPartitions("key", "block")
     found = scratch.keep(sorted_.mapInArrow(_compare, "key bigint, alike bigint, source bigint, from int, to int"))
     place = lambda c: (F.col("place") + F.col(c)).cast("int")
     return scratch.keep(members.where("open").join(found, ["key", "alike"]).where("source < id").select("source", "id", place("from").alias("start"), place("to").alias("end")).distinct())

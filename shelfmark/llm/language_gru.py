@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import frugal, held_out
+from shelfmark.llm.common import cut, frugal, held_out
 from shelfmark.llm.pretokens import LETTER, code_point_classes
 
 #: Documents of each language in the training sample (in expectation), and segments of each of them.
@@ -36,6 +36,8 @@ HIDDEN, SPAN, STEPS, BATCH, RATE = 8, 64, 400, 128, 0.02
 #: Segments that are read side by side, and characters of a block of texts.
 LANES, BLOCK_CHARS = 1024, 1 << 20
 SEPARATOR = 32
+#: Languages are broadcast up to so many, and joined by a shuffle beyond.
+BROADCAST_LANGUAGES = 10_000
 
 
 # --- text -> segments -----------------------------------------------------------------------------
@@ -265,7 +267,10 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """Train on segments of a bounded sample of the documents outside the held-out quarter."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    share = known.groupBy(F.col("lang").alias("of")).agg((F.lit(SAMPLE_DOCS) / F.count("*") * (1 << 30)).alias("share"))
+    share = cut(known.groupBy(F.col("lang").alias("of")).agg((F.lit(SAMPLE_DOCS) / F.count("*") * (1 << 30)).alias("share")))
+    most = (share.agg(F.max("share")).first()[0] or 0) + 1
+    known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < most)
+    share = F.broadcast(share) if share.count() <= BROADCAST_LANGUAGES else share
     sample = known.join(share, F.col("lang") == F.col("of")).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("share"))
     found = sample.select("lang", "text").mapInArrow(_samples, "lang string, piece binary").toArrow()
     return train(list(zip(found["lang"].to_pylist(), found["piece"].to_pylist(), strict=True)))
