@@ -303,9 +303,52 @@ def test_templates_are_constant_texts_of_a_host(spark):
     assert got[0] == "Text 0 a\n\nMore 0 & on" and got[9].startswith("Home")
 
 
-def test_articles_lose_what_is_not_main_text():
+def test_alignment_is_the_best_order_keeping_one():
+    from functools import lru_cache
+
+    rng = random.Random(9)
+    tree = lambda d: wrapper_induction.Node(t := rng.choice("abc"), step=t, children=[tree(d - 1) if d and rng.random() < 0.7 else rng.choice(["x", "y", "z"]) for _ in range(rng.randint(0, 3))])
+    same = wrapper_induction._alike
+
+    def brute(a, b):
+        if isinstance(a, str):
+            return 1 + (a == b)
+
+        @lru_cache(None)
+        def best(i, j):
+            if i == len(a.children) or j == len(b.children):
+                return 0
+            x, y = a.children[i], b.children[j]
+            return max(best(i + 1, j), best(i, j + 1), brute(x, y) + best(i + 1, j + 1) if same(x, y) else 0)
+
+        return 1 + best(0, 0)
+
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        size, found = wrapper_induction.tree_match(a, b)
+        assert size == brute(a, b) and len(found) <= size
+
+
+def test_the_wrapper_decides_inside_and_outside_of_articles():
+    page = "<body class='single has-sidebar'><div class=x>Home {1}</div><{0} class=post><header><h1>Title {1}</h1></header><div>Share this</div><p>Text {1} a</p>" + "<p>more {1}</p>" * 150 + "<p>Text {1} b <i>read on</i></p><p>Terms</p></{0}><div class=y>Bye</div></body>"
+    for tag in ("article", "div"):
+        pages = [page.format(tag, f"n{i}") for i in range(6)]
+        wrapper = wrapper_induction.induce(pages)
+        assert wrapper.region.split("/")[-1] == f"{tag}.post" and {t for _, t in wrapper.constants} >= {"Share this", "Terms", "Bye"}
+        text = wrapper_induction.main_text(page.format(tag, "new"), wrapper).split("\n\n")
+        assert text == ["Title new", "Text new a", *["more new"] * 150, "Text new b read on"]
+    assert wrapper_induction.induce(pages[:2]) == wrapper_induction.Wrapper() == wrapper_induction.induce(pages[:1] * 9)
+
+
+def test_articles_lose_what_is_not_main_text_and_nothing_else():
+    read = wrapper_induction.main_text
     html = '<nav>a</nav><div class="cookie-notice">We use</div><main><article><h1>T &amp; U</h1><p>One <b>bold</b>\n line.<p>Two<aside>s</aside><form><input></form><ul><li>i1<li>i2</ul><section id="comments"><p>c1</p></section></article></main><footer>f</footer>'
-    assert wrapper_induction.main_text(html) == "T & U\n\nOne bold line.\n\nTwo\n\ni1\n\ni2"
+    assert read(html) == "T & U\n\nOne bold line.\n\nTwo\n\ni1\n\ni2"
+    assert read('<body class="single has-sidebar"><article>x</article></body>') == "x"
+    assert read('<article><header><h1>Title</h1></header><div class="share-price">1</div><h2 id="discussion">D</h2><p id="notice-of-intent">N</p></article>') == "Title\n\n1\n\nD\n\nN"
+    assert read("<article><p>a <math><mi>x</mi></math> <label>l</label> <button>b</button></p><fieldset>f</fieldset></article>") == "a x l b\n\nf"
+    assert read('<article><a title="x>link</a> y</article>') == "link y" and read("<article>" + '<a title="x>' * 20_000 + "z</article>") == "z"
+    assert read('<div class="ad">no</div><div class="related-posts">no</div><p>yes</p>') == "yes"
 
 
 def test_pipeline_stages_keep_columns_and_take_effect(spark):
