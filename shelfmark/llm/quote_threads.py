@@ -2,14 +2,17 @@
 
 Lines that start with ``>`` are quotes; the number of marks is the level.  Runs of lines of one level are
 passages.  Passages and their lines are normalised (lower case, white space squeezed) and hashed, and joined
-within the conversation to the unquoted lines and texts of earlier messages.  The lowest quote level that finds
-an original decides the message replied to: the one with most quoted units, the latest if even.  Conversations
-list each message after the one it replies to, replies by turn, without quotes and attribution lines.
+within the conversation to the unquoted lines and texts of earlier messages; each is held to come from the latest
+one that has it.  The lowest quote level that finds an original decides the message replied to: the one with most
+quoted units, the latest if even.  A common line so makes one link a quote, not one for each message that has it.
+Messages are keyed by conversation and a hash of their turn, role and text.  Conversations list each message after the one it replies to, replies by turn, without quotes and attribution lines.
 
 Defined results: null texts are empty messages; messages that quote nothing known start a branch of their own,
-in order of turn; rows repeated in all of id, turn, role and text count once, other rows that share a turn
-stay apart; rows with a null id form one conversation, null turns come first; an empty table gives an empty
-result; other columns are not read.  A conversation is one row of the result, so it must fit in a row.
+in order of turn; rows repeated in all of id, turn, role and text count once, other rows that share a turn (ties)
+stay apart, in order of their hash; rows with a null id form one conversation, null turns come first and link to
+nothing; very long messages are cut into lines like others; an empty table gives an empty result; other columns are
+not read, whatever their names.  A conversation is one row of the result, so it must fit in a row, and so must the
+paths of a chain of replies, which grow with the square of its length.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ def parse(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     marks = F.regexp_extract("line", QUOTE, 0)
     lines = lines.select("conv", "turn", "mid", "pos", F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"), F.regexp_replace("line", QUOTE, "").alias("line"))
     lines = lines.where(~((F.col("level") == 0) & F.col("line").rlike(ATTRIBUTION)))
-    by_message = Window.partitionBy("mid").orderBy("pos")
+    by_message = Window.partitionBy("conv", "mid").orderBy("pos")
     turned = F.when(F.col("level") == F.lag("level").over(by_message), 0).otherwise(1)
     passages = (
         lines.withColumn("turned", turned)
@@ -43,42 +46,46 @@ def parse(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
         .agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
     )
     own = F.array_join(F.flatten(F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.col("lines")))))["line"], "\n")
-    bodies = passages.groupBy("mid").agg(F.trim(own).alias("body"), F.max(F.col("level") > 0).alias("quotes"))
+    bodies = passages.groupBy(F.col("conv").alias("b_conv"), F.col("mid").alias("b_mid")).agg(F.trim(own).alias("body"), F.max(F.col("level") > 0).alias("quotes"))
     whole = F.array_join(F.col("lines")["line"], " ")
     units = passages.select("conv", "turn", "mid", "level", F.explode(F.array_distinct(F.transform(F.array_append(F.col("lines")["line"], whole), _normal))).alias("unit")).where("unit != ''")
     return bodies, units.select("conv", "turn", "mid", "level", F.xxhash64("unit").alias("unit"))
 
 
 def reply_links(units: DataFrame) -> DataFrame:
-    """(mid, parent, parent_turn) of every message that quotes an earlier one."""
-    quoted = units.where("level > 0").select("conv", "turn", "mid", "level", "unit").distinct()
-    asked = quoted.select("conv", "unit").distinct()
-    original = units.where("level = 0").select("conv", F.col("turn").alias("parent_turn"), F.col("mid").alias("parent"), "unit").distinct()
-    original = original.alias("o").join(asked.alias("a"), F.col("o.conv").eqNullSafe(F.col("a.conv")) & (F.col("o.unit") == F.col("a.unit")), "left_semi")
-    pairs = quoted.alias("q").join(original.alias("o"), F.col("q.conv").eqNullSafe(F.col("o.conv")) & (F.col("q.unit") == F.col("o.unit")) & (F.col("o.parent_turn") < F.col("q.turn")))
-    votes = pairs.groupBy("q.mid", "q.level", "o.parent", "o.parent_turn").agg(F.count("*").alias("n"))
-    best = F.max_by(F.struct("parent", "parent_turn"), F.struct(-F.col("level"), "n", "parent_turn", "parent"))
-    return votes.groupBy("mid").agg(best.alias("best")).select("mid", F.col("best.parent").alias("parent"), F.col("best.parent_turn").alias("parent_turn"))
+    """(l_conv, l_mid, parent, parent_turn) of every message that quotes an earlier one."""
+    dated = units.where("turn is not null").select("conv", "unit", "turn", "mid", F.col("level").alias("level")).distinct()
+    asked = dated.where("level > 0").select(F.col("conv").alias("a_conv"), F.col("unit").alias("a_unit")).distinct()
+    known = dated.join(asked, F.col("conv").eqNullSafe(F.col("a_conv")) & (F.col("unit") == F.col("a_unit")), "left_semi")
+    before = Window.partitionBy("conv", "unit").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    latest = F.max(F.when(F.col("level") == 0, F.struct("turn", "mid"))).over(before)
+    quoted = known.withColumn("from", latest).where("level > 0 and from is not null")
+    votes = quoted.groupBy("conv", "mid", "level", "from").agg(F.count("*").alias("n"))
+    best = votes.groupBy("conv", "mid").agg(F.max(F.struct(-F.col("level"), "n", "from")).alias("best"))
+    return best.select(F.col("conv").alias("l_conv"), F.col("mid").alias("l_mid"), F.col("best.from.mid").alias("parent"), F.col("best.from.turn").alias("parent_turn"))
 
 
 def threads(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message: conversation, turn, role, parent_turn, ``path`` (turns and keys from the
     start of its branch, which sorts messages in reply order) and ``body`` without quotes."""
     columns = [F.col(id_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).cast("string").alias("text")]
-    messages = df.select(*columns).distinct().withColumn("mid", F.xxhash64("conv", "turn", "role", "text"))
+    messages = df.select(*columns).distinct().withColumn("mid", F.xxhash64("turn", "role", "text"))
     bodies, units = parse(messages)
     units = cut(units)
     links = cut(reply_links(units))
     # paths by doubling: every round joins what is known of the message at the head of each path
     step = F.struct("turn", "mid")
-    linked = messages.select("conv", "turn", "mid").join(links, "mid", "left").select("conv", "mid", F.array(step).alias("path"), F.col("parent").alias("head"), "parent_turn")
+    replies = F.col("conv").eqNullSafe(F.col("l_conv")) & (F.col("mid") == F.col("l_mid"))
+    linked = messages.select("conv", "turn", "mid").join(links, replies, "left").select("conv", "mid", F.array(step).alias("path"), F.col("parent").alias("head"), "parent_turn")
     paths = cut(linked)
     while not paths.where("head is not null").isEmpty():
         ahead = paths.select(F.col("conv").alias("h_conv"), F.col("mid").alias("h_mid"), F.col("path").alias("h_path"), F.col("head").alias("h_head"))
         waiting = paths.where("head is not null").join(ahead, F.col("conv").eqNullSafe(F.col("h_conv")) & (F.col("head") == F.col("h_mid")))
         moved = waiting.select("conv", "mid", F.concat("h_path", "path").alias("path"), F.col("h_head").alias("head"), "parent_turn")
         paths = cut(paths.where("head is null").unionByName(moved))
-    placed = messages.select("conv", "turn", "role", "mid").join(bodies, "mid", "left").join(paths.select(F.col("mid").alias("p_mid"), "path", "parent_turn"), F.col("mid") == F.col("p_mid"))
+    of = lambda conv, mid: F.col("conv").eqNullSafe(F.col(conv)) & (F.col("mid") == F.col(mid))
+    placed = messages.select("conv", "turn", "role", "mid").join(bodies, of("b_conv", "b_mid"), "left")
+    placed = placed.join(paths.select(F.col("conv").alias("p_conv"), F.col("mid").alias("p_mid"), "path", "parent_turn"), of("p_conv", "p_mid"))
     return placed.select(F.col("conv").alias(id_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), "parent_turn", "path", F.coalesce("quotes", F.lit(False)).alias("quotes"), F.coalesce("body", F.lit("")).alias("body"))
 
 
@@ -101,9 +108,10 @@ l as (
 g as (select *, sum(t) over (partition by mid order by pos) run from (select *, case when lev = lag(lev) over (partition by mid order by pos) then 0 else 1 end t from l)),
 u0 as (select mid, conv_id, turn, lev, line unit from g union all select mid, conv_id, turn, lev, string_agg(line, ' ' order by pos) from g group by mid, conv_id, turn, lev, run),
 u as (select distinct mid, conv_id, turn, lev, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) unit from u0),
-v as (
-  select q.mid, q.lev, o.mid parent, o.turn parent_turn, count(distinct q.unit) n from u q join u o
+w as (
+  select q.mid, q.lev, q.unit, max(struct_pack(t := o.turn, k := o.mid)) o from u q join u o
   on q.conv_id is not distinct from o.conv_id and q.unit = o.unit and o.lev = 0 and q.lev > 0 and o.turn < q.turn and q.unit <> '' group by all),
+v as (select mid, lev, o.k parent, o.t parent_turn, count(*) n from w group by all),
 b as (select mid, parent, parent_turn from v qualify row_number() over (partition by mid order by lev, n desc, parent_turn desc, parent desc) = 1),
 p as (
   select m.mid, [struct_pack(t := m.turn, k := m.mid)] path from m where m.mid not in (select mid from b)

@@ -296,6 +296,51 @@ def test_quotes_become_reply_order(spark):
     assert [r.body for r in out][1:3] == ["I am fine", "Good"]
 
 
+def test_quotes_equal_a_plain_linker(spark):
+    rng = random.Random(21)
+    rows, want = [], {}
+    for conv in range(25):
+        lines = [f"line {rng.randrange(12)} of {conv % 3}" for _ in range(8)]
+        seen = []  # (turn, own lines, whole runs)
+        for turn in range(rng.randint(1, 12)):
+            parts = []
+            for _ in range(rng.randint(0, 4)):
+                depth = rng.choice([0, 0, 1, 1, 2])
+                parts += [(depth, rng.choice(lines) if rng.random() < 0.8 else f"new {rng.randrange(99)}") for _ in range(rng.randint(1, 3))]
+            text = "\n".join("> " * d + (x.upper() if d else x) for d, x in parts)
+            rows.append((conv, turn, "user", text))
+            runs, units = [], {}
+            for d, x in parts:
+                if runs and runs[-1][0] == d:
+                    runs[-1][1].append(x)
+                else:
+                    runs.append((d, [x]))
+            for d, run in runs:
+                units.setdefault(d, set()).update([*run, " ".join(run)])
+            parent = None
+            for d in sorted(k for k in units if k):
+                votes = {}
+                for unit in units[d]:
+                    holders = [t for t, own in seen if unit in own]
+                    if holders:
+                        votes[holders[-1]] = votes.get(holders[-1], 0) + 1
+                if votes:
+                    parent = max(votes, key=lambda t: (votes[t], t))
+                    break
+            want[conv, turn] = parent
+            seen.append((turn, units.get(0, set())))
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = quote_threads.threads(frame).collect()
+    assert {(r.conv_id, r.turn): r.parent_turn for r in out} == want and sum(p is not None for p in want.values()) > 30
+    import duckdb
+
+    db = duckdb.connect()
+    db.register("conversations", frame.toPandas())
+    key = lambda rows: sorted(tuple(r) for r in rows)
+    got = quote_threads.conversations(frame).select("conv_id", "n_messages", "n_quoting", "n_linked", "chat").collect()
+    assert key(got) == key(db.execute(quote_threads.ORACLE_SQL).fetchall())
+
+
 def test_templates_are_constant_texts_of_a_host(spark):
     html = "<html><body><div>Home</div><div><div><p>Text {0} a</p><p>More {0} &amp; on</p></div></div><div>Copyright me</div></body></html>"
     pages = [(i, "http://h.org/x", html.format(i)) for i in range(6)] + [(9, "http://other.org/", html.format(9))]
