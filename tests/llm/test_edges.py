@@ -85,3 +85,56 @@ def test_language_without_letters_or_model(spark):
 def test_vocabulary_covers_all_bytes():
     ranks = bpe_codec.load_ranks(PATH)
     assert all(bytes([b]) in ranks for b in range(256)) and base64.b64encode(b"a")
+
+
+STAGE_NAMES = ["quality_filter", "near_dedup", "decontaminate", "redact_secrets", "tokenize"]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("tables")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def stage_docs(spark):
+    prose = " ".join(f"w{i}" for i in range(80))
+    texts = {1: None, 2: "", 3: "!!!", 4: prose, 5: prose, 6: prose + " more", 7: "One two three, four five six seven eight nine TEN", 8: LONG, 9: "token = abcdef123", 10: "日本 é 😀", 11: " "}
+    rows = [(i, t) for i, t in texts.items()] + [(4, prose), (None, prose), (None, None)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, quality_score double, hit_id long, id long, node long, item string, spans string, block long, at int"
+    return spark.createDataFrame([(i, t, "en", "s", len(t) if t else None, 0.1, 1, 2, 3, "x", "y", 4, 5) for i, t in rows], columns)
+
+
+@pytest.mark.parametrize("name", STAGE_NAMES)
+def test_stages_of_odd_documents(spark, tables, name):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = stage_docs(spark)
+    out = stage(spark, docs, tables)
+    rows = out.collect()
+    ids = sorted(str(r.doc_id) for r in rows)
+    everyone = sorted(str(r.doc_id) for r in docs.collect())
+    if name != "tokenize":
+        assert out.columns == docs.columns and {r.quality_score for r in rows} <= {0.1}
+    if name == "near_dedup":
+        assert ids == sorted(x for x in everyone if x not in ("5", "6"))
+    elif name == "decontaminate":
+        assert ids == sorted(x for x in everyone if x != "7")
+    elif name == "redact_secrets":
+        assert ids == everyone and [(r.text, r.n_chars) for r in rows if r.doc_id == 9] == [("[SECRET:assign]", 15)]
+        assert stage(spark, docs.drop("n_chars"), tables).count() == len(everyone)
+    elif name == "tokenize":
+        assert ids == everyone and {r.n_tokens for r in rows if r.doc_id in (1, 2)} == {0}
+    else:
+        assert set(ids) <= set(everyone)
+    assert stage(spark, docs.where(F.lit(False)), tables).count() == 0
+
+
+def test_columns_of_the_same_name_are_replaced(spark):
+    docs = stage_docs(spark).withColumn("score", F.lit(9.0)).withColumn("decoded", F.lit("z"))
+    model = quality_gam.fit(*(lambda r: (r, (r[:, 0] > r[:, 1]).astype(float)))(__import__("numpy").random.default_rng(0).random((50, len(quality_gam.FEATURES)))))
+    assert quality_gam.score(docs, model).columns.count("score") == 1
+    packed = bpe_codec.encode(docs, PATH).withColumn("decoded", F.lit("z"))
+    assert bpe_codec.decode(packed, PATH).columns.count("decoded") == 1
