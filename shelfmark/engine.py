@@ -7,15 +7,19 @@ names the version that counts, so a refresh writes first and swaps then, and a f
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import query_terms
-from shelfmark.operators import catalog, chunking, policy, search, structure
+from shelfmark.operators import catalog, chunking, dispatch, policy, search, structure
 from shelfmark.plans import hybrid
+from shelfmark.session import cut
 from shelfmark.sources import readers
 
 SCHEMAS = {
@@ -27,15 +31,28 @@ SCHEMAS = {
 CHUNKS = "doc_id bigint, chunk_index bigint, breadcrumb string, structural boolean, pos_start bigint, pos_end bigint, n_tokens int, text string, contextualized string, enrichment_status string, embedding array<float>, notebook_id bigint, source_id bigint, v bigint"
 
 
+#: What reading a source and calling its models may raise; any other error is a fault of the program.
+READ_ERRORS = (ValueError, OSError, PySparkException)
+PROFILES = "fingerprint string, variant string, levels array<struct<lv:int,name:string,keyword:string,cls:string>>"
+
+
 class EngineError(ValueError):
     pass
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, embedder: Callable | None = None, contextualizer: Callable | None = None, default_private: bool = True, remote_model: str = "voyage-context-3") -> None:
+    """``embedder`` serves private sources and searches of their space; public ones go to ``remote_embedder`` (the same
+    one if there is none).  ``scorers`` are the rerankers ``local`` and ``remote``.  ``fetcher(url)`` returns the html of
+    a web page and ``pdf_pages(bytes)`` the texts of a PDF's pages; without them such sources need their ``text``."""
+
+    def __init__(self, spark: SparkSession, root: str, embedder: Callable | None = None, contextualizer: Callable | None = None, default_private: bool = True, remote_model: str = "voyage-context-3", remote_embedder: Callable | None = None, scorers: dict | None = None, source_root: str | None = None, size_cap: int = readers.DEFAULT_CAP, fetcher: Callable | None = None, pdf_pages: Callable | None = None, window_tokens: int = policy.WINDOW_TOKENS, concurrency: int | None = None) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        self.embedder = embedder or chunking.hash_embedder()
-        self.contextualizer, self.default_private, self.remote_model = contextualizer, default_private, remote_model
+        local = embedder or chunking.hash_embedder()
+        self.embedders = {policy.LOCAL: dispatch.retried(local), policy.REMOTE: dispatch.retried(remote_embedder or local)}
+        self.contextualizer, self.default_private, self.remote_model = contextualizer and dispatch.retried(contextualizer), default_private, remote_model
+        self.scorers, self.source_root, self.size_cap, self.fetcher, self.pdf_pages = scorers, source_root, size_cap, fetcher, pdf_pages
+        self.window_tokens, self.concurrency = window_tokens, concurrency
+        self._writes = threading.RLock()
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -55,6 +72,10 @@ class Engine:
         return reader.parquet(f"{self.root}/{name}/v{versions[-1]}") if versions else self.spark.createDataFrame([], SCHEMAS[name])
 
     def _replace(self, name: str, rows: DataFrame) -> None:
+        with self._writes:
+            self._write(name, rows)
+
+    def _write(self, name: str, rows: DataFrame) -> None:
         versions = self._versions(name)
         n = versions[-1] + 1 if versions else 0
         rows.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")]).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}/v{n}")
@@ -62,13 +83,29 @@ class Engine:
             self._fs.delete(self._path(f"{self.root}/{name}/v{old}"), True)
 
     def _append(self, name: str, row: tuple) -> None:
-        self._replace(name, self.table(name).unionByName(self.spark.createDataFrame([row], SCHEMAS[name])))
+        with self._writes:
+            self._replace(name, self.table(name).unionByName(self.spark.createDataFrame([row], SCHEMAS[name])))
 
     def _update(self, source: int, **values) -> None:
-        rows = self.table("sources")
-        for column, value in values.items():
-            rows = rows.withColumn(column, F.when(F.col("id") == source, F.lit(value).cast(rows.schema[column].dataType)).otherwise(F.col(column)))
-        self._replace("sources", rows)
+        with self._writes:
+            rows = self.table("sources")
+            for column, value in values.items():
+                rows = rows.withColumn(column, F.when(F.col("id") == source, F.lit(value).cast(rows.schema[column].dataType)).otherwise(F.col(column)))
+            self._replace("sources", rows)
+
+    def profiles(self) -> DataFrame:
+        """Cached profiles: those that came with the package, and those kept of accepted documents."""
+        shipped = structure.shipped_profiles(self.spark)
+        kept = f"{self.root}/profiles"
+        if not self._fs.exists(self._path(kept)):
+            return shipped
+        return shipped.unionByName(self.spark.read.schema(PROFILES).json(kept)).groupBy("fingerprint", "variant").agg(F.max("levels").alias("levels"))
+
+    def _keep_profile(self, docs: DataFrame) -> None:
+        """Appends the mined profile of an accepted document as one JSON line."""
+        found = structure.signatures(docs)
+        keys = structure.fingerprints(docs, found).where("fingerprint != 'none'")
+        structure.variants(keys, structure.mine(found)).select("fingerprint", "variant", "levels").coalesce(1).write.mode("append").json(f"{self.root}/profiles")
 
     def chunks(self) -> DataFrame:
         """Chunk rows of the current version of every source."""
@@ -112,8 +149,9 @@ class Engine:
 
     # --- sources ---
 
-    def source_add(self, notebook: int, url: str, text: str | None = None, display_name: str | None = None, private: bool | None = None, enrich: bool = False) -> dict:
-        """Register a source and ingest it; ``text`` stands for the fetched content of a web page."""
+    def source_add(self, notebook: int, url: str, text: str | None = None, display_name: str | None = None, private: bool | None = None, enrich: bool = False, wait: bool = True) -> dict:
+        """Register a source and ingest it; ``text`` stands for the fetched content.  Without ``wait`` the ingest goes on
+        in the background, and ``source_status`` shows how far it is."""
         if not self._one("notebooks", id=notebook):
             raise EngineError(f"no notebook {notebook}")
         if self._one("sources", notebook_id=notebook, url=url):
@@ -122,59 +160,91 @@ class Engine:
         source = self._next_id("sources")
         space = policy.LOCAL if hidden else policy.REMOTE
         self._append("sources", (source, notebook, url, display_name or url, None, hidden, space, "pending", None, 0, None, 0))
-        self.ingest(source, text)
-        if enrich and hidden:
-            self.source_enrich(source)
+
+        def work() -> None:
+            self.ingest(source, text)
+            if enrich and hidden:
+                self.source_enrich(source)
+
+        if wait:
+            work()
+        else:
+            threading.Thread(target=work, daemon=True).start()
         return {"source_id": source, "notebook_id": notebook, "url": url, "private": hidden, "ingest_state": self._one("sources", id=source)["ingest_state"]}
 
-    def _fetch(self, url: str, text: str | None) -> str:
+    def _fetch(self, source: int, url: str, text: str | None) -> DataFrame:
+        """(doc, txt) of a source, under the policy for its kind."""
+        kind, problem = self.spark.createDataFrame([(url,)], "u string").select(readers.source_kind(F.col("u")), readers.url_problem(F.col("u"))).first()
+        if kind == "web" and problem:
+            raise EngineError(f"{url} may not be fetched: {problem}")
+        if text is None and kind == "web":
+            if self.fetcher is None:
+                raise EngineError("no fetcher is configured")
+            page = self.spark.createDataFrame([(source, self.fetcher(url))], "doc bigint, html string")
+            return self._capped(page.select("doc", readers.page_text(F.col("html")).alias("txt"), "html"), "html").select("doc", "txt")
         if text is not None:
-            return text
-        rows = readers.read_texts(self.spark, url).collect()
-        if not rows:
-            raise EngineError(f"nothing to read at {url}")
-        return "\n".join(r["text"] for r in rows)
+            return self._capped(self.spark.createDataFrame([(source, text)], "doc bigint, txt string"), "txt")
+        if kind == "pdf" and self.pdf_pages is None:
+            raise EngineError("no PDF reader is configured")
+        if kind == "unsupported":
+            raise EngineError(f"{url} is no kind of source that can be read")
+        rows = readers.read_pdfs(self.spark, url, self.pdf_pages, self.source_root, self.size_cap) if kind == "pdf" else readers.read_texts(self.spark, url, self.source_root, self.size_cap)
+        body = F.array_join(F.array_sort(F.collect_list(F.struct("path", "text")))["text"], "\n")
+        return rows.agg(F.count("*").alias("n"), body.alias("txt")).where("n > 0").select(F.lit(source).cast("bigint").alias("doc"), "txt")
+
+    def _capped(self, rows: DataFrame, column: str) -> DataFrame:
+        if rows.where(readers.over_cap(F.col(column), self.size_cap)).count():
+            raise EngineError(f"the text exceeds the cap of {self.size_cap} bytes")
+        return rows
+
+    def _guard_dimension(self, space: str, rows: DataFrame) -> None:
+        known = self.chunks().where(F.col("space") == space).select("space", "embedding")
+        found = policy.dim_guard(known.unionByName(rows.select(F.lit(space).alias("space"), "embedding"))).first()
+        if found and not found["ok"]:
+            raise EngineError(f"space {space} has vectors of {found['least_dim']} and {found['dim']} dimensions")
 
     def ingest(self, source: int, text: str | None = None) -> None:
         """Fetch, induce, chunk, embed and publish a source; a failure keeps the version before."""
         row = self._one("sources", id=source)
         self._update(source, ingest_state="ingesting", ingest_error=None)
         try:
-            body = self._fetch(row["url"], text)
-            docs = self.spark.createDataFrame([(source, body)], "doc bigint, txt string")
-            cut = structure.induced(docs)
-            found = structure.gate(docs, cut).first()
-            if found["sound_but_oversized"]:
-                cut = structure.regional(docs, cut)
-            elif not found["passed"]:
-                cut = cut.where(F.lit(False))
-            chunks = chunking.chunk_rows(docs, cut).withColumn("embed", chunking.embed_text(F.col("breadcrumb"), F.col("structural"), F.col("text")))
+            policy.guard_remote(row["private"], row["space"])
+            docs = cut(self._fetch(source, row["url"], text))
+            digest = docs.select(readers.content_hash(F.col("txt"))).first()
+            if digest is None:
+                raise EngineError(f"nothing to read at {row['url']}")
+            found, rung = structure.ladder(docs, self.profiles())
+            if rung.first()["rung"].startswith("3-"):
+                self._keep_profile(docs)
+            chunks = cut(chunking.chunk_rows(docs, found).withColumn("embed", chunking.embed_text(F.col("breadcrumb"), F.col("structural"), F.col("text"))))
+            chunking.refuse_oversized(chunking.embed_windows(chunks), self.window_tokens)
             status = chunking.initial_status(F.col("structural"), F.lit(row["private"]))
             context = F.when(F.col("structural"), F.col("embed"))
-            vectors = chunking.embed(chunks, self.embedder, "embed")
+            vectors = dispatch.bounded(chunking.embed(chunks, self.embedders[row["space"]], "embed"), self.concurrency)
             rows = chunks.join(vectors, ["doc", "chunk_index"]).select(F.col("doc").alias("doc_id"), "chunk_index", "breadcrumb", "structural", "pos_start", "pos_end", "n_tokens", "text", context.alias("contextualized"), status.alias("enrichment_status"), "embedding")
             version = row["v"] + 1
-            rows.write.mode("overwrite").parquet(f"{self.root}/chunks/notebook_id={row['notebook_id']}/source_id={source}/v={version}")
-            planned = self.spark.read.parquet(f"{self.root}/chunks/notebook_id={row['notebook_id']}/source_id={source}/v={version}").agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()
-            digest = self.spark.createDataFrame([(body,)], "t string").select(readers.content_hash(F.col("t"))).first()[0]
+            folder = f"{self.root}/chunks/notebook_id={row['notebook_id']}/source_id={source}/v={version}"
+            rows.write.mode("overwrite").parquet(folder)
+            written = self.spark.read.parquet(folder)
+            self._guard_dimension(row["space"], written)
+            planned = written.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()
             model = "bge-local" if row["private"] else self.remote_model
             usd = self.spark.range(1).select(catalog.cost(F.lit(model), F.lit(float(planned["t"])), F.lit(0.0))).first()[0]
             calls = -(-planned["n"] // chunking.WINDOW_CHUNKS)
             now = datetime.now(timezone.utc)
             self._append("ledger", (source, model, calls, float(planned["t"]), 0.0, 0.0, usd, now))
-            self._update(source, ingest_state="ready", content_hash=digest, chunks_planned=planned["n"], ingested_at=now, v=version)
-        except Exception as error:
+            self._update(source, ingest_state="ready", content_hash=digest[0], chunks_planned=planned["n"], ingested_at=now, v=version)
+        except READ_ERRORS as error:
             self._update(source, ingest_state="failed", ingest_error=str(error)[: catalog.ERROR_LIMIT])
 
     def source_refresh(self, notebook: int, source: int, text: str | None = None, enrich: bool = False) -> dict:
         row = self._one("sources", id=source, notebook_id=notebook)
         if not row:
             raise EngineError(f"no source {source} in notebook {notebook}")
-        body = self._fetch(row["url"], text)
-        digest = self.spark.createDataFrame([(body,)], "t string").select(readers.content_hash(F.col("t"))).first()[0]
-        if digest == row["content_hash"]:
+        digest = self._fetch(source, row["url"], text).select(readers.content_hash(F.col("txt"))).first()
+        if digest and digest[0] == row["content_hash"]:
             return {"refreshed": False, "reason": "unchanged"}
-        self.ingest(source, body)
+        self.ingest(source, text)
         if enrich and row["private"]:
             self.source_enrich(source)
         return {"refreshed": True}
@@ -199,7 +269,7 @@ class Engine:
         if wanted.isEmpty():
             return {"enriched": 0, "failed": 0, "reason": "nothing pending"}
         around = chunking.context_windows(chunks.withColumn("doc", F.col("doc_id"))).drop("doc")
-        contextualize, embed = self.contextualizer, self.embedder
+        contextualize, embed = self.contextualizer, self.embedders[policy.LOCAL]
         columns = [c for c in self.spark.createDataFrame([], CHUNKS).columns if c not in ("notebook_id", "source_id", "v")]
         target = F.lit(force) | F.col("enrichment_status").isin("pending", "failed")
 
@@ -262,16 +332,34 @@ class Engine:
         if mode not in hybrid.MODES:
             raise ValueError(f"unknown mode {mode!r}; one of {', '.join(hybrid.MODES)}")
         hidden = self.default_private if private is None else private
-        rows = self.chunks().withColumn("chunk", F.xxhash64("source_id", "chunk_index")).withColumn("notebook", F.col("notebook_id").cast("string"))
+        began, spent = time.perf_counter(), {}
+
+        def took(name: str, since: float) -> None:
+            spent[name] = round((time.perf_counter() - since) * 1000, 2)
+
+        names = self.table("sources").select(F.col("id").alias("source_id"), "display_name")
+        rows = self.chunks().join(names, "source_id").withColumn("chunk", F.xxhash64("source_id", "chunk_index")).withColumn("notebook", F.col("notebook_id").cast("string"))
         scoped = rows.where(F.col("notebook_id") == notebook)
-        spaces = [r["space"] for r in scoped.select("space").distinct().collect()]
+        spaces = sorted(r["space"] for r in scoped.select("space").distinct().collect())
         if not spaces:
-            return {"results": self.spark.createDataFrame([], "chunk bigint, score double"), "searched": [], "excluded": [], "note": "the notebook has no chunks"}
+            return {"results": self.spark.createDataFrame([], "doc_id bigint, score double"), "searched": [], "excluded": [], "reranked": False, "mode": mode, "latency_ms": {}, "note": "the notebook has no chunks"}
         excluded = [s for s in spaces if hidden and s.startswith(policy.REMOTE_PREFIX)]
-        one = self.spark.createDataFrame([(query,)], "t string")
-        terms = one.select(query_terms(F.col("t"))).first()[0]
-        vector = self.spark.createDataFrame([([float(x) for x in self.embedder([query])[0]],)], "q array<float>")
-        docs = rows.select(F.col("chunk").alias("doc_id"), "notebook", "source", "private", "space", "text")
+        searched = [s for s in spaces if s not in excluded]
+        terms = self.spark.createDataFrame([(query,)], "t string").select(query_terms(F.col("t"))).first()[0]
+        since = time.perf_counter()
+        asked = []
+        for space in searched if mode != "lexical" else []:
+            policy.guard_remote(hidden, space)
+            asked.append((space, [float(x) for x in self.embedders[space]([query])[0]]))
+        vector = self.spark.createDataFrame(asked, "space string, q array<float>")
+        took("query_embed_ms", since)
+        extra = ("source_id", "chunk_index", "display_name", "contextualized", "enrichment_status")
+        docs = rows.select(F.col("chunk").alias("doc_id"), "notebook", "source", "private", "space", "text", *extra)
         vectors = rows.select(F.col("chunk").alias("vec_id"), "notebook", "space", "embedding")
-        results = hybrid.notebook_query(docs, vectors, vector, terms, str(notebook), hidden, top_k, mode, query if rerank else None)
-        return {"results": results, "searched": [s for s in spaces if s not in excluded], "excluded": excluded, "reranked": rerank}
+        since = time.perf_counter()
+        results = hybrid.notebook_query(docs, vectors, vector, terms, str(notebook), hidden, top_k, mode, query if rerank else None, extra, self.scorers)
+        results = self.spark.createDataFrame(results.collect(), results.schema)  # top_k rows
+        took("search_ms", since)
+        took("total_ms", began)
+        note = f"{mode} search" + (", reranked" if rerank else "")
+        return {"results": results, "searched": searched, "excluded": excluded, "reranked": rerank, "mode": mode, "latency_ms": spent, "note": note}

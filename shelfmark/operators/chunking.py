@@ -51,6 +51,17 @@ def window_guard(windows: DataFrame, limit: int) -> DataFrame:
     return windows.withColumn("allowed", F.col("tokens") <= limit)
 
 
+class WindowError(ValueError):
+    """A window is larger than a model takes."""
+
+
+def refuse_oversized(windows: DataFrame, limit: int) -> None:
+    """Raises before any call if a window of :func:`embed_windows` holds more tokens than the limit."""
+    worst = window_guard(windows, limit).where("not allowed").agg(F.count("*").alias("n"), F.max("tokens").alias("tokens")).first()
+    if worst["n"]:
+        raise WindowError(f"{worst['n']} windows hold more than {limit} tokens (the largest {worst['tokens']})")
+
+
 def context_windows(chunks: DataFrame, around: int = CONTEXT) -> DataFrame:
     """Each chunk with its neighbours' texts joined by newlines."""
     window = Window.partitionBy("doc").orderBy("chunk_index").rowsBetween(-around, around)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import index_tokens
+from shelfmark.session import cut
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 RRF_K = 60
@@ -45,6 +46,7 @@ def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: st
     if not terms:
         return docs.select(id_col, F.lit(0.0).alias("score")).where(F.lit(False))
     tokens = phrase_counts(docs, terms, text_col, [F.col(id_col), (F.lit(True) if scope is None else scope).alias("in_scope")])
+    tokens = cut(tokens)  # small rows of counts, read for the statistics and again for the hits; texts are read once
     stats = bm25_stats(tokens, len(terms))
     rows = tokens.where(F.col("in_scope") & F.exists("f", lambda x: x > 0)).crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
@@ -79,9 +81,11 @@ def knn(vectors: DataFrame, query: DataFrame, k: int, id_col: str = "vec_id", di
 
 
 def knn_by_space(vectors: DataFrame, query: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
-    """Neighbours ranked inside each space; distances of different spaces are never compared.  The
-    pre-aggregated top k of each space keeps the window small."""
-    near = vectors.crossJoin(F.broadcast(query)).select("space", id_col, F.round(l2(F.col("embedding"), F.col("q")), 6).alias("distance"))
+    """Neighbours ranked inside each space; distances of different spaces are never compared.  ``query`` is one row
+    (q) or one row a space (space, q).  The pre-aggregated top k of each space keeps the window small."""
+    # a query with a vector for each space meets only vectors of that space; both are as few rows as there are spaces
+    pairs = vectors.join(F.broadcast(query), "space") if "space" in query.columns else vectors.crossJoin(F.broadcast(query))
+    near = pairs.select("space", id_col, F.round(l2(F.col("embedding"), F.col("q")), 6).alias("distance"))
     window = Window.partitionBy("space").orderBy("distance", id_col)
     # rank <= k on a window becomes a per-partition top-k before the shuffle
     return near.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)

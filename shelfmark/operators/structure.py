@@ -210,3 +210,38 @@ def rungs(docs: DataFrame, mined: DataFrame, cached: DataFrame) -> DataFrame:
         F.when(F.col("c_ok"), "2-cache").when(F.col("c_big"), "2-cache-regional").when(F.col("m_ok"), "3-linemine").when(F.col("m_big"), "3-linemine-regional").otherwise("6-token")
     )
     return rows.select("doc", rung.alias("rung"))
+
+
+def by_cache(docs: DataFrame, cache: DataFrame, ceiling: int = CEILING) -> tuple[DataFrame, DataFrame]:
+    """(segments, gate rows) of each document under the best cached profile of its fingerprint: the simplest that
+    passes, or else the richest that is sound but oversized.  Documents without either have no rows.  ``cache`` holds
+    (fingerprint, variant, levels) from before the batch."""
+    keys = fingerprints(docs, signatures(docs))
+    tried = candidates(keys, cache.select("fingerprint", "variant", F.size("levels").alias("n_levels")))
+    tried = tried.join(keys, "doc").join(cache.select("fingerprint", "variant", "levels"), ["fingerprint", "variant"])
+    key = F.struct("doc", "variant")
+    tried = materialise(tried.withColumn("key", key))
+    texts = tried.join(docs, "doc").select(F.col("key").alias("doc"), "txt")
+    level = tried.select(F.col("key").alias("doc"), F.explode("levels").alias("l"))
+    levels = level.select("doc", "l.lv", F.col("l.name").alias("low"), "l.keyword", "l.cls")
+    found = materialise(segments(texts, headings(texts, levels)))
+    graded = gate(texts, found, ceiling).withColumnRenamed("doc", "key").join(tried.select("key", "simplest", "richest"), "key")
+    rank = F.when(F.col("passed"), F.struct(F.lit(0).alias("rung"), F.col("simplest").alias("rank"))).when(F.col("sound_but_oversized"), F.struct(F.lit(1).alias("rung"), F.col("richest").alias("rank")))
+    best = graded.where("passed or sound_but_oversized").groupBy(F.col("key.doc").alias("of")).agg(F.min_by("key", rank).alias("key"))
+    best = materialise(best)
+    chosen = found.join(best.select(F.col("key").alias("doc")), "doc", "left_semi")
+    grades = graded.join(best.select("key"), "key", "left_semi")
+    return chosen.withColumn("doc", F.col("doc.doc")), grades.withColumn("doc", F.col("key.doc")).drop("key", "simplest", "richest")
+
+
+def ladder(docs: DataFrame, cache: DataFrame, ceiling: int = CEILING) -> tuple[DataFrame, DataFrame]:
+    """(segments, rungs) of every document: by a cached profile, by its own mined one, or (without segments) by tokens.
+    Sound but oversized segments are cut by region."""
+    cached, cached_gate = by_cache(docs, cache, ceiling)
+    own = materialise(induced(docs))
+    own_gate = materialise(gate(docs, own, ceiling))
+    rung = materialise(rungs(docs, own_gate, cached_gate))
+    on = lambda rows, *names: rows.join(rung.where(F.col("rung").isin(*names)).select("doc"), "doc", "left_semi")
+    whole = on(cached, "2-cache").unionByName(on(own, "3-linemine"))
+    large = on(cached, "2-cache-regional").unionByName(on(own, "3-linemine-regional"))
+    return whole.unionByName(regional(docs, large, ceiling)), rung

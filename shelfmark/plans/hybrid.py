@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators import policy, search
+from shelfmark.session import cut
 
 MODES = ("hybrid", "dense", "lexical")
 
@@ -30,15 +31,22 @@ def ranked_lists(docs: DataFrame, vectors: DataFrame, query_vector: DataFrame, t
     return out
 
 
-def notebook_query(docs: DataFrame, vectors: DataFrame, query_vector: DataFrame, terms: list[str], notebook: str, private: bool = False, top_k: int = 10, mode: str = "hybrid", query: str | None = None) -> DataFrame:
-    """(doc_id, score, source, private, space, excerpt) best first; with ``query`` the pool of candidates is
-    reranked by word overlap (``rerank_score``).  The fused list has at most a few hundred rows, so it is
+def notebook_query(docs: DataFrame, vectors: DataFrame, query_vector: DataFrame, terms: list[str], notebook: str, private: bool = False, top_k: int = 10, mode: str = "hybrid", query: str | None = None, more: tuple[str, ...] = (), scorers: dict | None = None) -> DataFrame:
+    """(doc_id, score, source, private, space, excerpt, ``more`` columns) best first; with ``query`` the pool of
+    candidates is reranked (``rerank_score``): by ``scorers['local']`` if the query or any candidate is private, else by
+    ``scorers['remote']``; by word overlap without scorers.  The fused list has at most a few hundred rows, so it is
     broadcast to the document scan."""
     lists = ranked_lists(docs, vectors, query_vector, terms, notebook, private, top_k, mode)
     pool = max(search.RERANK_POOL, top_k) if query else top_k
     fused = search.rrf(lists, "doc_id").orderBy(*search.fused_order("doc_id")).limit(pool)
-    rows = docs.join(F.broadcast(fused), "doc_id").select("doc_id", "score", "source", "private", "space", F.substr("text", F.lit(1), F.lit(60)).alias("excerpt"), "first_seen", "text")
+    rows = docs.join(F.broadcast(fused), "doc_id").select("doc_id", "score", "source", "private", "space", F.substr("text", F.lit(1), F.lit(60)).alias("excerpt"), "first_seen", "text", *more)
     if query:
-        scored = rows.withColumn("rerank_score", F.round(search.overlap_score(F.lit(query), F.col("text")), 6))
+        if scorers:
+            rows = cut(rows)  # at most the pool
+            route = rows.agg(policy.rerank_route(F.coalesce(F.bool_or("private"), F.lit(False)), F.lit(private))).first()[0]
+            context = search.rerank_text(F.col("contextualized"), F.col("text")) if "contextualized" in more else F.col("text")
+            scored = search.model_rerank(rows.withColumn("text", context), query, scorers[route]).withColumn("rerank_score", F.round("rerank_score", 6))
+        else:
+            scored = rows.withColumn("rerank_score", F.round(search.overlap_score(F.lit(query), F.col("text")), 6))
         return scored.orderBy(F.desc("rerank_score"), *search.fused_order("doc_id")).limit(top_k).drop("text", "first_seen")
     return rows.orderBy(*search.fused_order("doc_id")).drop("text", "first_seen")

@@ -297,10 +297,10 @@ def rerank_text(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.table(spark, sf, "documents").select("doc_id", F.char_length(search.rerank_text(ctx, F.col("text"))).cast("long").alias("n_chars"))
 
 
-@query(f"with {SRC} select source, bool_or(private) any_private, case when bool_or(private) then 'local' else 'remote' end route from src where doc_id % 50 < 2 or not private group by source")
+@query(f"with {SRC} select doc_id, bool_or(private) any_private, case when bool_or(private) then 'local' else 'remote' end route from src group by doc_id")
 def rerank_route(spark: SparkSession, sf: str) -> DataFrame:
-    rows = corpus.sources(spark, sf).where("doc_id % 50 < 2 or not private").groupBy("source").agg(F.bool_or("private").alias("any_private"))
-    return rows.select("source", "any_private", policy.rerank_route(F.col("any_private"), F.lit(False)).alias("route"))
+    rows = corpus.sources(spark, sf).groupBy("doc_id").agg(F.bool_or("private").alias("any_private"))
+    return rows.select("doc_id", "any_private", policy.rerank_route(F.col("any_private"), F.lit(False)).alias("route"))
 
 
 # --- structure ------------------------------------------------------------------------------------

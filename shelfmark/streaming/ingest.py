@@ -19,9 +19,8 @@ def ingest_stream(spark: SparkSession, landing: str, target: str, checkpoint: st
 
     def write(docs: DataFrame, batch: int) -> None:
         docs = docs.dropDuplicates(["doc"])
-        cut = structure.induced(docs)
-        good = structure.gate(docs, cut).where("passed").select("doc")
-        chunks = chunking.chunk_rows(docs, cut.join(good, "doc", "left_semi"))
+        found, _ = structure.ladder(docs, structure.shipped_profiles(docs.sparkSession))
+        chunks = chunking.chunk_rows(docs, found)
         vectors = chunking.embed(chunks, embed)
         chunks.join(vectors, ["doc", "chunk_index"]).write.mode("overwrite").parquet(f"{target}/chunks/batch={batch}")
         done = docs.sparkSession.read.parquet(f"{target}/chunks/batch={batch}").groupBy("doc").agg(F.count("*").alias("chunks"), F.sum("n_tokens").alias("tokens"))
