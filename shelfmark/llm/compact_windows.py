@@ -28,7 +28,6 @@ gives an empty result; other columns are not read, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +50,9 @@ HASHES, BAND = 2, (15, 25)
 #: Windows of a key in a block of that comparison, and the shingles around a root that a stretch over it can touch.
 BLOCK = 1024
 REACH = SPAN - 1 + SHIFT
+#: Of polynomial hashes modulo 2 ** 64.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Ids of documents to verify are broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 
@@ -167,8 +169,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     frugal()
     for batch in batches:
         sources, repeats, starts, ends = [], [], [], []
-        for a, b, places, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found = repeated_spans(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), [(p["diagonal"], p["low"], p["high"]) for p in places])
+        at, flat = batch.column(2).offsets.to_numpy(), batch.column(2).values
+        places = list(zip(*(flat.field(c).to_numpy().tolist() for c in ("diagonal", "low", "high"))))
+        pairs = zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4)), at[:-1].tolist(), at[1:].tolist(), strict=True)
+        for a, b, x, y, begin, stop in pairs:
+            found = repeated_spans(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), places[begin:stop])
             for s, e in found:
                 sources.append(a)
                 repeats.append(b)
@@ -177,12 +182,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sources, pa.int64()), pa.array(repeats, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["source", "id", "start", "end"])
 
 
-def _around(packed: bytes, root: int) -> np.ndarray:
-    """The REACH shingles around a root, zeros outside of the text."""
-    text, at = np.frombuffer(packed, np.uint32), max(root - REACH, 0)
-    part, line = text[at : root + REACH + 1], np.zeros(2 * REACH + 1, np.uint32)
-    line[at - root + REACH : at - root + REACH + part.size] = part
-    return line
+def _padded(packed: bytes) -> np.ndarray:
+    """A text's shingles with zeros on both sides, so that the 2 * REACH + 1 from a place on are those around it."""
+    return np.concatenate([np.zeros(REACH, np.uint32), np.frombuffer(packed, np.uint32), np.zeros(REACH + 1, np.uint32)])
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,17 +192,29 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     frugal()
     for batch in batches:
         for i, keys, places, opens, packed in zip(*(batch.column(c) for c in ("id", "keys", "places", "opens", "shingles")), strict=True):
-            packed, places = packed.as_py(), places.values.to_numpy()
-            alike = [int.from_bytes(blake2b(_around(packed, p).tobytes(), digest_size=8).digest(), "little", signed=True) for p in places.tolist()]
+            line, places = mix(_padded(packed.as_py()).astype(np.uint64) + np.uint64(1)), places.values.to_numpy()
+            # a polynomial of the shingles around a root, as a difference of sums divided by its first power
+            power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(line.size, BASE)]))
+            back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(line.size, INVERSE)]))
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(line * power[:-1])])
+            alike = mix((sums[places + 2 * REACH + 1] - sums[places]) * back[places]).view(np.int64)
             yield pa.RecordBatch.from_arrays([keys.values, pa.array(np.full(places.size, i.as_py())), pa.array(places), opens.values, pa.array(alike, pa.int64())], names=["key", "id", "place", "open", "alike"])
 
 
 def _locals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(low, rows, shingles) -> one row for each of a text's rows, with the shingles around its root."""
     frugal()
-    names = ["key", "alike", "low", "high", "place", "open", "block", "own"]
     for batch in batches:
-        local = [_around(x, p).tobytes() for x, p in zip(batch.column("shingles").to_pylist(), batch.column("place").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(local, pa.binary())], names=[*names, "local"])
+        for low, rows, packed in zip(*(batch.column(c) for c in ("low", "rows", "shingles")), strict=True):
+            rows, around = rows.values, np.lib.stride_tricks.sliding_window_view(_padded(packed.as_py()), 2 * REACH + 1)
+            place = rows.field("place").to_numpy()
+            for at in range(0, len(rows), 4096):
+                part = rows.slice(at, 4096)
+                local = around[place[at : at + 4096]]
+                edges = np.arange(len(part) + 1, dtype=np.int32) * (4 * local.shape[1])
+                binary = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(edges), pa.py_buffer(local.tobytes())])
+                names = ["key", "alike", "high", "open", "block", "own"]
+                yield pa.RecordBatch.from_arrays([*(part.field(c) for c in names), pa.array(np.full(len(part), low.as_py())), binary], names=[*names, "low", "local"])
 
 
 def _alike(texts: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -226,12 +240,17 @@ def _run(texts: np.ndarray, text: np.ndarray) -> np.ndarray:
 def _in_runs(group: np.ndarray, local: np.ndarray) -> np.ndarray:
     """Rows that share RUN shingles over the root with another row of their group."""
     shared = np.zeros(len(local), bool)
-    for start in range(REACH - RUN + CONTEXT[-1] + 1, REACH + 1):
-        key = mix(group.astype(np.uint64) + np.uint64(1))
-        for k in range(start, start + RUN):
-            key = mix(key * np.uint64(31) + local[:, k])
-        _, of, count = np.unique(key, return_inverse=True, return_counts=True)
-        shared |= count[of.ravel()] > 1
+    first = REACH - RUN + CONTEXT[-1] + 1
+    line = mix(local[:, first : REACH + RUN].astype(np.uint64) + np.uint64(1))
+    sums = np.zeros((len(local), line.shape[1] + 1), np.uint64)
+    for k in range(line.shape[1]):  # hashes of prefixes; a run's is a difference of two
+        sums[:, k + 1] = sums[:, k] * BASE + line[:, k]
+    power = np.uint64(pow(int(BASE), RUN, 1 << 64))
+    of = mix(group.astype(np.uint64) + np.uint64(1))
+    for start in range(REACH - first + 1):
+        key = mix(sums[:, start + RUN] - sums[:, start] * power + of)
+        _, row, count = np.unique(key, return_inverse=True, return_counts=True)
+        shared |= count[row.ravel()] > 1
     return shared
 
 
@@ -239,9 +258,12 @@ def _can_repeat(group: np.ndarray, local: np.ndarray) -> np.ndarray:
     """Rows with a stretch of surroundings that could repeat another row of their group: enough of its shingles
     stand anywhere else in the group."""
     need = int(np.ceil(SIMILARITY * 2 * SPAN / (1 + SIMILARITY) - 1e-9))
-    _, of, count = np.unique(mix(local + (group.astype(np.uint64)[:, None] << np.uint64(32))), return_inverse=True, return_counts=True)
+    # counted by a hash: values that fall together can only let a row pass
+    bits = max(16, int(local.size).bit_length() + 2)
+    slot = (mix(local + (group.astype(np.uint64)[:, None] << np.uint64(32))) >> np.uint64(64 - bits)).astype(np.int64)
+    many = np.bincount(slot.ravel(), minlength=1 << bits) > 1
     total = np.zeros((len(local), local.shape[1] + 1), np.int32)
-    np.cumsum((count[of.reshape(local.shape)] > 1) & (local != 0), axis=1, out=total[:, 1:])
+    np.cumsum(many[slot] & (local != 0), axis=1, out=total[:, 1:])
     return (total[:, SPAN:] - total[:, :-SPAN] >= need).any(axis=1)
 
 
@@ -393,8 +415,9 @@ def _all_places(windows: DataFrame, sequences: DataFrame, scratch: Scratch) -> D
     base = rows.select("key", "alike", "low", "high", "place", "open", "block", F.lit(True).alias("own"))
     away = rows.where("open and blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other != block")
     dealt = base.unionByName(away.select("key", "alike", "low", "high", "place", "open", F.col("other").alias("block"), F.lit(False).alias("own")))
-    local = dealt.join(sequences.select(F.col("id").alias("low"), "shingles"), "low")
-    local = local.mapInArrow(_locals, "key bigint, alike bigint, low bigint, high bigint, place int, open boolean, block int, own boolean, local binary")
+    of_text = dealt.groupBy("low").agg(F.collect_list(F.struct("key", "alike", "high", "place", "open", "block", "own")).alias("rows"))
+    of_text = of_text.join(sequences.select(F.col("id").alias("low"), "shingles"), "low")
+    local = of_text.mapInArrow(_locals, "key bigint, alike bigint, high bigint, open boolean, block int, own boolean, low bigint, local binary")
     # a fixed number of tasks: the work grows with comparisons, not with bytes
     tasks = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = local.repartition(tasks, "key", "block").sortWithinPartitions("key", "block")
