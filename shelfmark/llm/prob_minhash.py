@@ -6,15 +6,17 @@ arrival, and a shingle stops as soon as its next arrival is later than every slo
 agree in a slot with the probability Jaccard similarity of their weighted shingles.  Texts that repeat a
 shingle have a second signature with all weights 1, which agrees with the Jaccard similarity of the sets; for
 texts without repeats the two are the same.  Signatures are cut into bands, and a bucket holds either kind.  Members of a bucket are verified against a few leaders of the bucket with the exact Jaccard
-similarity of their shingle sets; what stays unconnected within a bucket is then compared in blocks, so
-every pair of a bucket is either verified or already connected, and no task holds or emits all pairs.
+similarity of their shingle sets; what stays unconnected within a bucket (its outsiders) is then compared with all
+members, a block of outsiders with a block of members a task, so every pair of a bucket is either verified or already
+connected, and no task holds more than two blocks.
 
 Chance to miss a pair of set Jaccard s in all bands: (1 - s**ROWS)**BANDS at most, 7e-5 at 0.8.
 
 Defined results: null and empty texts and texts without words are never duplicates; texts of fewer
 than five words have one shingle of all of them; ids are expected to be unique (rows that share an id
-are one node); rows with a null id keep their row and never represent others; an empty table gives an
-empty result; other columns are not read.
+are one node); of equal texts and groups (ties) the smallest id represents; a very long text is one set of
+shingles, whose memory grows with it; rows with a null id keep their row and never represent others; an empty
+table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -141,31 +143,31 @@ def _verify(threshold: float):
 
 
 def _compare_block(threshold: float):
-    """Members of one block of a bucket with the bucket's outsiders -> links that join their components."""
+    """A block of a bucket's members with a block of its outsiders -> links that join their components."""
 
     def run(table: pa.Table) -> pa.Table:
         frugal()
-        table = table.take(pa.array(np.unique(table["node"].to_numpy(), return_index=True)[1]))
-        nodes, parts = table["node"].to_numpy(), table["comp"].to_numpy().copy()
+        nodes, parts, asks = table["node"].to_numpy(), table["comp"].to_numpy().copy(), table["asks"].to_numpy(zero_copy_only=False)
         sets = [np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()]
         size = np.fromiter(map(len, sets), np.int64, len(sets))
         column = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
         row = np.repeat(np.arange(len(sets)), size)
-        shared = np.zeros((len(sets), len(sets)), np.float64)
+        out, mine = np.flatnonzero(asks), np.flatnonzero(~asks)
+        shared = np.zeros((out.size, mine.size), np.float64)
         width = 1 << 14
         for low in range(0, int(column.max(initial=-1)) + 1, width):
             here = (column >= low) & (column < low + width)
             chunk = np.zeros((len(sets), width), np.float32)
             chunk[row[here], column[here] - low] = 1
-            shared += chunk @ chunk.T
-        alike = shared >= threshold * (size[:, None] + size[None] - shared)
-        a, b = np.nonzero(np.triu(alike, 1) & (parts[:, None] != parts[None]))
+            shared += chunk[out] @ chunk[mine].T
+        alike = shared >= threshold * (size[out][:, None] + size[mine][None] - shared)
         left, right = [], []
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            if parts[x] != parts[y]:
-                parts[parts == max(parts[x], parts[y])] = min(parts[x], parts[y])
-                left.append(nodes[x])
-                right.append(nodes[y])
+        for x, y in zip(*(i.tolist() for i in np.nonzero(alike & (parts[out][:, None] != parts[mine][None]))), strict=True):
+            a, b = out[x], mine[y]
+            if parts[a] != parts[b]:
+                parts[parts == max(parts[a], parts[b])] = min(parts[a], parts[b])
+                left.append(nodes[a])
+                right.append(nodes[b])
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return run
@@ -197,11 +199,17 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     placed = inside.where("size > 2").select("key", "node", "size", "leader0").join(components, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     placed = cut(placed.drop("component"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("node") == F.col("leader0"), F.col("comp"))).alias("main")).where("low != high")
-    left = placed.join(open_keys.select("key", "main"), "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
-    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
-    tasks = left.withColumn("block", F.explode(F.when(F.col("comp") == F.col("main"), F.array(own)).otherwise(everywhere)))
-    more = tasks.select("key", "block", "node", "comp").join(sets, "node").groupBy("key", "block").applyInArrow(_compare_block(threshold), "a bigint, b bigint")
+    inside_ = placed.join(open_keys.select("key", "main"), "key").withColumn("out", F.col("comp") != F.col("main"))
+    number = lambda n: F.ceil(n / BLOCK).cast("int")
+    n_out = inside_.where("out").groupBy(F.col("key").alias("k")).agg(number(F.count("*")).alias("out_blocks"))
+    left = inside_.join(n_out, F.col("key") == F.col("k")).withColumn("blocks", number(F.col("size")))
+    own = lambda n: F.pmod(F.xxhash64("node", "key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # every member lies in one block, every outsider in one block of outsiders as well; each pair of blocks is a task
+    members_ = left.select("key", "node", "comp", own("blocks").alias("block"), every("out_blocks").alias("out_block"), F.lit(False).alias("asks"))
+    outsiders = left.where("out").select("key", "node", "comp", every("blocks").alias("block"), own("out_blocks").alias("out_block"), F.lit(True).alias("asks"))
+    tasks = members_.unionByName(outsiders)
+    more = tasks.join(sets, "node").groupBy("key", "block", "out_block").applyInArrow(_compare_block(threshold), "a bigint, b bigint")
     components = connected_components(links.unionByName(more), "a", "b")
 
     of_class = classes.join(components, F.col("rep") == F.col("node"), "left").select("words", "rep", "n", F.coalesce("component", "rep").alias("component"))

@@ -429,3 +429,25 @@ def test_an_input_that_changes_between_scans_is_an_error(spark):
     table = pa.table({"block": [0, 0], "digest": [1, 2], "bucket": [-1, 0], "blob": [b"", b""], "ids": [[1], None]})
     with pytest.raises(ValueError, match="read again"):
         row(table)
+
+
+def test_outsiders_of_a_bucket_meet_all_members_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(prob_minhash, "BLOCK", 2)
+    texts = corpus(31, 40)
+    sets = {i: {tuple(words(t)[k : k + 5]) for k in range(max(1, len(words(t)) - 4))} for i, t in texts.items()}
+    sizes = {i: pa_set(s) for i, s in sets.items()}
+    rows = [(7, n, n if n % 3 else 0, n % 2 == 0) for n in sorted(sizes)]
+    got = prob_minhash._compare_block(0.8)
+    import pyarrow as pa
+
+    table = pa.table({"key": [r[0] for r in rows], "node": [r[1] for r in rows], "comp": [r[1] for r in rows], "asks": [r[3] for r in rows], "shingles": [sizes[r[1]] for r in rows]})
+    links = got(table)
+    want = [(a, b) for a in sets for b in sets if a % 2 == 0 and b % 2 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert closure(texts, zip(links["a"].to_pylist(), links["b"].to_pylist())) == closure(texts, want) and want
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    all_links = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert {r.doc_id: r.component_id for r in prob_minhash.near_duplicates(frame).collect()} == closure(texts, all_links)
+
+
+def pa_set(shingles):
+    return np.unique(np.array([hash(s) & (2**64 - 1) for s in shingles], np.uint64)).tobytes()
