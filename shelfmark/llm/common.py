@@ -51,10 +51,18 @@ class Scratch:
         self.spark._jvm.System.gc()  # lets go of the shuffle files that led here
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.count}")
 
+    def drop(self, table: DataFrame) -> None:
+        """Removes one of the tables, once nothing reads it any more."""
+        self._delete(table.inputFiles()[0].rsplit("/", 1)[0] if table.inputFiles() else "")
+
     def clear(self) -> None:
-        """Removes the tables, once nothing reads them any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        """Removes all tables."""
+        self._delete(self.folder)
+
+    def _delete(self, folder: str) -> None:
+        if folder:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(id_col: str):

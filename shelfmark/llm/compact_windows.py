@@ -225,8 +225,8 @@ def _alike(texts: np.ndarray, text: np.ndarray) -> np.ndarray:
         low, high = max(-shift, 0), text.size - max(shift, 0)
         equal[:, low:high] |= texts[:, low + shift : high + shift] == text[low:high]
     equal &= text != 0
-    total = np.zeros((len(texts), text.size + 1), np.int32)
-    np.cumsum(equal, axis=1, out=total[:, 1:])
+    total = np.zeros((len(texts), text.size + 1), np.int16)
+    np.cumsum(equal, axis=1, dtype=np.int16, out=total[:, 1:])
     return (total[:, SPAN:] - total[:, :-SPAN] >= need).any(axis=1)
 
 
@@ -363,11 +363,13 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([key, pa.array(np.full(len(key), i.as_py())), root, low, high], names=["key", "id", "place", "low", "high"])
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows of the keys of two or more documents, with the first place of the smallest one (its leader)."""
+def _shared(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of the keys of two or more documents, with the first place of the smallest one (its leader).  The keys are a
+    table of their own, so that adaptive execution can split the join on a hot one."""
     lead = F.min(F.struct("id", "place")).alias("lead")
     ends = rows.groupBy("key").agg(lead, F.max("id").alias("last")).where("lead.id < last")
-    return rows.join(ends.select("key", F.col("lead.id").alias("source"), F.col("lead.place").alias("theirs")), "key")
+    ends = scratch.keep(ends.select("key", F.col("lead.id").alias("source"), F.col("lead.place").alias("theirs")))
+    return rows.join(ends, "key")
 
 
 def _still_open(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -427,11 +429,15 @@ def _all_places(windows: DataFrame, sequences: DataFrame, scratch: Scratch) -> D
 
 
 def _class_sequences(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, shingles, rep): one row per id with a passage's length of words; ``rep`` is the smallest id of the same words."""
+    """(id, shingles, rep, n): one row per id with a passage's length of words; ``rep`` is the smallest id of the same
+    words, and only it has the sequence; n is the number of shingles."""
     rows = docs.mapInArrow(_sequences, "id bigint, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles"))
     rows = scratch.keep(rows.where(F.octet_length("shingles") >= 4 * SPAN).withColumn("digest", F.md5("shingles")))
-    same = rows.groupBy("digest").agg(F.min("id").alias("rep"))
-    return rows.join(same, "digest").select("id", "shingles", "rep")
+    same = scratch.keep(rows.groupBy("digest").agg(F.min("id").alias("rep")))
+    kept = rows.join(same, "digest").select("id", F.when(F.col("id") == F.col("rep"), F.col("shingles")).alias("shingles"), "rep", (F.octet_length("shingles") / 4).cast("int").alias("n"))
+    kept = scratch.keep(kept)
+    scratch.drop(rows)
+    return kept
 
 
 def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -440,18 +446,19 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     scratch = Scratch(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).where("id is not null")
     windows = docs.mapInArrow(_anchors, "key bigint, id bigint, place int")
-    ends = windows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    ends = scratch.keep(windows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"))
     roots = scratch.keep(windows.join(ends, "key").groupBy("id").agg(F.collect_list("place").alias("places")))
     named = roots.select(F.col("id").alias("node"))
     named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
     classes = _class_sequences(docs.join(named, F.col("id") == F.col("node"), "left_semi"), scratch)
-    classes = scratch.keep(classes.withColumn("shingles", F.when(F.col("id") == F.col("rep"), F.col("shingles"))).withColumn("n", (F.octet_length("shingles") / 4).cast("int")))
-    length = classes.where("id = rep").select(F.col("id").alias("r"), (F.col("n") + SHINGLE - 1).alias("end"))
-    copies = classes.where("id != rep").join(length, F.col("rep") == F.col("r")).select(F.col("rep").alias("source"), "id", F.lit(0).alias("start"), "end")
+    copies = classes.where("id != rep").select(F.col("rep").alias("source"), "id", F.lit(0).alias("start"), (F.col("n") + SHINGLE - 1).alias("end"))
     sequences = classes.where("id = rep").select("id", "shingles")
 
     # windows against the leader of their key
-    dealt = scratch.keep(_shared(roots.join(sequences, "id").mapInArrow(_keys, "key bigint, id bigint, place int, low smallint, high smallint")))
+    keys = scratch.keep(roots.join(sequences, "id").mapInArrow(_keys, "key bigint, id bigint, place int, low smallint, high smallint"))
+    scratch.drop(roots)
+    dealt = scratch.keep(_shared(keys, scratch))
+    scratch.drop(keys)
     found = scratch.keep(_verified(dealt.where("id != source"), sequences))
     # windows that are open then, among all others of their key
     leads = (F.col("id") == F.col("source")) & (F.col("place") == F.col("theirs"))
