@@ -39,8 +39,8 @@ SLOTS = BANDS * ROWS
 #: Leaders of a bucket, which members are verified against: the smallest id (an original comes before its
 #: copies), and others by a hash.
 LEADERS = 3
-#: Members of a bucket compared at once after the leaders.
-BLOCK = 64
+#: Members (and outsiders) of a bucket in a block; the copies sent to blocks fall with its square.
+BLOCK = 256
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
