@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -38,7 +39,7 @@ from shelfmark.llm.pretokens import pretokenize
 #: Characters of a block of texts; a worker holds some forty bytes for each.
 BLOCK_CHARS = 2 << 20
 #: Words whose ids a bucket's task remembers, and bytes from which on a word is merged with a heap.
-KNOWN_WORDS, LONG_WORD = 500_000, 200
+KNOWN_WORDS, LONG_WORD = 200_000, 200
 NEVER = 1 << 62
 #: Buckets of words for each shuffle partition of the session.
 BUCKETS_PER_PARTITION = 2
@@ -189,13 +190,13 @@ def _encode_words(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frugal()
         ranks = load_ranks(vocabulary)
-        known: dict[bytes, list[int]] = {}
+        known: dict[bytes, bytes] = {}  # word -> packed ids
         for batch in batches:
             at = batch.schema.get_field_index("blob")
             blobs = []
             for blob in batch.column(at):
                 *planes, data = _unpack(blob.as_py())
-                sizes, flat, start = [], [], 0
+                packed, start = [], 0
                 for end in np.cumsum(_unpack_numbers(planes), dtype=np.int64).tolist():
                     word = data[start:end]
                     start = end
@@ -203,10 +204,10 @@ def _encode_words(vocabulary: str):
                     if ids is None:
                         if len(known) >= KNOWN_WORDS:
                             known.clear()
-                        ids = known[word] = merge(word, ranks)
-                    sizes.append(len(ids))
-                    flat += ids
-                blobs.append(_pack(*_pack_numbers(np.array(sizes, np.int64)), *_pack_numbers(np.array(flat, np.int64))))
+                        ids = known[word] = array("I", merge(word, ranks)).tobytes()
+                    packed.append(ids)
+                sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+                blobs.append(_pack(*_pack_numbers(sizes), *_pack_numbers(np.frombuffer(b"".join(packed), np.uint32))))
             yield batch.set_column(at, batch.schema.field(at), pa.array(blobs, pa.binary()))
 
     return run
