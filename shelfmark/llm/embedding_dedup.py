@@ -7,6 +7,11 @@ other side of the bisector, so no linked pair is missed.  Cells are cut into blo
 vectors and every pair of blocks is one matrix product in double precision.  A product reports, for each
 class, how many vectors it links and the smallest class its links reach there, never the pairs.
 
+Dense neighbourhoods would be compared with themselves in full.  So balls are learned around the fullest ones of the
+sample: vectors of a label within half the angle of the threshold of a ball's centre all link with each other, which a
+count and a minimum for each ball report without any product.  Products leave these pairs out, and blocks of one ball do
+not meet.
+
 Defined results: null ids keep their row (they link by their vectors, but have no component of their own
 beyond the smallest non-null id); vectors that are null, empty, zero, or hold null or non-finite
 components, and rows with a null label, have no links and are their own component; equal vectors link
@@ -29,9 +34,12 @@ from shelfmark.llm.graph import connected_components
 
 #: Vectors the cell centres are fitted on, at most (taken in order of a hash of the id).
 SAMPLE = 8192
-CELLS_LEAST, CELLS_MOST, CELL_TARGET = 8, 1024, 256
-BLOCK = 256
+CELLS_LEAST, CELLS_MOST, CELL_TARGET = 8, 1024, 2048
+#: Vectors of a block, and of the rows of a product computed at a time.
+BLOCK, CHUNK = 2048, 512
 ROUNDS = 12
+#: Balls whose vectors all link are learned for neighbourhoods of so many sampled vectors or more, the fullest first.
+BALLS, BALL_LEAST = 64, 8
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -66,9 +74,33 @@ def usable(embedding: str):
     return F.coalesce(e.isNotNull() & (F.size(e) > 0) & ~bad & F.exists(e, lambda x: x != 0), F.lit(False))
 
 
-def _visits(centres: dict[int, np.ndarray], threshold: float):
-    """Rows -> their own cell (home) and the higher cells that may hold partners."""
+def dense_balls(rows: np.ndarray, threshold: float) -> np.ndarray:
+    """Unit centres of the neighbourhoods that hold the most of these unit rows, each around rows of its own."""
+    count = np.concatenate([(rows[a : a + CHUNK] @ rows.T >= threshold).sum(axis=1) for a in range(0, len(rows), CHUNK)])
+    taken, centres = np.zeros(len(rows), bool), []
+    for i in np.argsort(-count, kind="stable"):
+        if count[i] < BALL_LEAST or len(centres) == BALLS:
+            break
+        if not taken[i]:
+            near = rows @ rows[i] >= threshold
+            centres.append(rows[near].mean(axis=0))
+            taken |= near
+    return _unit(np.stack(centres)) if centres else np.empty((0, rows.shape[1]))
+
+
+def _visits(centres: dict[int, np.ndarray], balls: dict[int, np.ndarray], threshold: float):
+    """Rows -> their own cell (home) and the higher cells that may hold partners, and the ball that they lie in (or -1)."""
     reach = math.sqrt(2 - 2 * threshold) + 1e-9
+    half = math.acos(max(min(threshold, 1.0), -1.0)) / 2 - 1e-6
+
+    def inside(unit: np.ndarray, size: int) -> np.ndarray:
+        found = np.full(len(unit), -1, np.int32)
+        if half > 0 and len(balls.get(size, ())):
+            scores = unit @ balls[size].T
+            best = scores.argmax(axis=1)
+            ok = scores[np.arange(len(unit)), best] >= math.cos(half)
+            found[ok] = best[ok]
+        return found
 
     def run(batches):
         frugal()
@@ -78,6 +110,7 @@ def _visits(centres: dict[int, np.ndarray], threshold: float):
             for size in np.unique(sizes):
                 part = table.filter(pa.array(sizes == size))
                 unit = _matrix(part["vec"])
+                part = part.append_column("ball", pa.array(inside(unit, int(size))))
                 c = centres.get(int(size))
                 if c is None or len(c) == 1:
                     yield from part.append_column("cell", pa.array([0] * len(part), pa.int32())).append_column("home", pa.array([True] * len(part))).to_batches()
@@ -95,35 +128,65 @@ def _visits(centres: dict[int, np.ndarray], threshold: float):
     return run
 
 
+def _links(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], threshold: float) -> np.ndarray:
+    """Which rows of one block link with which of another: (ids, vectors, home, ball) of both."""
+    out = np.empty((len(x[0]), len(y[0])), bool)
+    for a in range(0, len(out), CHUNK):
+        ids, unit, home, ball = (part[a : a + CHUNK, None] if part.ndim == 1 else part[a : a + CHUNK] for part in x)
+        out[a : a + CHUNK] = (unit @ y[1].T >= threshold) & (home | y[2]) & ((ball < 0) | (ball != y[3])) & (ids != y[0])
+    return out
+
+
 def _products(threshold: float):
     """One pair of blocks -> (rep, linked vectors, smallest class reached)."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         frugal()
-        reps = table["rep"].to_numpy()
-        copies = table["n"].to_numpy()
-        home = table["home"].to_numpy()
-        block = table["block"].to_numpy()
-        unit = _matrix(table["vec"])
+        reps, copies, block = (table[c].to_numpy() for c in ("rep", "n", "block"))
+        columns = (reps, _matrix(table["vec"]), table["home"].to_numpy(), table["ball"].to_numpy())
         low, high = key[3].as_py(), key[4].as_py()
-        link = unit @ unit.T >= threshold
-        link &= home[:, None] | home[None]
+        x, y = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        link = _links(tuple(c[x] for c in columns), tuple(c[y] for c in columns), threshold)
+        x, y, link = x[link.any(axis=1)], y[link.any(axis=0)], link[link.any(axis=1)][:, link.any(axis=0)]
+        links, root = np.zeros(len(reps), np.int64), reps.copy()
+        links[x] = link @ copies[y]
         if low != high:
-            link &= block[:, None] != block[None]
-        np.fill_diagonal(link, False)
-        links = link @ copies
-        root = reps.copy()
-        while True:
-            least = np.minimum(root, np.where(link, root[None], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max))
-            if (least == root).all():
+            links[y] = copies[x] @ link
+        most = np.iinfo(np.int64).max
+        while len(x):
+            before = root.copy()
+            for a in range(0, len(x), CHUNK):
+                part = x[a : a + CHUNK]
+                root[part] = np.minimum(root[part], np.where(link[a : a + CHUNK], root[y], most).min(axis=1))
+            for a in range(0, len(y), CHUNK):
+                part = y[a : a + CHUNK]
+                root[part] = np.minimum(root[part], np.where(link[:, a : a + CHUNK].T, root[x], most).min(axis=1))
+            if (root == before).all():
                 break
-            root = least
         found = links > 0
-        return pa.table({"rep": reps[found], "links": links[found].astype(np.int64), "root": root[found]})
+        return pa.table({"rep": reps[found], "links": links[found], "root": root[found]})
 
     return run
 
 
+def _pairs_of_blocks(visits: DataFrame) -> DataFrame:
+    """Each row of a cell once for each pair of blocks that it takes part in.  A ball that fills a block in a cell has blocks
+    of its own, which do not meet each other; all other rows share blocks."""
+    cell = ["label", "dim", "cell"]
+    sizes = visits.groupBy(*cell, "ball").agg(F.count("*").alias("size"))
+    sizes = sizes.withColumn("part", F.when((F.col("ball") >= 0) & (F.col("size") > BLOCK), F.col("ball") + 1).otherwise(0).cast("long"))
+    parts = cut(sizes.groupBy(*cell, "part").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"), F.collect_list("ball").alias("balls")))
+    # as many parts as balls, at most
+    parts_of_cell = parts.groupBy(*cell).agg(F.collect_list(F.struct("part", "blocks")).alias("parts"))
+    deal = parts.withColumn("ball", F.explode("balls")).drop("balls").join(parts_of_cell, cell)
+    number = lambda part, i: part * F.lit(1 << 32) + i
+    others = F.filter("parts", lambda p: (p["part"] == 0) | (p["part"] != F.col("part")))
+    others = F.flatten(F.transform(others, lambda p: F.transform(F.sequence(F.lit(0).cast("long"), p["blocks"] - 1), lambda i: number(p["part"], i))))
+    own = number(F.col("part"), F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    tasks = visits.join(deal, [*cell, "ball"]).withColumn("block", own).withColumn("other", F.explode(others))
+    return tasks.select(*cell, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "ball", "rep", "n", "home", "vec")
+
+
 def near_duplicates(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", embedding_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: id, n_links, component_id and kept (the component's smallest id)."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(embedding_col).alias("vec"), F.col(label_col).alias("label"))
@@ -135,19 +198,21 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_i
     sample = keyed.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vec").toArrow()["vec"]
     sizes = np.asarray(pc.list_value_length(sample)) if len(sample) else np.empty(0, int)
     cells = int(np.clip(shape["n"] / (max(shape["labels"], 1) * CELL_TARGET), CELLS_LEAST, CELLS_MOST))
-    centres = {int(s): spherical_kmeans(_matrix(sample.filter(pa.array(sizes == s))), cells) for s in np.unique(sizes)}
+    learned = {int(s): _matrix(sample.filter(pa.array(sizes == s))) for s in np.unique(sizes)}
+    centres = {s: spherical_kmeans(unit, cells) for s, unit in learned.items()}
+    balls = {s: dense_balls(unit, threshold) for s, unit in learned.items()}
 
     label_type = classes.schema["label"].dataType.simpleString()
     vec_type = classes.schema["vec"].dataType.simpleString()
-    visits = cut(
-        keyed.select("label", F.size("vec").alias("dim"), "rep", "n", "vec").mapInArrow(_visits(centres, threshold), f"label {label_type}, dim int, rep bigint, n bigint, vec {vec_type}, cell int, home boolean")
-    )
-    cell = ["label", "dim", "cell"]
-    blocks = visits.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    tasks = visits.join(blocks, cell).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = tasks.select(*cell, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "n", "home", "vec")
-    linked = cut(tasks.groupBy(*cell, "low", "high").applyInArrow(_products(threshold), "rep bigint, links bigint, root bigint"))
+    kinds = f"label {label_type}, dim int, rep bigint, n bigint, vec {vec_type}, ball int, cell int, home boolean"
+    visits = cut(keyed.select("label", F.size("vec").alias("dim"), "rep", "n", "vec").mapInArrow(_visits(centres, balls, threshold), kinds))
+    compared = _pairs_of_blocks(visits).groupBy("label", "dim", "cell", "low", "high").applyInArrow(_products(threshold), "rep bigint, links bigint, root bigint")
+    # all vectors of a ball link with each other
+    ball = ["label", "dim", "ball"]
+    members = visits.where("home and ball >= 0").select(*ball, "rep", "n")
+    whole = members.groupBy(*ball).agg(F.sum("n").alias("total"), F.min("rep").alias("root"))
+    in_balls = members.join(whole, ball).select("rep", (F.col("total") - F.col("n")).alias("links"), "root")
+    linked = cut(compared.unionByName(in_balls.where("links > 0")))
 
     components = connected_components(linked, "rep", "root")
     counts = linked.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -1,6 +1,7 @@
 """Each operator against brute force, exact round trips, or accuracy."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -222,10 +223,13 @@ def test_winnowing_equals_all_windows(spark):
         assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got.collect()} == want
 
 
-def test_embedding_links_equal_all_pairs(spark):
+@pytest.mark.parametrize("block, noise", [(embedding_dedup.BLOCK, 0.12), (16, 0.12), (16, 0.04)])
+def test_embedding_links_equal_all_pairs(spark, monkeypatch, block, noise):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(30, 8))
-    rows = np.concatenate([centres[rng.integers(0, 30, 500)] + rng.normal(size=(500, 8)) * 0.12, np.repeat(centres[:1], 40, axis=0)]).astype(np.float32)
+    rows = [centres[rng.integers(0, 30, 500)] + rng.normal(size=(500, 8)) * 0.12, centres[0] + rng.normal(size=(150, 8)) * noise, np.repeat(centres[:1], 40, axis=0)]
+    rows = np.concatenate(rows).astype(np.float32)
     labels = rng.integers(0, 2, len(rows))
     unit = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
     link = (unit @ unit.T >= 0.98) & (labels[:, None] == labels[None])
@@ -236,6 +240,16 @@ def test_embedding_links_equal_all_pairs(spark):
     assert got == {i: (int(link[i].sum()), want[i]) for i in range(len(rows))}
 
 
+def test_rows_of_a_dense_ball_all_link():
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=16)
+    rows = np.concatenate([centre + rng.normal(size=(300, 16)) * 0.05, rng.normal(size=(300, 16))])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    balls = embedding_dedup.dense_balls(rows, 0.98)
+    inside = rows[rows @ balls[0] >= math.cos(math.acos(0.98) / 2)]
+    assert len(balls) == 1 and len(inside) > 200 and (inside @ inside.T >= 0.98).all()
+
+
 def test_quality_learns_and_uses_interactions():
     rng = np.random.default_rng(0)
     rows = rng.random((4000, len(quality_gam.FEATURES)))
