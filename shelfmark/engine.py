@@ -3,6 +3,7 @@
 Small tables (notebooks, sources, config, ledger) are rewritten as a new version on each change.  Chunks and
 vectors are written once per source version under ``chunks/notebook_id=/source_id=/v=``; the source row
 names the version that counts, so a refresh writes first and swaps then, and a failed one loses nothing.
+Postings of each version lie beside them under ``postings/``, sorted by token; lexical search reads only these.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ from shelfmark.sources import readers
 
 SCHEMAS = {
     "notebooks": "id bigint, name string, created_at timestamp",
-    "sources": "id bigint, notebook_id bigint, url string, display_name string, content_hash string, private boolean, space string, ingest_state string, ingest_error string, chunks_planned bigint, ingested_at timestamp, v bigint",
+    "sources": "id bigint, notebook_id bigint, url string, display_name string, content_hash string, private boolean, space string, ingest_state string, ingest_error string, chunks_planned bigint, ingested_at timestamp, v bigint, n_index_tokens bigint",
     "config": "key string, value string",
     "ledger": "source_id bigint, model string, api_calls bigint, input_tokens double, output_tokens double, cache_hit_tokens double, cost_usd double, recorded_at timestamp",
 }
 CHUNKS = "doc_id bigint, chunk_index bigint, breadcrumb string, structural boolean, pos_start bigint, pos_end bigint, n_tokens int, text string, contextualized string, enrichment_status string, embedding array<float>, notebook_id bigint, source_id bigint, v bigint"
+POSTINGS = "chunk_index bigint, token string, tf bigint, dl int, notebook_id bigint, source_id bigint, v bigint"
 
 
 #: What reading a source and calling its models may raise; any other error is a fault of the program.
@@ -115,6 +117,21 @@ class Engine:
         now = self.table("sources").select(F.col("id").alias("source_id"), "v", "private", "space", F.col("url").alias("source"))
         return rows.join(now, ["source_id", "v"])
 
+    def _index(self, folder: str) -> int:
+        """Writes the postings of a folder of chunks, and returns their number of tokens."""
+        chunks = self.spark.read.parquet(folder)
+        return search.write_postings(search.postings(chunks, "chunk_index"), folder.replace(f"{self.root}/chunks/", f"{self.root}/postings/", 1))
+
+    def postings(self) -> tuple[DataFrame, DataFrame]:
+        """(doc_id, token, tf, dl, notebook) of the current version of every source, and the row of totals (n, total)."""
+        now = self.table("sources").where("v > 0")
+        totals = now.agg(F.coalesce(F.sum("chunks_planned"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_index_tokens"), F.lit(0)).alias("total"))
+        rows = self.spark.createDataFrame([], POSTINGS)
+        if self._fs.exists(self._path(f"{self.root}/postings")):
+            rows = self.spark.read.schema(POSTINGS).parquet(f"{self.root}/postings").join(now.select(F.col("id").alias("source_id"), "v"), ["source_id", "v"])
+        chunk = F.xxhash64("source_id", "chunk_index").alias("doc_id")
+        return rows.select(chunk, "token", "tf", "dl", F.col("notebook_id").cast("string").alias("notebook")), totals
+
     def _one(self, name: str, /, **keys) -> Row | None:
         rows = self.table(name)
         for k, v in keys.items():
@@ -145,7 +162,11 @@ class Engine:
         self._replace("ledger", ledger)
         self._replace("sources", self.table("sources").where(F.col("notebook_id") != notebook))
         self._replace("notebooks", self.table("notebooks").where(F.col("id") != notebook))
-        self._fs.delete(self._path(f"{self.root}/chunks/notebook_id={notebook}"), True)
+        self._forget(f"notebook_id={notebook}")
+
+    def _forget(self, part: str) -> None:
+        for name in ("chunks", "postings"):
+            self._fs.delete(self._path(f"{self.root}/{name}/{part}"), True)
 
     # --- sources ---
 
@@ -159,7 +180,7 @@ class Engine:
         hidden = self.default_private if private is None else private
         source = self._next_id("sources")
         space = policy.LOCAL if hidden else policy.REMOTE
-        self._append("sources", (source, notebook, url, display_name or url, None, hidden, space, "pending", None, 0, None, 0))
+        self._append("sources", (source, notebook, url, display_name or url, None, hidden, space, "pending", None, 0, None, 0, 0))
 
         def work() -> None:
             self.ingest(source, text)
@@ -233,7 +254,7 @@ class Engine:
             calls = -(-planned["n"] // chunking.WINDOW_CHUNKS)
             now = datetime.now(timezone.utc)
             self._append("ledger", (source, model, calls, float(planned["t"]), 0.0, 0.0, usd, now))
-            self._update(source, ingest_state="ready", content_hash=digest[0], chunks_planned=planned["n"], ingested_at=now, v=version)
+            self._update(source, ingest_state="ready", content_hash=digest[0], chunks_planned=planned["n"], ingested_at=now, v=version, n_index_tokens=self._index(folder))
         except READ_ERRORS as error:
             self._update(source, ingest_state="failed", ingest_error=str(error)[: catalog.ERROR_LIMIT])
 
@@ -254,7 +275,7 @@ class Engine:
             raise EngineError(f"no source {source} in notebook {notebook}")
         self._replace("sources", self.table("sources").where(F.col("id") != source))
         self._replace("ledger", self.table("ledger").where(F.col("source_id") != source))
-        self._fs.delete(self._path(f"{self.root}/chunks/notebook_id={notebook}/source_id={source}"), True)
+        self._forget(f"notebook_id={notebook}/source_id={source}")
 
     def source_enrich(self, source: int, force: bool = False) -> dict:
         """Write contexts for the pending chunks of a private source with the injected contextualizer
@@ -289,7 +310,7 @@ class Engine:
         folder = f"{self.root}/chunks/notebook_id={row['notebook_id']}/source_id={source}/v={row['v'] + 1}"
         rows.write.mode("overwrite").parquet(folder)
         done = self.spark.read.parquet(folder).agg(F.count(F.when(F.col("enrichment_status") == "enriched", 1)).alias("e"), F.count(F.when(F.col("enrichment_status") == "failed", 1)).alias("f")).first()
-        self._update(source, v=row["v"] + 1)
+        self._update(source, v=row["v"] + 1, n_index_tokens=self._index(folder))
         return {"enriched": done["e"], "failed": done["f"]}
 
     # --- status ---
@@ -357,7 +378,7 @@ class Engine:
         docs = rows.select(F.col("chunk").alias("doc_id"), "notebook", "source", "private", "space", "text", *extra)
         vectors = rows.select(F.col("chunk").alias("vec_id"), "notebook", "space", "embedding")
         since = time.perf_counter()
-        results = hybrid.notebook_query(docs, vectors, vector, terms, str(notebook), hidden, top_k, mode, query if rerank else None, extra, self.scorers)
+        results = hybrid.notebook_query(docs, vectors, vector, terms, str(notebook), hidden, top_k, mode, query if rerank else None, extra, self.scorers, self.postings())
         results = self.spark.createDataFrame(results.collect(), results.schema)  # top_k rows
         took("search_ms", since)
         took("total_ms", began)

@@ -13,10 +13,28 @@ RRF_K = 60
 RERANK_POOL = 30
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, token, tf, dl) of every document's distinct tokens."""
-    tokens = docs.select(id_col, index_tokens(F.col(text_col)).alias("tokens"))
-    return tokens.select(id_col, F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).groupBy(id_col, "token", "dl").agg(F.count("*").alias("tf"))
+def _token_counts(tokens: Column) -> Column:
+    """(token, tf) of the distinct tokens: runs of the sorted array."""
+
+    def runs(s: Column) -> Column:
+        changes = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
+        named = lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("token"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("bigint").alias("tf")))
+        return F.flatten(F.transform(F.array(changes), named))
+
+    return F.flatten(F.transform(F.array(F.sort_array(tokens)), runs))
+
+
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, ``keep`` columns, token, tf, dl) of every document's distinct tokens, counted inside the row."""
+    tokens = docs.select(id_col, *keep, index_tokens(F.col(text_col)).alias("tokens"))
+    counted = tokens.select(id_col, *keep, F.size("tokens").alias("dl"), F.explode(_token_counts(F.col("tokens"))).alias("p"))
+    return counted.select(id_col, *keep, "p.token", "p.tf", "dl")
+
+
+def write_postings(rows: DataFrame, folder: str) -> int:
+    """Stores postings in runs sorted by token, so that a prefix reads few row groups; returns the sum of lengths."""
+    rows.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder).agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
 
 
 def _starting(tokens: Column, prefix: str) -> Column:
@@ -49,13 +67,35 @@ def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: st
     tokens = cut(tokens)  # small rows of counts, read for the statistics and again for the hits; texts are read once
     stats = bm25_stats(tokens, len(terms))
     rows = tokens.where(F.col("in_scope") & F.exists("f", lambda x: x > 0)).crossJoin(F.broadcast(stats))
+    return rows.select(id_col, _bm25_score(len(terms)).alias("score"))
+
+
+def _bm25_score(n_terms: int) -> Column:
+    """The score of a row with f, dl, and the statistics n, avgdl and df."""
     score = F.lit(0.0)
-    for i in range(len(terms)):
+    for i in range(n_terms):
         df, f = F.col("df")[i].cast("double"), F.col("f")[i].cast("double")
         idf = F.ln((F.col("n") - df + 0.5) / (df + 0.5))
         part = F.when(idf > 0, idf).otherwise(IDF_FLOOR) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         score = score + part
-    return rows.select(id_col, F.round(score, 6).alias("score"))
+    return F.round(score, 6)
+
+
+def bm25_indexed(index: DataFrame, totals: DataFrame, terms: list[str], id_col: str = "doc_id", scope: Column | None = None) -> DataFrame:
+    """The rows of ``bm25`` from stored postings: only tokens that start with a term are read.  ``totals`` is the one row
+    (n, total) of documents and tokens that the postings are of."""
+    if not terms:
+        return index.select(id_col, F.lit(0.0).alias("score")).where(F.lit(False))
+    some = F.lit(False)
+    for term in terms:
+        some = some | F.col("token").startswith(term)
+    hits = index.where(some).withColumn("in_scope", F.lit(True) if scope is None else scope)
+    counts = [F.sum(F.when(F.col("token").startswith(t), F.col("tf")).otherwise(0)).alias(f"f{i}") for i, t in enumerate(terms)]
+    rows = hits.groupBy(id_col, "dl", "in_scope").agg(*counts).select(id_col, "dl", "in_scope", F.array(*[f"f{i}" for i in range(len(terms))]).alias("f"))
+    rows = cut(rows)  # the documents with a hit, read for df and again for the scores
+    df = rows.agg(F.array(*[F.count(F.when(F.col("f")[i] > 0, 1)) for i in range(len(terms))]).alias("df"))
+    stats = totals.select("n", F.try_divide(F.col("total").cast("double"), F.col("n")).alias("avgdl")).crossJoin(F.broadcast(df))
+    return rows.where("in_scope").crossJoin(F.broadcast(stats)).select(id_col, _bm25_score(len(terms)).alias("score"))
 
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:

@@ -11,8 +11,9 @@ from shelfmark.session import cut
 MODES = ("hybrid", "dense", "lexical")
 
 
-def ranked_lists(docs: DataFrame, vectors: DataFrame, query_vector: DataFrame, terms: list[str], notebook: str, private: bool, top_k: int, mode: str) -> DataFrame:
-    """(list_no, rank, doc_id): one list for each searched space, then the lexical list."""
+def ranked_lists(docs: DataFrame, vectors: DataFrame, query_vector: DataFrame, terms: list[str], notebook: str, private: bool, top_k: int, mode: str, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(list_no, rank, doc_id): one list for each searched space, then the lexical list, from ``index`` (stored postings and
+    their totals) if there is one."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; one of {', '.join(MODES)}")
     parts = []
@@ -21,7 +22,9 @@ def ranked_lists(docs: DataFrame, vectors: DataFrame, query_vector: DataFrame, t
         near = search.knn_by_space(plan, query_vector, top_k)
         parts.append(near.select(F.when(F.col("space") == policy.REMOTE, 0).otherwise(1).alias("list_no"), "rank", F.col("vec_id").alias("doc_id")))
     if mode != "dense" and terms:
-        hits = search.top_k(search.bm25(docs, terms, scope=F.col("notebook") == notebook), 2 * top_k, F.desc("score"), F.asc("doc_id"))
+        scope = F.col("notebook") == notebook
+        scored = search.bm25_indexed(*index, terms, scope=scope) if index else search.bm25(docs, terms, scope=scope)
+        hits = search.top_k(scored, 2 * top_k, F.desc("score"), F.asc("doc_id"))
         parts.append(hits.select(F.lit(2).alias("list_no"), "rank", "doc_id"))
     if not parts:
         return docs.select(F.lit(0).alias("list_no"), F.lit(0).alias("rank"), "doc_id").where(F.lit(False))
@@ -31,12 +34,12 @@ def ranked_lists(docs: DataFrame, vectors: DataFrame, query_vector: DataFrame, t
     return out
 
 
-def notebook_query(docs: DataFrame, vectors: DataFrame, query_vector: DataFrame, terms: list[str], notebook: str, private: bool = False, top_k: int = 10, mode: str = "hybrid", query: str | None = None, more: tuple[str, ...] = (), scorers: dict | None = None) -> DataFrame:
+def notebook_query(docs: DataFrame, vectors: DataFrame, query_vector: DataFrame, terms: list[str], notebook: str, private: bool = False, top_k: int = 10, mode: str = "hybrid", query: str | None = None, more: tuple[str, ...] = (), scorers: dict | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(doc_id, score, source, private, space, excerpt, ``more`` columns) best first; with ``query`` the pool of
     candidates is reranked (``rerank_score``): by ``scorers['local']`` if the query or any candidate is private, else by
     ``scorers['remote']``; by word overlap without scorers.  The fused list has at most a few hundred rows, so it is
     broadcast to the document scan."""
-    lists = ranked_lists(docs, vectors, query_vector, terms, notebook, private, top_k, mode)
+    lists = ranked_lists(docs, vectors, query_vector, terms, notebook, private, top_k, mode, index)
     pool = max(search.RERANK_POOL, top_k) if query else top_k
     fused = search.rrf(lists, "doc_id").orderBy(*search.fused_order("doc_id")).limit(pool)
     rows = docs.join(F.broadcast(fused), "doc_id").select("doc_id", "score", "source", "private", "space", F.substr("text", F.lit(1), F.lit(60)).alias("excerpt"), "first_seen", "text", *more)

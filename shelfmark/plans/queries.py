@@ -7,6 +7,7 @@ SQL, or with none where SQL cannot express it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import text as T
 from shelfmark.operators import catalog, chunking, policy, search, structure
 from shelfmark.plans import corpus, hybrid
+from shelfmark.session import shared_dir
 from shelfmark.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,6 +202,16 @@ def lexical_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.top_k(search.bm25(corpus.table(spark, sf, "documents"), TERMS), 20, F.desc("score"), F.asc("doc_id"))
 
 
+@query(f"with {BM25} select doc_id, score, row_number() over (order by score desc, doc_id) as rank from bm order by score desc, doc_id limit 20")
+def indexed_search(spark: SparkSession, sf: str) -> DataFrame:
+    """``lexical_search`` through stored postings."""
+    docs = corpus.table(spark, sf, "documents")
+    folder = f"{shared_dir(spark)}/postings-{uuid4().hex}"
+    total = search.write_postings(search.postings(docs), folder)
+    totals = docs.agg(F.count("*").alias("n"), F.lit(total).alias("total"))
+    return search.top_k(search.bm25_indexed(spark.read.parquet(folder), totals, TERMS), 20, F.desc("score"), F.asc("doc_id"))
+
+
 # --- vectors and fusion ---------------------------------------------------------------------------
 
 

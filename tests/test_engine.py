@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.engine import Engine, EngineError
-from shelfmark.operators import catalog, dispatch, policy, structure
+from shelfmark.operators import catalog, dispatch, policy, search, structure
 from shelfmark.streaming.ingest import ingest_stream
 
 
@@ -38,6 +38,9 @@ def test_notebook_life(spark, tmp_path):
     assert engine.source_enrich(note) == {"enriched": 1, "failed": 0}
     assert engine.source_status(note)["summary"] == "embedded 1, queryable now, enrichment complete: 1 enriched"
     assert engine.notebook_status(book)["source_count"] == 3
+    index, totals = engine.postings()
+    chunks = engine.chunks().select(F.xxhash64("source_id", "chunk_index").alias("doc_id"), "text")
+    assert sorted(search.bm25_indexed(index, totals, ["tax", "note"]).collect()) == sorted(search.bm25(chunks, ["tax", "note"]).collect())
     engine.source_delete(book, flat)
     assert engine.chunks().where(F.col("source_id") == flat).count() == 0
     missing = engine.source_add(book, str(tmp_path / "missing.txt"))

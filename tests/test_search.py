@@ -1,4 +1,6 @@
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,3 +82,21 @@ def test_overlap_rerank_and_text_fallback(spark):
     row = spark.createDataFrame([("a b c", "A x b", "")], "q string, d string, ctx string")
     got = row.select(search.overlap_score(F.col("q"), F.col("d")).alias("s"), search.rerank_text(F.col("ctx"), F.col("d")).alias("t")).first()
     assert got.s == pytest.approx(2 / 3) and got.t == "A x b"
+
+
+def test_stored_postings_rank_like_the_texts(spark, tmp_path):
+    rng = random.Random(3)
+    vocabulary = ["tax", "taxes", "Täx", "law", "lawful", "rule", "x", "1a"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(30))) for _ in range(60)] + ["", None, "tax " * 50]
+    docs = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "doc_id long, text string, side int")
+    rows = search.postings(docs, keep=("side",))
+    want = {(i, t, n) for i, text in enumerate(texts) for t, n in Counter((text or "").lower().replace("ä", "a").split()).items()}
+    assert {(r.doc_id, r.token, r.tf) for r in rows.collect()} == want
+    total = search.write_postings(rows, str(tmp_path / "p"))
+    totals = docs.agg(F.count("*").alias("n"), F.lit(total).alias("total"))
+    for terms in (["tax"], ["ta", "law", "ta"], ["none"], []):
+        for scope in (None, F.col("side") == 1):
+            stored = search.bm25_indexed(spark.read.parquet(str(tmp_path / "p")), totals, terms, scope=scope)
+            assert sorted(stored.collect()) == sorted(search.bm25(docs, terms, scope=scope).collect())
+    empty = search.bm25_indexed(rows.where(F.lit(False)), docs.where(F.lit(False)).agg(F.count("*").alias("n"), F.lit(0).alias("total")), ["tax"])
+    assert empty.count() == 0
