@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from functools import lru_cache
 from uuid import uuid4
 
@@ -45,15 +46,17 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.folder, self.count = spark, f"{shared_dir(spark)}/scratch-{uuid4().hex}", 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Writes a table, in a folder for each value of the column ``by``."""
         self.count += 1
-        df.write.parquet(f"{self.folder}/{self.count}")
+        (df.write.partitionBy(by) if by else df.write).parquet(f"{self.folder}/{self.count}")
         self.spark._jvm.System.gc()  # lets go of the shuffle files that led here
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.count}")
 
-    def drop(self, table: DataFrame) -> None:
-        """Removes one of the tables, once nothing reads it any more."""
-        self._delete(table.inputFiles()[0].rsplit("/", 1)[0] if table.inputFiles() else "")
+    def drop(self, table: DataFrame, part: str = "") -> None:
+        """Removes one of the tables, or the folder ``part`` of it, once nothing reads it any more."""
+        top = re.match(r".*/scratch-[0-9a-f]+/\d+", table.inputFiles()[0]) if table.inputFiles() else None
+        self._delete(f"{top[0]}/{part}".rstrip("/") if top else "")
 
     def clear(self) -> None:
         """Removes all tables."""

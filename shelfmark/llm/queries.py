@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe_codec, compact_windows, embedding_dedup, filter_audit, language_gru, prob_minhash, quality_gam, quote_threads, secrets_dfa, sort_means, winnowing, wrapper_induction
+from shelfmark.llm import bpe_codec, compact_windows, embedding_dedup, filter_audit, language_gru, ngram_lm, prob_minhash, quality_gam, quote_threads, secrets_dfa, sort_means, winnowing, wrapper_induction
 from shelfmark.llm.common import read_table
 
 
@@ -51,6 +51,10 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper_induction.extraction_report(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.scores(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read_table(spark, sf_dir, "labels"))
 
@@ -59,6 +63,6 @@ def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sort_means.clusters(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_quality_gam, op3_language_gru, op4_secret_scan, op5_bpe_codec, op6_prob_minhash, op7_compact_windows, op8_quote_threads, op9_winnowing, op10_wrapper_induction, op12_filter_audit, op13_sort_means)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_quality_gam, op3_language_gru, op4_secret_scan, op5_bpe_codec, op6_prob_minhash, op7_compact_windows, op8_quote_threads, op9_winnowing, op10_wrapper_induction, op11_ngram_trie, op12_filter_audit, op13_sort_means)}
 
 ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": embedding_dedup.ORACLE_SQL, "op8_quote_threads": quote_threads.ORACLE_SQL, "op9_winnowing": winnowing.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL, "op13_sort_means": sort_means.ORACLE_SQL}
