@@ -22,6 +22,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import cut
+
 FILTERS = "ABCDE"
 SETS = 1 << len(FILTERS)
 SPACE = r"[ \t-\r]+"
@@ -47,6 +49,7 @@ def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     size = F.char_length("text")
     capitals = size - F.char_length(F.regexp_replace("text", "[A-Z]+", ""))
     flags = texts.select("id", "hash", "part", (100 * capitals > MOST_CAPITALS * size).alias("c"), F.col("text").rlike(SIGNS).alias("d"), F.unhex(F.sha2("text", 256)).alias("digest"))
+    flags = cut(flags)  # a few bytes a document, read twice: texts are read once for them
     first = flags.groupBy("digest").agg(F.min("id").alias("first_id"))
     flags = flags.join(first, "digest", "left").withColumn("e", F.coalesce(F.col("id") > F.col("first_id"), F.lit(False))).drop("digest", "first_id")
     totals = word_totals(texts.select("id", "hash", "text")).select(F.col("id").alias("w_id"), F.col("hash").alias("w_hash"), "words", "distinct_words")
