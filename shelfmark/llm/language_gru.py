@@ -7,8 +7,9 @@ over languages.  A document's probabilities are the mean over all its letter byt
 same way and is plain numpy: backpropagation through time with Adam on segments of a bounded sample of documents
 outside the held-out quarter.  Language, source and id are no inputs.
 
-The sample: of each language ``SAMPLE_DOCS`` documents in expectation, by a hash of the id, and of each of these
-documents ``SAMPLE_SEGMENTS`` segments at most, by a hash of the segment; so each language has its own bound.
+The sample: of each language ``SAMPLE_DOCS`` documents at most, by a hash of id and text, and of each of these
+documents ``SAMPLE_SEGMENTS`` segments at most, by a hash of the segment; so each language has its own bound, whatever
+repeats.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; if nothing can be learned, all are;
 of equal probabilities (ties) the first language by name is taken; a very long text is read whole, in memory that
@@ -24,13 +25,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import cut, frugal, held_out
 from shelfmark.llm.pretokens import LETTER, code_point_classes
 
-#: Documents of each language in the training sample (in expectation), and segments of each of them.
+#: Documents of each language in the training sample, at most, and segments of each of them.
 SAMPLE_DOCS, SAMPLE_SEGMENTS = 1000, 8
 HIDDEN, SPAN, STEPS, BATCH, RATE = 8, 64, 400, 128, 0.02
 #: Segments that are read side by side, and characters of a block of texts.
@@ -267,11 +268,16 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """Train on segments of a bounded sample of the documents outside the held-out quarter."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    share = cut(known.groupBy(F.col("lang").alias("of")).agg((F.lit(SAMPLE_DOCS) / F.count("*") * (1 << 30)).alias("share")))
+    # rows are chosen by their id and text, so that neither ids nor texts that repeat are chosen all at once
+    known = known.withColumn("pick", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)))
+    share = cut(known.groupBy(F.col("lang").alias("of")).agg((F.lit(2 * SAMPLE_DOCS) / F.count("*") * (1 << 30)).alias("share")))
     most = (share.agg(F.max("share")).first()[0] or 0) + 1
-    known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < most)
+    known = known.where(F.col("pick") < most)
     share = F.broadcast(share) if share.count() <= BROADCAST_LANGUAGES else share
-    sample = known.join(share, F.col("lang") == F.col("of")).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("share"))
+    likely = known.join(share, F.col("lang") == F.col("of")).where(F.col("pick") < F.col("share"))
+    # equal rows have one pick: the limit of a language holds whatever repeats, and ranks leave a task pre-limited
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("pick", "id"))
+    sample = likely.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS)
     found = sample.select("lang", "text").mapInArrow(_samples, "lang string, piece binary").toArrow()
     return train(list(zip(found["lang"].to_pylist(), found["piece"].to_pylist(), strict=True)))
 

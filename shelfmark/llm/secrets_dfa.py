@@ -13,6 +13,7 @@ rows repeat their result; an empty table gives an empty result; other columns ar
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -56,6 +57,10 @@ EXTRA_RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", seek=r"eyJ[A-Za-z0-9_-]"),
 )
 RULES = BASE_RULES + EXTRA_RULES
+#: Bytes that tries of a rule may read in vain in one lane before its matches are looked up from the end.
+WASTE = 1 << 14
+#: Lanes that are left are read one by one.
+FEW_LANES = 32
 
 
 # --- regex -> NFA ---------------------------------------------------------------------------------
@@ -228,27 +233,47 @@ class Dfa:
     def __post_init__(self) -> None:
         self.rows = [row.tolist() for row in self.table[:, self.byte_class]]
 
-    def longest(self, data: bytes, at: int, end: int) -> int:
-        """End of the longest match that starts at ``at``, or -1."""
-        state, found, rows, accepts = self.start, -1, self.rows, self.accepts
+    def run(self, data: bytes, at: int, end: int) -> tuple[int, int]:
+        """End of the longest match that starts at ``at``, or -1, and how far it was looked for."""
+        state, found, rows, accepts, i = self.start, -1, self.rows, self.accepts, at
         for i in range(at, end):
             state = rows[state][data[i]]
             if state == self.dead:
                 break
             if accepts[state]:
                 found = i + 1
-        return found
+        return found, i + 1
 
+    def longest(self, data: bytes, at: int, end: int) -> int:
+        """End of the longest match that starts at ``at``, or -1."""
+        return self.run(data, at, end)[0]
 
-def compile_dfa(patterns: list[tuple[str, bool]], search: bool) -> Dfa:
-    """One minimal automaton for all patterns; with ``search`` a match may start at any byte."""
+    def begins(self, data: bytes, start: int, end: int) -> list[int]:
+        """Where matches begin, by one pass from the end; of the automaton of the reversed pattern."""
+        state, rows, accepts, out = self.start, self.rows, self.accepts, []
+        for i in range(end - 1, start - 1, -1):
+            state = rows[state][data[i]]
+            if accepts[state]:
+                out.append(i)
+        return out[::-1]
+
+
+def compile_dfa(patterns: list[tuple[str, bool]], search: bool, backwards: bool = False) -> Dfa:
+    """One minimal automaton for all patterns; with ``search`` a match may start at any byte.  ``backwards`` it reads the
+    reversed texts of the patterns."""
     nfa = _Nfa()
     ends: dict[int, int] = {}
     starts = []
     for k, (pattern, fold) in enumerate(patterns):
         a, b = _Parser(pattern, nfa, fold).parse()
-        starts.append(a)
-        ends[b] = 1 << k
+        starts.append(b if backwards else a)
+        ends[a if backwards else b] = 1 << k
+    if backwards:
+        turned: list[list[tuple[frozenset | None, int]]] = [[] for _ in nfa.edges]
+        for state, edges in enumerate(nfa.edges):
+            for on, to in edges:
+                turned[to].append((on, state))
+        nfa.edges = turned
     signature: dict[tuple, list[int]] = {}
     sets = sorted({on for edges in nfa.edges for on, _ in edges if on is not None}, key=sorted)
     for byte in range(256):
@@ -291,6 +316,7 @@ class Scanner:
         self.combined = compile_dfa([(r.seek or r.prefix + r.pattern, r.ignore_case) for r in rules], search=True)
         self.single = [compile_dfa([(r.prefix + r.pattern, r.ignore_case)], search=False) for r in rules]
         self.prefix = [compile_dfa([(r.prefix, r.ignore_case)], search=False) if r.prefix else None for r in rules]
+        self.backward = [compile_dfa([(r.prefix + r.pattern, r.ignore_case)], search=True, backwards=True) for r in rules]
         self.first = [{b for b in range(256) if d.rows[d.start][b] != d.dead} for d in self.single]
         c = self.combined
         self.classes = c.table.shape[1]
@@ -320,18 +346,41 @@ class Scanner:
         live = np.searchsorted(-length, -np.arange(length[0]), side="left") if length.size else []
         for t in range(int(length[0]) if length.size else 0):
             k = live[t]
+            if k <= FEW_LANES:  # the last, long ones are quicker one by one
+                for i in range(k):
+                    seen[i] |= self._tail(int(state[i]) // self.classes, buffer[starts[i] + t : ends[i]].tobytes())
+                break
             now = self.next[state[:k] + classes[starts[:k] + t]]
             state[:k] = now
             seen[:k] |= self.accepting[now]
         hit = np.flatnonzero(seen)
         return [(int(starts[i]), int(ends[i]), int(seen[i])) for i in hit]
 
+    def _tail(self, state: int, data: bytes) -> int:
+        """The rules that accept in the rest of a lane."""
+        rows, accepts, seen = self.combined.rows, self.combined.accepts.tolist(), 0
+        for byte in data:
+            state = rows[state][byte]
+            seen |= accepts[state]
+        return seen
+
     def resolve(self, data: bytes, start: int, end: int, rule: int) -> Iterator[tuple[int, int]]:
-        """Leftmost-longest, non-overlapping matches of one rule; too short ones are dropped."""
-        spec, dfa, first, at = self.rules[rule], self.single[rule], self.first[rule], start
+        """Leftmost-longest, non-overlapping matches of one rule; too short ones are dropped.  Where tries that fail have
+        read ``WASTE`` bytes, one pass from the end tells where matches begin, so that no further try fails: a run of
+        beginnings costs in proportion to its length."""
+        spec, dfa, first, at, wasted = self.rules[rule], self.single[rule], self.first[rule], start, 0
+        begins: list[int] | None = None
         while at < end:
-            stop = dfa.longest(data, at, end) if data[at] in first else -1
+            if begins is not None:
+                k = bisect_left(begins, at)
+                if k == len(begins):
+                    return
+                at = begins[k]
+            stop, seen = dfa.run(data, at, end) if data[at] in first else (-1, at)
             if stop < 0:
+                wasted += seen - at
+                if wasted > WASTE and begins is None:
+                    begins = self.backward[rule].begins(data, at, end)
                 at += 1
                 continue
             begin = at if spec.whole else self.prefix[rule].longest(data, at, stop)

@@ -1,11 +1,13 @@
 """Main text of web pages by wrapper induction.
 
-Pages are parsed to trees.  For each host a bounded sample of pages is aligned with one of them by simple tree
-matching.  Text nodes that stand at matched places with the same text on most of the sample are constant: the host's
+Pages are parsed to trees.  For each host a bounded sample of different pages is aligned with one of them by simple tree
+matching.  Parts that share no text match by their shape alone, so shapes are matched once, and lists of children are aligned
+a row at a time; nothing recurses, however deep a page is nested.  Text nodes that stand at matched places with the same text on most of the sample are constant: the host's
 template.  All other text is in varying slots.  The region of the main text is induced from the slots: the deepest
 container that stands once on a page and holds nearly all slot text of the sample.  A wrapper is this region and
 the constants, both by their path of tags and classes.  Extraction parses each page once, goes to the region (and
-to a marked article in it, if there is one) and drops blocks that consist of constants only, in a marked article too.
+to a marked article in it, if there is one) and drops blocks that consist of constants only, in a marked article too.  A constant heading in a region or
+article stays if text of its own follows it in its section.
 
 Word lists of tags and class names are a prior, for parts that vary from page to page but are never main text (menus,
 page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments).  They never apply to
@@ -17,8 +19,6 @@ headers do not.  A host with fewer than
 Blocks are the runs of text between block-level tags; character references are decoded, white space
 inside a block becomes one space, blocks are trimmed and joined by an empty line.
 
-Lists of more than 2 ``EDGE`` children are aligned at both ends; what stands between is a slot.
-
 Defined results: null and empty html give an empty text; a null or odd url has an empty host, whose pages are not
 aligned; broken or unclosed markup is read as far as it goes; the sample of a host are the pages with the smallest
 hashes, equal pages (ties) count once; a very long page is one tree, whose memory grows with it; each input row gives
@@ -34,6 +34,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,8 +43,8 @@ from shelfmark.llm.common import cut, frugal
 
 #: Pages of a host that are aligned, at most (those with the smallest hashes).
 SAMPLE = 12
-#: Children at either end of a list that are aligned.
-EDGE = 100
+#: An alignment of two lists keeps a table of so many cells at most; longer lists are halved, which gives the same result.
+CELLS = 1 << 22
 #: Wrappers are broadcast to the pages up to so many characters in all; beyond, pages are joined salted.
 BROADCAST_CHARS, SALTS = 8 << 20, 32
 #: Share of the sample that must agree for a text to be constant, with at least LEAST pages; share of the slots' text
@@ -60,6 +61,7 @@ BLOCK = frozenset(
 )
 DROPPED = RAW | frozenset("head nav header footer aside form select menu dialog title input".split())
 CONTAINERS = frozenset("html body article main section div center td table tbody tr dl".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER_DROPPED = frozenset("#root html body article main h1 h2 h3 h4 h5 h6".split())
 #: Names in class, id or role that mark a part as something other than main text, and words that may go with them.
 NOT_MAIN = frozenset(
@@ -182,48 +184,150 @@ def _squeeze(text: str) -> str:
 # --- alignment ------------------------------------------------------------------------------------
 
 
-def _alike(a, b) -> bool:
-    if isinstance(a, str) or isinstance(b, str):
-        return isinstance(a, str) and isinstance(b, str)
-    return a.tag == b.tag
-
-
 def _kept(node: Node) -> list:
     return [c for c in node.children if not isinstance(c, str) or c.strip()]
 
 
-def tree_match(a: Node, b: Node, path: str = "") -> tuple[int, list[tuple[str, str, str]]]:
-    """Simple tree matching: the size of the best order-keeping alignment, and its text nodes (path, text, text)."""
-    left, right = _kept(a), _kept(b)
-    path = f"{path}/{a.step}"
-    if len(left) > 2 * EDGE or len(right) > 2 * EDGE:
-        head = _align(left[:EDGE], right[:EDGE], path)
-        tail = _align(left[EDGE:][-EDGE:], right[EDGE:][-EDGE:], path)
-        return 1 + head[0] + tail[0], head[1] + tail[1]
-    size, found = _align(left, right, path)
-    return 1 + size, found
-
-
-def _align(left: list, right: list, path: str) -> tuple[int, list[tuple[str, str, str]]]:
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    pairs = {}
-    for i, x in enumerate(left, 1):
-        for j, y in enumerate(right, 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1])
-            if _alike(x, y):
-                size, texts = (1 + (_squeeze(x) == _squeeze(y)), [(path, x, y)]) if isinstance(x, str) else tree_match(x, y, path)
-                pairs[i, j] = size, texts
-                best[i][j] = max(best[i][j], best[i - 1][j - 1] + size)
-    i, j, found = len(left), len(right), []
-    while i and j:
-        if (i, j) in pairs and best[i][j] == best[i - 1][j - 1] + pairs[i, j][0]:
-            found += pairs[i, j][1]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return best[-1][-1], found
+def _post_order(root: Node) -> list[Node]:
+    """All elements, children before their parents."""
+    out, todo = [], [root]
+    while todo:
+        out.append(todo.pop())
+        todo.extend(c for c in out[-1].children if not isinstance(c, str))
+    return out[::-1]
+
+
+class _Match:
+    """Simple tree matching of two trees: an element matches one of the same tag, a text any text (better the same one), and
+    the best order-keeping alignment of their children counts.
+
+    Each part has a class: its shape (tags alone) if none of its texts is in the other tree, else its shape and texts.  The
+    score of two parts follows from their classes, so each pair of classes is scored once."""
+
+    def __init__(self, a: Node, b: Node) -> None:
+        texts = [{_squeeze(c) for n in _post_order(t) for c in n.children if isinstance(c, str)} for t in (a, b)]
+        self.shared, self.names, self.scores = texts[0] & texts[1], {}, {}
+        self.text_of, self.class_of = {}, {}
+        self.children = {id(n): _kept(n) for t in (a, b) for n in _post_order(t)}
+        self.parts: list = []  # one of each class
+        for tree in (a, b):
+            for node in _post_order(tree):
+                self.class_of[id(node)] = self._name((node.tag, *(self._class(c) for c in self.children[id(node)])), node)
+
+    def _name(self, key: tuple, part) -> int:
+        if key not in self.names:
+            self.names[key] = len(self.parts)
+            self.parts.append(part)
+        return self.names[key]
+
+    def _class(self, part) -> int:
+        if not isinstance(part, str):
+            return self.class_of[id(part)]
+        if part not in self.text_of:
+            text = _squeeze(part)
+            self.text_of[part] = self._name(("#text", text if text in self.shared else None), part)
+        return self.text_of[part]
+
+    def _classes(self, node: Node) -> np.ndarray:
+        return np.fromiter((self._class(c) for c in self.children[id(node)]), np.int64, len(self.children[id(node)]))
+
+    def _weights(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+        """Scores of the distinct classes, the row and column of each child there, and pairs not scored yet."""
+        ux, row = np.unique(x, return_inverse=True)
+        uy, column = np.unique(y, return_inverse=True)
+        table, missing = np.zeros((len(ux), len(uy)), np.int32), []
+        by_tag: dict[str, list[int]] = {}
+        tag = lambda c: "#text" if isinstance(self.parts[c], str) else self.parts[c].tag
+        for j, c in enumerate(uy.tolist()):
+            by_tag.setdefault(tag(c), []).append(j)
+        for i, c in enumerate(ux.tolist()):
+            for j in by_tag.get(tag(c), ()):
+                d = int(uy[j])
+                if isinstance(self.parts[c], str):
+                    table[i, j] = 1 + (c == d and _squeeze(self.parts[c]) in self.shared)
+                elif (c, d) in self.scores:
+                    table[i, j] = self.scores[c, d]
+                else:
+                    missing.append((c, d))
+        return table, row, column, missing
+
+    def score(self, a: Node, b: Node) -> int:
+        """The number of matched parts, with 1 more for each text that is the same."""
+        first = (self.class_of[id(a)], self.class_of[id(b)])
+        todo = [first]
+        while todo:
+            c, d = todo[-1]
+            if (c, d) not in self.scores:
+                table, row, column, missing = self._weights(self._classes(self.parts[c]), self._classes(self.parts[d]))
+                if missing:
+                    todo.extend(missing)
+                    continue
+                self.scores[c, d] = 1 + (int(_last_row(table, row, column)[-1]) if len(row) and len(column) else 0)
+            todo.pop()
+        return self.scores[first]
+
+    def texts(self, a: Node, b: Node) -> list[tuple[str, str, str]]:
+        """(path, text, text) of the matched texts."""
+        self.score(a, b)
+        found, todo = [], [(a, b, "")]
+        while todo:
+            x, y, path = todo.pop()
+            path = f"{path}/{x.step}"
+            left, right = self.children[id(x)], self.children[id(y)]
+            table, row, column, missing = self._weights(self._classes(x), self._classes(y))
+            assert not missing
+            for i, j in _aligned(table, row, column):
+                if isinstance(left[i], str):
+                    found.append((path, left[i], right[j]))
+                else:
+                    todo.append((left[i], right[j], path))
+        return found
+
+
+def _last_row(table: np.ndarray, row: np.ndarray, column: np.ndarray, keep: list | None = None) -> np.ndarray:
+    """Best scores of the whole left list with each beginning of the right one; ``keep`` gets the rows before."""
+    best = np.zeros(len(column) + 1, np.int32)
+    for i in row.tolist():
+        if keep is not None:
+            keep.append(best)
+        with_i = np.maximum(best[1:], best[:-1] + table[i][column])
+        best = np.concatenate([[0], np.maximum.accumulate(with_i)]).astype(np.int32)
+    return best
+
+
+def _aligned(table: np.ndarray, row: np.ndarray, column: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs of a best alignment.  Tables beyond ``CELLS`` are halved by the left list (Hirschberg)."""
+    found, todo = [], [(0, len(row), 0, len(column))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a == b or c == d:
+            continue
+        x, y = row[a:b], column[c:d]
+        if b - a > 1 and (b - a) * (d - c) > CELLS:
+            middle = (b - a) // 2
+            rest = _last_row(table, x[middle:][::-1], y[::-1])
+            cut = int((_last_row(table, x[:middle], y) + rest[::-1]).argmax())
+            todo += [(a, a + middle, c, c + cut), (a + middle, b, c + cut, d)]
+            continue
+        rows: list[np.ndarray] = []
+        rows.append(_last_row(table, x, y, rows))
+        i, j = len(x), len(y)
+        while i and j:
+            weight = table[x[i - 1], y[j - 1]]
+            if weight and rows[i][j] == rows[i - 1][j - 1] + weight:
+                i, j = i - 1, j - 1
+                found.append((a + i, c + j))
+            elif rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+    return found
+
+
+def tree_match(a: Node, b: Node) -> tuple[int, list[tuple[str, str, str]]]:
+    """The size of the best order-keeping alignment of two trees, and its text nodes (path, text, text)."""
+    match = _Match(a, b)
+    return match.score(a, b), match.texts(a, b)
 
 
 @dataclass(frozen=True)
@@ -234,20 +338,24 @@ class Wrapper:
     constants: frozenset = frozenset()
 
 
-def _slots(node: Node, path: str, constants: set, mass: dict[str, int], times: Counter, inside: bool = False) -> int:
-    """Characters of slot text in a part, added up for each path of containers."""
-    path, total = f"{path}/{node.step}", 0
-    inside = inside or node.tag in ("article", "main")
-    for child in node.children:
-        if isinstance(child, str):
-            text = _squeeze(child)
-            total += len(text) if (path, text) not in constants else 0
-        elif _is_main(child, inside):
-            total += _slots(child, path, constants, mass, times, inside)
-    if node.tag in CONTAINERS or node.tag == "#root":
-        mass[path] = mass.get(path, 0) + total
-        times[path] += 1
-    return total
+def _slots(tree: Node, constants: set) -> tuple[dict[str, int], Counter]:
+    """Characters of slot text by path of containers, inside parts that may be main text, and how often each path occurs."""
+    mass: dict[str, int] = {}
+    times: Counter = Counter()
+    order, todo = [], [(tree, "", False, -1)]  # with the place of the parent
+    while todo:
+        node, above, inside, parent = todo.pop()
+        path, inside = f"{above}/{node.step}", inside or node.tag in ("article", "main")
+        texts = map(_squeeze, (c for c in node.children if isinstance(c, str)))
+        order.append([node, path, parent, sum(len(t) for t in texts if (path, t) not in constants)])
+        todo.extend((c, path, inside, len(order) - 1) for c in node.children if not isinstance(c, str) and _is_main(c, inside))
+    for node, path, parent, total in reversed(order):
+        if parent >= 0:
+            order[parent][3] += total
+        if node.tag in CONTAINERS or node.tag == "#root":
+            mass[path] = mass.get(path, 0) + total
+            times[path] += 1
+    return mass, times
 
 
 def induce(pages: list[str]) -> Wrapper:
@@ -265,8 +373,7 @@ def induce(pages: list[str]) -> Wrapper:
     mass: Counter = Counter()
     most, on = Counter(), Counter()
     for tree in trees:
-        own, times = {}, Counter()
-        _slots(tree, "", constants, own, times)
+        own, times = _slots(tree, constants)
         mass.update(own)
         on.update(times.keys())
         for path, n in times.items():
@@ -312,12 +419,12 @@ def _articles(node: Node, above: str) -> list[tuple[Node, str]]:
 
 
 def _blocks(node: Node, above: str, constants: frozenset, out: list[list]) -> None:
-    """Adds the blocks of a part: each [text pieces, whether any of them is a slot]."""
-    todo: list = [(node, above, node.tag not in ("#root", "html", "body"))]  # an induced region is an article
+    """Adds the blocks of a part: each [text pieces, whether any of them is a slot, level of a heading or 0]."""
+    todo: list = [(node, above, node.tag not in ("#root", "html", "body"), 0)]  # an induced region is an article
     while todo:
-        here, path, inside = todo.pop()
+        here, path, inside, level = todo.pop()
         if here is None:
-            out.append([[], False])
+            out.append([[], False, level])
         elif isinstance(here, str):
             out[-1][0].append(here)
             text = _squeeze(here)
@@ -325,20 +432,35 @@ def _blocks(node: Node, above: str, constants: frozenset, out: list[list]) -> No
         elif here is node or _is_main(here, inside):
             inside = inside or here.tag in ("article", "main")
             if here.tag in BLOCK or here is node:
-                out.append([[], False])
-                todo.append((None, "", False))
+                todo.append((None, "", False, level))
+                level = int(here.tag[1]) if inside and here.tag in HEADINGS else level
+                out.append([[], False, level])
             path = f"{path}/{here.step}"
-            todo.extend((c, path, inside) for c in reversed(here.children))
+            todo.extend((c, path, inside, level) for c in reversed(here.children))
+
+
+def _stay(blocks: list[list]) -> list[bool]:
+    """Blocks with text of their own, and headings whose section has such a block."""
+    stay, follows, least = [False] * len(blocks), False, 7
+    for i in range(len(blocks) - 1, -1, -1):
+        pieces, slot, level = blocks[i]
+        if level:
+            stay[i] = slot or (follows and level < least)
+            least = min(least, level) if _squeeze("".join(pieces)) else least
+        else:
+            stay[i] = slot
+            follows, least = (True, 7) if slot else (follows, least)
+    return stay
 
 
 def main_text(html: str, wrapper: Wrapper = Wrapper()) -> str:
     root = parse(html)
     region = _find(root, wrapper.region) if wrapper.region else []
     parts = [x for part, above in region for x in _articles(part, above) or [(part, above)]] or _articles(root, "") or [(root, "")]
-    blocks: list[list] = [[[], False]]
+    blocks: list[list] = [[[], False, 0]]
     for part, above in parts:
         _blocks(part, above, wrapper.constants, blocks)
-    texts = (_squeeze("".join(pieces)) for pieces, slot in blocks if slot)
+    texts = (_squeeze("".join(block[0])) for block, stays in zip(blocks, _stay(blocks), strict=True) if stays)
     return "\n\n".join(t for t in texts if t)
 
 
@@ -349,8 +471,11 @@ def _host(url: str):
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, region, constants) of every host with enough pages.  Only so many pages of a host leave a task."""
     rows = pages.select(_host(url_col).alias("host"), F.xxhash64(html_col).alias("pick"), F.col(html_col).cast("string").alias("html"))
+    rows = rows.where((F.col("host") != "") & F.col("html").isNotNull())
+    # equal pages count once: hashes are chosen first, then one page of each
     rank = F.row_number().over(Window.partitionBy("host").orderBy("pick"))
-    sample = rows.where((F.col("host") != "") & F.col("html").isNotNull()).withColumn("rank", rank).where(F.col("rank") <= SAMPLE)
+    chosen = rows.select("host", "pick").distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE)
+    sample = rows.join(chosen, ["host", "pick"]).groupBy("host", "pick", "rank").agg(F.min("html").alias("html"))
     kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
 
     def run(table: pa.Table) -> pa.Table:
