@@ -270,14 +270,15 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     # rows are chosen by their id and text, so that neither ids nor texts that repeat are chosen all at once
     known = known.withColumn("pick", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)))
-    share = cut(known.groupBy(F.col("lang").alias("of")).agg((F.lit(2 * SAMPLE_DOCS) / F.count("*") * (1 << 30)).alias("share")))
-    most = (share.agg(F.max("share")).first()[0] or 0) + 1
-    known = known.where(F.col("pick") < most)
-    share = F.broadcast(share) if share.count() <= BROADCAST_LANGUAGES else share
-    likely = known.join(share, F.col("lang") == F.col("of")).where(F.col("pick") < F.col("share"))
-    # equal rows have one pick: the limit of a language holds whatever repeats, and ranks leave a task pre-limited
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("pick", "id"))
-    sample = likely.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS)
+    # the smallest picks of each language: only so many rows of one leave a task
+    rank = lambda *order: F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    least = known.select("lang", "pick").withColumn("rank", rank("pick")).where(F.col("rank") <= SAMPLE_DOCS)
+    bound = cut(least.groupBy(F.col("lang").alias("of")).agg(F.max("pick").alias("bound")))
+    most = bound.agg(F.max("bound")).first()[0] or 0
+    bound = F.broadcast(bound) if bound.count() <= BROADCAST_LANGUAGES else bound
+    likely = known.where(F.col("pick") <= most).join(bound, F.col("lang") == F.col("of")).where(F.col("pick") <= F.col("bound"))
+    # rows that repeat have one pick, so they are ranked once more
+    sample = likely.withColumn("rank", rank("pick", "id")).where(F.col("rank") <= SAMPLE_DOCS)
     found = sample.select("lang", "text").mapInArrow(_samples, "lang string, piece binary").toArrow()
     return train(list(zip(found["lang"].to_pylist(), found["piece"].to_pylist(), strict=True)))
 
