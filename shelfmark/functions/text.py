@@ -21,11 +21,13 @@ def _accents() -> tuple[str, str]:
 
 
 ACCENTED, PLAIN = _accents()
+#: Combining marks, which belong to the letter before them.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without diacritics, whether they are part of a letter or follow it."""
+    return F.translate(F.lower(text), ACCENTED + MARKS, PLAIN)
 
 
 def index_tokens(text: Column) -> Column:
@@ -36,6 +38,12 @@ def query_terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(QUERY_TERM), F.lit(0))
 
 
+def query_phrases(text: Column) -> Column:
+    """The terms of a query as the index has them: each is the list of its folded tokens.  A term with an underscore is
+    several tokens, one after the other; a term without any token is left out."""
+    return F.filter(F.transform(query_terms(text), index_tokens), lambda p: F.size(p) > 0)
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end (``trim`` takes spaces only)."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")

@@ -43,11 +43,24 @@ def cost_by_model(ledger: DataFrame) -> DataFrame:
     )
 
 
+#: The trailing window is computed for stretches of so many windows at a time.
+STRETCH = 10
+
+
 def token_rate(ledger: DataFrame, seconds: int = 60, *keys: str) -> DataFrame:
-    """``ledger`` (ts, tokens) with the tokens of the trailing window, both ends included.  Keys split the
-    window's work; without keys there is one sequence, as there is one rate limit."""
-    window = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return ledger.withColumn("tokens_in_window", F.round(F.sum("tokens").over(window), 3))
+    """``ledger`` (ts, tokens) with the tokens of the trailing window, both ends included, for each of the keys.
+
+    Time is cut into stretches, each a task of its own; a stretch also sees the rows of the one before that its first
+    windows reach back to.  Rows without a time are a stretch of their own."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    window_size, stretch_size = seconds * 1_000_000, STRETCH * max(seconds, 1) * 1_000_000
+    stretch = F.floor(F.col("__at") / stretch_size)
+    halo = F.col("__at") >= (stretch + 1) * stretch_size - window_size
+    places = F.when(halo, F.array(F.struct(stretch.alias("stretch"), F.lit(True).alias("own")), F.struct((stretch + 1).alias("stretch"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(stretch.alias("stretch"), F.lit(True).alias("own"))))
+    rows = ledger.withColumn("__at", micros).withColumn("__place", F.explode(places))
+    window = Window.partitionBy(*keys, "__place.stretch").orderBy("__at").rangeBetween(-window_size, 0)
+    summed = rows.withColumn("tokens_in_window", F.round(F.sum("tokens").over(window), 3))
+    return summed.where("__place.own").drop("__at", "__place")
 
 
 def is_rate_limit(message: Column) -> Column:

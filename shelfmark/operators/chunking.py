@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.operators import tokens
+
 PIECE, OVERLAP, WINDOW_CHUNKS, CONTEXT = 512, 100, 50, 4
 STEP = PIECE - OVERLAP
 
@@ -12,22 +14,28 @@ STEP = PIECE - OVERLAP
 def pieces(text: Column, size: int = PIECE, step: int = STEP) -> Column:
     """Array of (piece, n_tokens, text) of ``size`` tokens every ``step``, ending with the first piece that
     reaches the end.  A token is a word with the white space after it, so pieces are cut in the text itself."""
-    tokens = F.regexp_extract_all(text, F.lit(r"\S+\s*"), F.lit(0))
+    words = F.regexp_extract_all(text, F.lit(r"\S+\s*"), F.lit(0))
     last = lambda t: F.greatest(F.lit(0), F.ceil((F.size(t) - size) / step)).cast("int")
     piece = lambda t, i: F.struct(i.alias("piece"), F.size(F.slice(t, i * step + 1, size)).alias("n_tokens"), F.array_join(F.slice(t, i * step + 1, size), "").alias("text"))
-    cut = F.transform(F.array(tokens), lambda t: F.when(F.size(t) > 0, F.transform(F.sequence(F.lit(0), last(t)), lambda i: piece(t, i))))
+    cut = F.transform(F.array(words), lambda t: F.when(F.size(t) > 0, F.transform(F.sequence(F.lit(0), last(t)), lambda i: piece(t, i))))
     return F.get(cut, F.lit(0))
 
 
-def chunk_rows(docs: DataFrame, segments: DataFrame, size: int = PIECE, step: int = STEP) -> DataFrame:
+def chunk_rows(docs: DataFrame, segments: DataFrame, size: int = PIECE, step: int = STEP, tokenizer: tokens.Tokenizer | None = None) -> DataFrame:
     """(doc, chunk_index, breadcrumb, structural, pos_start, pos_end, n_tokens, text): pieces of each
-    segment and of the text before the first; documents without segments are cut as a whole."""
+    segment and of the text before the first; documents without segments are cut as a whole.  Pieces are of a
+    tokenizer's tokens, or else of words."""
     first = segments.groupBy("doc").agg(F.min("start_off").alias("first_off"))
     rest = docs.join(first, "doc", "left")
     plain = rest.select("doc", F.lit(0).cast("bigint").alias("start_off"), F.coalesce("first_off", F.length("txt")).cast("bigint").alias("end_off"), F.lit(None).cast("string").alias("breadcrumb"), F.lit(False).alias("structural"))
     parts = segments.select("doc", "start_off", "end_off", "breadcrumb", F.lit(True).alias("structural")).unionByName(plain)
     texts = parts.join(docs, "doc").withColumn("part", F.substr("txt", F.col("start_off") + 1, F.col("end_off") - F.col("start_off")))
-    cut = texts.select("doc", "start_off", "end_off", "breadcrumb", "structural", F.explode(pieces(F.col("part"), size, step)).alias("p"))
+    columns = ("doc", "start_off", "end_off", "breadcrumb", "structural")
+    if tokenizer:
+        rows = tokens.token_pieces(texts.select(*columns, F.col("part").alias("text")), tokenizer, size, step)
+        cut = rows.select(*columns, F.struct("piece", "n_tokens", "text").alias("p"))
+    else:
+        cut = texts.select(*columns, F.explode(pieces(F.col("part"), size, step)).alias("p"))
     order = Window.partitionBy("doc").orderBy("start_off", "structural", "p.piece")
     return cut.select(
         "doc", (F.row_number().over(order) - 1).cast("bigint").alias("chunk_index"), "breadcrumb", "structural", F.col("start_off").alias("pos_start"), F.col("end_off").alias("pos_end"), F.col("p.n_tokens").alias("n_tokens"), F.col("p.text").alias("text")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import index_tokens
+from shelfmark.functions.text import index_tokens, query_phrases
 from shelfmark.session import cut
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -13,67 +13,84 @@ RRF_K = 60
 RERANK_POOL = 30
 
 
-def _token_counts(tokens: Column) -> Column:
-    """(token, tf) of the distinct tokens: runs of the sorted array."""
+#: The tokens of one query term: all but the last are whole tokens, the last is a prefix.
+Phrase = list[str]
+
+
+def parse_query(spark: SparkSession, query: str) -> list[Phrase]:
+    """The phrases of a query, folded as the index folds texts; a repeated term is another phrase."""
+    return [list(p) for p in spark.createDataFrame([(query,)], "t string").select(query_phrases(F.col("t"))).first()[0]]
+
+
+def _token_places(tokens: Column) -> Column:
+    """(token, tf, places) of the distinct tokens: runs of the sorted array of tokens and places."""
 
     def runs(s: Column) -> Column:
-        changes = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
-        named = lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("token"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("bigint").alias("tf")))
-        return F.flatten(F.transform(F.array(changes), named))
+        token = lambda i: F.get(s, i)["token"]
+        changes = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))), lambda i: ~token(i).eqNullSafe(token(i - 1)))
 
-    return F.flatten(F.transform(F.array(F.sort_array(tokens)), runs))
+        def one(at: Column, i: Column, k: Column) -> Column:
+            n = F.coalesce(F.get(at, k + 1), F.size(s)) - i
+            return F.struct(token(i).alias("token"), n.cast("bigint").alias("tf"), F.transform(F.slice(s, i + 1, n), lambda x: x["place"]).alias("places"))
+
+        return F.flatten(F.transform(F.array(changes), lambda at: F.transform(at, lambda i, k: one(at, i, k))))
+
+    placed = F.transform(tokens, lambda x, i: F.struct(x.alias("token"), i.alias("place")))
+    return F.flatten(F.transform(F.array(F.sort_array(placed)), runs))
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, ``keep`` columns, token, tf, dl) of every document's distinct tokens, counted inside the row."""
+    """(id, ``keep`` columns, token, tf, dl, places) of every document's distinct tokens, counted inside the row."""
     tokens = docs.select(id_col, *keep, index_tokens(F.col(text_col)).alias("tokens"))
-    counted = tokens.select(id_col, *keep, F.size("tokens").alias("dl"), F.explode(_token_counts(F.col("tokens"))).alias("p"))
-    return counted.select(id_col, *keep, "p.token", "p.tf", "dl")
+    counted = tokens.select(id_col, *keep, F.size("tokens").alias("dl"), F.explode(_token_places(F.col("tokens"))).alias("p"))
+    return counted.select(id_col, *keep, "p.token", "p.tf", "dl", "p.places")
 
 
-def write_postings(rows: DataFrame, folder: str) -> int:
-    """Stores postings in runs sorted by token, so that a prefix reads few row groups; returns the sum of lengths."""
-    rows.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(folder)
-    return rows.sparkSession.read.schema(rows.schema).parquet(folder).agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+def _matching(tokens: Column, phrase: Phrase) -> Column:
+    """How often a phrase occurs in an array of tokens."""
+    *whole, prefix = phrase
 
+    def here(x: Column, i: Column) -> Column:
+        found = x.startswith(prefix)
+        for back, token in enumerate(reversed(whole), 1):
+            found = found & (F.get(tokens, i - back) == token)
+        return F.coalesce(found, F.lit(False))
 
-def _starting(tokens: Column, prefix: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x.startswith(prefix)))
+    return F.size(F.filter(tokens, here))
 
 
-def phrase_counts(docs: DataFrame, terms: list[str], text_col: str, keep: list) -> DataFrame:
-    """The columns ``keep``, dl, and f: how many tokens start with each term.  Counted inside the row, so
-    the corpus is not shuffled; a repeated term is another phrase, and documents without a hit stay for the
-    statistics."""
-    counted = F.transform(F.array(index_tokens(F.col(text_col))), lambda t: F.struct(F.size(t).alias("dl"), F.array(*[_starting(t, p) for p in terms]).alias("f")))
+def phrase_counts(docs: DataFrame, phrases: list[Phrase], text_col: str, keep: list) -> DataFrame:
+    """The columns ``keep``, dl, and f: how often each phrase occurs.  Counted inside the row, so the corpus is not
+    shuffled; documents without a hit stay for the statistics."""
+    counted = F.transform(F.array(index_tokens(F.col(text_col))), lambda t: F.struct(F.size(t).alias("dl"), F.array(*[_matching(t, p) for p in phrases]).alias("f")))
     return docs.select(*keep, F.explode(counted).alias("s")).select("*", "s.dl", "s.f").drop("s")
 
 
-def bm25_stats(counts: DataFrame, n_terms: int) -> DataFrame:
+def bm25_stats(counts: DataFrame, n_phrases: int) -> DataFrame:
     """One row: n documents, avgdl, and df of each phrase."""
     return counts.agg(
         F.count("*").alias("n"),
         (F.sum("dl").cast("double") / F.count("*")).alias("avgdl"),
-        F.array(*[F.count(F.when(F.col("f")[i] > 0, 1)) for i in range(n_terms)]).alias("df"),
+        F.array(*[F.count(F.when(F.col("f")[i] > 0, 1)) for i in range(n_phrases)]).alias("df"),
     )
 
 
-def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text", scope: Column | None = None) -> DataFrame:
+def bm25(docs: DataFrame, phrases: list[Phrase], id_col: str = "doc_id", text_col: str = "text", scope: Column | None = None) -> DataFrame:
     """(id, score) of documents with a phrase of the query, higher is better.  Statistics cover all of
     ``docs``; ``scope`` then filters the hits.  The one-row statistics are broadcast."""
-    if not terms:
+    if not phrases:
         return docs.select(id_col, F.lit(0.0).alias("score")).where(F.lit(False))
-    tokens = phrase_counts(docs, terms, text_col, [F.col(id_col), (F.lit(True) if scope is None else scope).alias("in_scope")])
+    tokens = phrase_counts(docs, phrases, text_col, [F.col(id_col), (F.lit(True) if scope is None else scope).alias("in_scope")])
     tokens = cut(tokens)  # small rows of counts, read for the statistics and again for the hits; texts are read once
-    stats = bm25_stats(tokens, len(terms))
+    stats = bm25_stats(tokens, len(phrases))
     rows = tokens.where(F.col("in_scope") & F.exists("f", lambda x: x > 0)).crossJoin(F.broadcast(stats))
-    return rows.select(id_col, _bm25_score(len(terms)).alias("score"))
+    return rows.select(id_col, _bm25_score(len(phrases)).alias("score"))
 
 
-def _bm25_score(n_terms: int) -> Column:
+def _bm25_score(n_phrases: int) -> Column:
     """The score of a row with f, dl, and the statistics n, avgdl and df."""
     score = F.lit(0.0)
-    for i in range(n_terms):
+    for i in range(n_phrases):
         df, f = F.col("df")[i].cast("double"), F.col("f")[i].cast("double")
         idf = F.ln((F.col("n") - df + 0.5) / (df + 0.5))
         part = F.when(idf > 0, idf).otherwise(IDF_FLOOR) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -81,21 +98,35 @@ def _bm25_score(n_terms: int) -> Column:
     return F.round(score, 6)
 
 
-def bm25_indexed(index: DataFrame, totals: DataFrame, terms: list[str], id_col: str = "doc_id", scope: Column | None = None) -> DataFrame:
-    """The rows of ``bm25`` from stored postings: only tokens that start with a term are read.  ``totals`` is the one row
-    (n, total) of documents and tokens that the postings are of."""
-    if not terms:
+def _stored_count(phrase: Phrase) -> Column:
+    """How often a phrase occurs in a document, over the rows of its postings."""
+    *whole, prefix = phrase
+    if not whole:
+        return F.sum(F.when(F.col("token").startswith(prefix), F.col("tf")).otherwise(0))
+    # places where the last token may stand, then those that the tokens before it allow
+    places = F.flatten(F.collect_list(F.when(F.col("token").startswith(prefix), F.col("places"))))
+    for back, token in enumerate(reversed(whole), 1):
+        before = F.flatten(F.collect_list(F.when(F.col("token") == token, F.transform("places", lambda x: x + back))))
+        places = F.array_intersect(places, before)
+    return F.size(places).cast("bigint")
+
+
+def bm25_indexed(index: DataFrame, totals: DataFrame, phrases: list[Phrase], id_col: str = "doc_id", scope: Column | None = None) -> DataFrame:
+    """The rows of ``bm25`` from stored postings: only tokens of the phrases are read, and the places of tokens
+    decide which stand next to each other.  ``totals`` is the one row (n, total) of documents and tokens that the postings
+    are of."""
+    if not phrases:
         return index.select(id_col, F.lit(0.0).alias("score")).where(F.lit(False))
-    some = F.lit(False)
-    for term in terms:
-        some = some | F.col("token").startswith(term)
+    some = F.col("token").isin(sorted({t for p in phrases for t in p[:-1]}))
+    for prefix in sorted({p[-1] for p in phrases}):
+        some = some | F.col("token").startswith(prefix)
     hits = index.where(some).withColumn("in_scope", F.lit(True) if scope is None else scope)
-    counts = [F.sum(F.when(F.col("token").startswith(t), F.col("tf")).otherwise(0)).alias(f"f{i}") for i, t in enumerate(terms)]
-    rows = hits.groupBy(id_col, "dl", "in_scope").agg(*counts).select(id_col, "dl", "in_scope", F.array(*[f"f{i}" for i in range(len(terms))]).alias("f"))
-    rows = cut(rows)  # the documents with a hit, read for df and again for the scores
-    df = rows.agg(F.array(*[F.count(F.when(F.col("f")[i] > 0, 1)) for i in range(len(terms))]).alias("df"))
+    counts = [_stored_count(p).alias(f"f{i}") for i, p in enumerate(phrases)]
+    rows = hits.groupBy(id_col, "dl", "in_scope").agg(*counts).select(id_col, "dl", "in_scope", F.array(*[f"f{i}" for i in range(len(phrases))]).alias("f"))
+    rows = cut(rows.where(F.exists("f", lambda x: x > 0)))  # the documents with a hit, read for df and again for the scores
+    df = rows.agg(F.array(*[F.count(F.when(F.col("f")[i] > 0, 1)) for i in range(len(phrases))]).alias("df"))
     stats = totals.select("n", F.try_divide(F.col("total").cast("double"), F.col("n")).alias("avgdl")).crossJoin(F.broadcast(df))
-    return rows.where("in_scope").crossJoin(F.broadcast(stats)).select(id_col, _bm25_score(len(terms)).alias("score"))
+    return rows.where("in_scope").crossJoin(F.broadcast(stats)).select(id_col, _bm25_score(len(phrases)).alias("score"))
 
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -126,7 +157,12 @@ def knn_by_space(vectors: DataFrame, query: DataFrame, k: int, id_col: str = "ve
     # a query with a vector for each space meets only vectors of that space; both are as few rows as there are spaces
     pairs = vectors.join(F.broadcast(query), "space") if "space" in query.columns else vectors.crossJoin(F.broadcast(query))
     near = pairs.select("space", id_col, F.round(l2(F.col("embedding"), F.col("q")), 6).alias("distance"))
-    window = Window.partitionBy("space").orderBy("distance", id_col)
+    return ranked(near, ["space"], k, id_col)
+
+
+def ranked(near: DataFrame, by: list[str], k: int, id_col: str) -> DataFrame:
+    """The ``k`` smallest distances of each group, ties by id, with ``rank`` from 1."""
+    window = Window.partitionBy(*by).orderBy("distance", id_col)
     # rank <= k on a window becomes a per-partition top-k before the shuffle
     return near.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 

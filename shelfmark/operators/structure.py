@@ -1,12 +1,17 @@
 """Structure induction: heading shapes, mined profiles, segments, the acceptance gate, regional repair.
 
 A document's profile is a list of levels, coarse to fine.  A level is a keyword and the class of number
-that follows it (``<NUM>`` or ``<ROM>``).  Documents come as (doc, txt); every result is per document.
+that follows it (``<NUM>`` or ``<ROM>``), or a pattern of its own, as profile files may have.  Documents come as (doc, txt);
+every result is per document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+import pandas as pd
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import lines_with_ends, safe_name, strip
@@ -20,6 +25,10 @@ CRUMB = " › "
 STOP_WORDS = ["з", "до", "від", "після", "перед", "протягом", "на", "у", "в", "за", "по", "під", "над", "при", "для", "понад", "близько", "не", "і", "та", "або", "що", "як", "коли", "якщо", "це", "усі", "всі", "цей", "цього", "станом"]
 NUM, ROM = "<NUM>", "<ROM>"
 NUM_TAIL, ROM_TAIL = r"^\s+(\d+(?:[.\-]\d+)*)", r"^\s+([IVXLCDM]+)"
+#: Seconds that a pattern may take on a line.
+MATCH_SECONDS = 0.2
+PROFILE = "fingerprint string, variant string, levels array<struct<lv:int,name:string,keyword:string,cls:string,pattern:string>>"
+LEVEL = ["doc", "lv", "low", "keyword", "cls", "pattern"]
 #: The one profile known from the start.
 SHIPPED = [("стаття|<NUM>", "shipped", [("розділ", "Розділ", ROM), ("стаття", "Стаття", NUM)])]
 
@@ -67,15 +76,59 @@ def mine(found: DataFrame, min_count: int = MIN_COUNT, most: int = MOST_LEVELS)
     return chosen.withColumn("lv", F.row_number().over(coarse) - 1).select("doc", "lv", "low", "keyword", "cls", "n")
 
 
+def with_pattern(levels: DataFrame) -> DataFrame:
+    """Levels in the columns ``LEVEL``; mined ones have no pattern."""
+    return (levels if "pattern" in levels.columns else levels.withColumn("pattern", F.lit(None).cast("string"))).select(LEVEL)
+
+
 def profiles(levels: DataFrame) -> DataFrame:
-    """(doc, levels): one array of (lv, name, keyword, cls) a document."""
-    return levels.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("lv", F.col("low").alias("name"), "keyword", "cls"))).alias("levels"))
+    """(doc, levels): one array of (lv, name, keyword, cls, pattern) a document."""
+    return with_pattern(levels).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("lv", F.col("low").alias("name"), "keyword", "cls", "pattern"))).alias("levels"))
 
 
 def headings(docs: DataFrame, levels: DataFrame) -> DataFrame:
     """(doc, off, lv, name, label) of every line that a level of its document's profile matches; the
-    coarsest level wins.  Patterns are constant per class, so no regex is compiled for a row."""
-    rows = lines(docs).join(profiles(levels), "doc")
+    coarsest level wins.  Keywords need no regex compiled for a row; levels with a pattern are tried by a worker."""
+    own = "pattern" in levels.columns
+    levels = with_pattern(levels)
+    placed = lines(docs)
+    plain = _keyword_headings(placed, levels.where("pattern is null"))
+    if not own:
+        return plain
+    found = plain.unionByName(_pattern_headings(placed, levels.where("pattern is not null")))
+    first = found.groupBy("doc", "off").agg(F.min(F.struct("lv", "name", "label")).alias("h"))
+    return first.select("doc", "off", "h.lv", "h.name", "h.label")
+
+
+def _pattern_headings(placed: DataFrame, levels: DataFrame) -> DataFrame:
+    """(doc, off, lv, name, label) of every line that a pattern matches from its start; the label is the name and the first
+    group.  A pattern that is no pattern, or takes longer than ``MATCH_SECONDS`` on a line, does not match it."""
+    rows = placed.where("line != ''").join(profiles(levels), "doc").withColumn("lines_levels", F.to_json("levels")).drop("levels", "ln")
+
+    def match(pattern: str, line: str):
+        try:
+            return regex.match(pattern, line, timeout=MATCH_SECONDS)
+        except (regex.error, TimeoutError):
+            return None
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for doc, line, off, levels_json in zip(pdf["doc"], pdf["line"], pdf["off"], pdf["lines_levels"], strict=True):
+                for level in json.loads(levels_json):
+                    hit = match(level["pattern"], line)
+                    if hit:
+                        group = hit.group(1) if hit.re.groups else None
+                        out.append((doc, off, level["lv"], level["name"], f"{level['name']} {group}" if group else level["name"]))
+                        break  # the coarsest
+            yield pd.DataFrame(out, columns=["doc", "off", "lv", "name", "label"])
+
+    kind = placed.schema["doc"].dataType.simpleString()
+    return rows.select("doc", "line", "off", "lines_levels").mapInPandas(run, f"doc {kind}, off bigint, lv int, name string, label string")
+
+
+def _keyword_headings(placed: DataFrame, levels: DataFrame) -> DataFrame:
+    rows = placed.join(profiles(levels), "doc")
     line = F.col("line")
 
     def number(level: Column) -> Column:
@@ -88,16 +141,16 @@ def headings(docs: DataFrame, levels: DataFrame) -> DataFrame:
     return rows.select("doc", "off", hit.alias("h")).where("h is not null").select("doc", "off", "h.lv", "h.name", F.concat_ws(" ", "h.name", "h.num").alias("label"))
 
 
-def segments(docs: DataFrame, found: DataFrame) -> DataFrame:
+def segments(docs: DataFrame, found: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
     """(doc, start_off, end_off, breadcrumb, level_name): from each heading to the next; a breadcrumb
-    holds the last label of each level that no coarser heading has ended."""
+    holds the last label of each level that no coarser heading has ended.  Profiles have ``most`` levels at most."""
     window = Window.partitionBy("doc").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
     placed = found
-    for k in range(MOST_LEVELS):
+    for k in range(most):
         here = F.col("lv") == k
         placed = placed.withColumn(f"p{k}", F.max(F.when(here, F.col("off"))).over(window)).withColumn(f"label{k}", F.last(F.when(here, F.col("label")), ignorenulls=True).over(window))
     crumbs, coarser = [], F.lit(-1)
-    for k in range(MOST_LEVELS):
+    for k in range(most):
         crumbs.append(F.when(F.col(f"p{k}") > coarser, F.col(f"label{k}")))
         coarser = F.greatest(coarser, F.coalesce(f"p{k}", F.lit(-1)))
     ends = F.lead("off").over(Window.partitionBy("doc").orderBy("off"))
@@ -136,20 +189,24 @@ def induced(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     return segments(docs, headings(docs, mine(signatures(docs), min_count)))
 
 
-def regional(docs: DataFrame, cut: DataFrame, ceiling: int = CEILING, depth: int = REGION_DEPTH) -> DataFrame:
-    """``cut`` with each oversized segment replaced by the segments mined inside it, to a fixed depth.
-    Text before the first inner heading stays as a segment under the outer breadcrumb."""
+def repaired(docs: DataFrame, cut: DataFrame, ceiling: int = CEILING, depth: int = REGION_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """(segments, discovered): ``cut`` with each oversized segment replaced by the segments mined inside it, to a fixed
+    depth, and the levels (doc, start_off, depth, lv, low, keyword, cls) that cut a region.  Text before the first inner
+    heading stays as a segment under the outer breadcrumb."""
     size = F.col("end_off") - F.col("start_off")
     cut = materialise(cut)
-    done = cut.where(size <= ceiling)
+    done, discovered = cut.where(size <= ceiling), None
     open_ = cut.where(size > ceiling)
-    for _ in range(depth):
-        if open_.isEmpty():
+    for level in range(depth):
+        if level and open_.isEmpty():
             break
         keyed = open_.withColumn("key", F.struct("doc", "start_off"))
-        spans = keyed.join(docs, "doc").select(F.col("key").alias("doc"), F.substr("txt", F.col("start_off") + 1, size).alias("txt"))
-        inner = materialise(induced(materialise(spans), REGION_MIN_COUNT))
+        spans = materialise(keyed.join(docs, "doc").select(F.col("key").alias("doc"), F.substr("txt", F.col("start_off") + 1, size).alias("txt")))
+        mined = materialise(mine(signatures(spans), REGION_MIN_COUNT))
+        inner = materialise(segments(spans, headings(spans, mined)))
         count = inner.groupBy("doc").agg(F.count("*").alias("parts"), F.min("start_off").alias("lead")).where("parts > 1").withColumnRenamed("doc", "key")
+        levels = mined.withColumnRenamed("doc", "key").join(count.select("key"), "key", "left_semi").select("key.doc", "key.start_off", F.lit(level).alias("depth"), "lv", "low", "keyword", "cls")
+        discovered = levels if discovered is None else discovered.unionByName(levels)
         outer = keyed.join(count, "key", "left")
         crumb = F.concat_ws(CRUMB, F.nullif(F.col("breadcrumb"), F.lit("")), F.col("i_crumb"))
         parts = inner.select(F.col("doc").alias("key"), F.col("start_off").alias("i_start"), F.col("end_off").alias("i_end"), F.col("breadcrumb").alias("i_crumb"), F.col("level_name").alias("i_level"))
@@ -158,7 +215,26 @@ def regional(docs: DataFrame, cut: DataFrame, ceiling: int = CEILING, depth: int
         lead = split.where("lead > 0").select("doc", "start_off", (F.col("start_off") + F.col("lead")).alias("end_off"), "breadcrumb", "level_name")
         done = done.unionByName(outer.where("parts is null").select(*done.columns)).unionByName(lead).unionByName(found.where(size <= ceiling))
         open_ = materialise(found.where(size > ceiling))
-    return done.unionByName(open_)
+    return done.unionByName(open_), discovered
+
+
+def regional(docs: DataFrame, cut: DataFrame, ceiling: int = CEILING, depth: int = REGION_DEPTH) -> DataFrame:
+    """The segments of :func:`repaired`."""
+    return repaired(docs, cut, ceiling, depth)[0]
+
+
+def refined(docs: DataFrame, base: DataFrame, discovered: DataFrame) -> DataFrame:
+    """The levels of ``base`` and those discovered in regions, one for each name, ordered by how
+    often the name occurs in the whole text in any class, the rarest first.  Of levels with one name the last region's
+    counts; names that occur equally often keep the order of the base, then of their discovery."""
+    form = F.struct("keyword", "cls", "pattern").alias("form")
+    rows = with_pattern(base).select("doc", "low", form, F.struct(F.lit(-1).cast("bigint").alias("at"), F.lit(-1).alias("depth"), F.col("lv").alias("lv")).alias("place"))
+    new = discovered.withColumn("pattern", F.lit(None).cast("string"))
+    rows = rows.unionByName(new.select("doc", "low", form, F.struct(F.col("start_off").cast("bigint").alias("at"), "depth", "lv").alias("place")))
+    named = rows.groupBy("doc", "low").agg(F.max_by("form", "place").alias("form"), F.min("place").alias("place"))
+    often = signatures(docs).groupBy("doc", "low").agg(F.sum("n").alias("n"))
+    coarse = Window.partitionBy("doc").orderBy(F.coalesce("n", F.lit(0)), "place")
+    return named.join(often, ["doc", "low"], "left").withColumn("lv", F.row_number().over(coarse) - 1).select("doc", "lv", "low", "form.*")
 
 
 def rescore(cut: DataFrame, ceiling: int = CEILING) -> DataFrame:
@@ -172,10 +248,45 @@ def level_order(found: DataFrame) -> DataFrame:
     return total.withColumn("lv", F.row_number().over(Window.partitionBy("doc").orderBy("freq", "first_ln")) - 1).select("doc", "low", "freq", "lv")
 
 
-def shipped_profiles(spark) -> DataFrame:
+def shipped_profiles(spark: SparkSession) -> DataFrame:
     """(fingerprint, variant, levels) of the profiles known from the start."""
-    rows = [(fp, f"{fp}::" + "+".join(x[0] for x in lv), [(i, *x) for i, x in enumerate(lv)]) for fp, _, lv in SHIPPED]
-    return spark.createDataFrame(rows, "fingerprint string, variant string, levels array<struct<lv:int,name:string,keyword:string,cls:string>>")
+    rows = [(fp, f"{fp}::" + "+".join(x[0] for x in lv), [(i, *x, None) for i, x in enumerate(lv)]) for fp, _, lv in SHIPPED]
+    return spark.createDataFrame(rows, PROFILE)
+
+
+def profile_files(spark: SparkSession, *folders: str) -> DataFrame:
+    """(fingerprint, variant, levels) of profile files, JSON or YAML of ``fingerprint`` and ``levels`` (``name`` and ``pattern``
+    each, coarse to fine).  Of files with one variant, the one in the later folder counts, then the later name.  Files
+    that cannot be read as that, or without a fingerprint, are left out."""
+
+    def parse(text: str) -> list[tuple]:
+        try:
+            found = json.loads(text)
+        except ValueError:
+            try:
+                import yaml
+
+                found = yaml.safe_load(text)
+            except Exception:  # whatever a parser finds wrong with a file
+                return []
+        try:
+            levels = [(i, str(x["name"]), None, None, str(x["pattern"])) for i, x in enumerate(found["levels"])]
+            mark = found.get("fingerprint")
+        except (TypeError, KeyError, AttributeError):
+            return []
+        return [(str(mark), f"{mark}::" + "+".join(x[1] for x in levels), levels)] if mark and levels else []
+
+    def run(batches):
+        for pdf in batches:
+            out = [(priority, path, *p) for priority, path, text in zip(pdf["priority"], pdf["path"], pdf["value"], strict=True) for p in parse(text)]
+            yield pd.DataFrame(out, columns=["priority", "path", "fingerprint", "variant", "levels"])
+
+    rows = spark.createDataFrame([], f"priority int, path string, {PROFILE}")
+    for priority, folder in enumerate(folders):
+        texts = spark.read.option("pathGlobFilter", "*.{json,yaml,yml}").text(folder, wholetext=True)
+        rows = rows.unionByName(texts.select(F.lit(priority).alias("priority"), F.col("_metadata.file_path").alias("path"), "value").mapInPandas(run, rows.schema))
+    best = rows.groupBy("fingerprint", "variant").agg(F.max_by("levels", F.struct("priority", "path")).alias("levels"))
+    return best.select("fingerprint", "variant", "levels")
 
 
 def variants(keys: DataFrame, levels: DataFrame) -> DataFrame:
@@ -212,8 +323,8 @@ def rungs(docs: DataFrame, mined: DataFrame, cached: DataFrame) -> DataFrame:
     return rows.select("doc", rung.alias("rung"))
 
 
-def by_cache(docs: DataFrame, cache: DataFrame, ceiling: int = CEILING) -> tuple[DataFrame, DataFrame]:
-    """(segments, gate rows) of each document under the best cached profile of its fingerprint: the simplest that
+def by_cache(docs: DataFrame, cache: DataFrame, ceiling: int = CEILING) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(segments, gate rows, levels) of each document under the best cached profile of its fingerprint: the simplest that
     passes, or else the richest that is sound but oversized.  Documents without either have no rows.  ``cache`` holds
     (fingerprint, variant, levels) from before the batch."""
     keys = fingerprints(docs, signatures(docs))
@@ -221,27 +332,33 @@ def by_cache(docs: DataFrame, cache: DataFrame, ceiling: int = CEILING) -> tuple
     tried = tried.join(keys, "doc").join(cache.select("fingerprint", "variant", "levels"), ["fingerprint", "variant"])
     key = F.struct("doc", "variant")
     tried = materialise(tried.withColumn("key", key))
+    most = tried.agg(F.max(F.size("levels"))).first()[0] or MOST_LEVELS
     texts = tried.join(docs, "doc").select(F.col("key").alias("doc"), "txt")
     level = tried.select(F.col("key").alias("doc"), F.explode("levels").alias("l"))
-    levels = level.select("doc", "l.lv", F.col("l.name").alias("low"), "l.keyword", "l.cls")
-    found = materialise(segments(texts, headings(texts, levels)))
+    levels = level.select("doc", "l.lv", F.col("l.name").alias("low"), "l.keyword", "l.cls", "l.pattern")
+    found = materialise(segments(texts, headings(texts, levels), max(most, MOST_LEVELS)))
     graded = gate(texts, found, ceiling).withColumnRenamed("doc", "key").join(tried.select("key", "simplest", "richest"), "key")
     rank = F.when(F.col("passed"), F.struct(F.lit(0).alias("rung"), F.col("simplest").alias("rank"))).when(F.col("sound_but_oversized"), F.struct(F.lit(1).alias("rung"), F.col("richest").alias("rank")))
     best = graded.where("passed or sound_but_oversized").groupBy(F.col("key.doc").alias("of")).agg(F.min_by("key", rank).alias("key"))
     best = materialise(best)
-    chosen = found.join(best.select(F.col("key").alias("doc")), "doc", "left_semi")
+    chosen = lambda rows: rows.join(best.select(F.col("key").alias("doc")), "doc", "left_semi").withColumn("doc", F.col("doc.doc"))
     grades = graded.join(best.select("key"), "key", "left_semi")
-    return chosen.withColumn("doc", F.col("doc.doc")), grades.withColumn("doc", F.col("key.doc")).drop("key", "simplest", "richest")
+    return chosen(found), grades.withColumn("doc", F.col("key.doc")).drop("key", "simplest", "richest"), chosen(levels)
 
 
-def ladder(docs: DataFrame, cache: DataFrame, ceiling: int = CEILING) -> tuple[DataFrame, DataFrame]:
-    """(segments, rungs) of every document: by a cached profile, by its own mined one, or (without segments) by tokens.
-    Sound but oversized segments are cut by region."""
-    cached, cached_gate = by_cache(docs, cache, ceiling)
-    own = materialise(induced(docs))
+def ladder(docs: DataFrame, cache: DataFrame, ceiling: int = CEILING) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(segments, rungs, levels) of every document: by a cached profile, by its own mined one, or (without segments) by
+    tokens.  Sound but oversized segments are cut by region, and the profile is refined by the levels found there.  ``levels``
+    are the profiles worth keeping: the mined ones that were accepted, and the refined ones."""
+    cached, cached_gate, cached_levels = by_cache(docs, cache, ceiling)
+    mined = materialise(mine(signatures(docs)))
+    own = materialise(segments(docs, headings(docs, mined)))
     own_gate = materialise(gate(docs, own, ceiling))
     rung = materialise(rungs(docs, own_gate, cached_gate))
     on = lambda rows, *names: rows.join(rung.where(F.col("rung").isin(*names)).select("doc"), "doc", "left_semi")
     whole = on(cached, "2-cache").unionByName(on(own, "3-linemine"))
     large = on(cached, "2-cache-regional").unionByName(on(own, "3-linemine-regional"))
-    return whole.unionByName(regional(docs, large, ceiling)), rung
+    cut, discovered = repaired(docs, large, ceiling)
+    base = on(cached_levels, "2-cache-regional").select(LEVEL).unionByName(with_pattern(on(mined, "3-linemine-regional")))
+    again = refined(on(docs, "2-cache-regional", "3-linemine-regional"), base, discovered)
+    return whole.unionByName(cut), rung, [with_pattern(on(mined, "3-linemine", "3-linemine-regional")), again]

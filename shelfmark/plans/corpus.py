@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.operators import policy
+from shelfmark.operators import cells, policy, search
+from shelfmark.operators.store import Files, PostingsRuns
+from shelfmark.session import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +40,44 @@ def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cost ledger of events: the model is the event type, tokens are the value."""
     return table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("source_id"), F.col("event_type").alias("model"), F.col("value").alias("tokens"))
+
+
+def _state(df: DataFrame) -> tuple:
+    """The session and the files that a table has now."""
+    files = df.sparkSession.read.format("binaryFile").load(df.inputFiles()).select("path", "length", "modificationTime").orderBy("path").collect()
+    return (df.sparkSession.sparkContext.applicationId, *map(tuple, files))
+
+
+#: Documents are indexed in so many batches, as an engine would get them; their runs are merged on the way.
+BATCHES = 6
+_indexes: dict[tuple, tuple[PostingsRuns, int]] = {}
+
+
+def lexical_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Stored postings of the documents (doc_id, token, tf, dl, places, notebook) and their totals.  They are built once for the
+    files of a table, in the shared folder, and used by all queries of a session."""
+    docs = table(spark, sf_dir, "documents")
+    key = _state(docs)
+    if key not in _indexes:
+        runs = PostingsRuns(Files(spark, f"{shared_dir(spark)}/index-{uuid4().hex}"), "postings", "doc_id bigint, notebook string")
+        rows = docs.select("doc_id", F.col("lang").alias("notebook"), "text")
+        total = 0
+        for batch in range(BATCHES):
+            part = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES)) == batch)
+            total += runs.add(search.postings(part, keep=("notebook",)))
+        _indexes[key] = (runs, total)
+    runs, total = _indexes[key]
+    return runs.rows(), docs.agg(F.count("*").alias("n"), F.lit(total).cast("bigint").alias("total"))
+
+
+_cells: dict[tuple, str] = {}
+
+
+def vector_cells(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the vectors of :func:`vectors` in cells, built once for the files of the table."""
+    key = _state(table(spark, sf_dir, "embeddings"))
+    if key not in _cells:
+        folder = f"{shared_dir(spark)}/cells-{uuid4().hex}"
+        cells.build(vectors(spark, sf_dir), folder, per_cell=32)
+        _cells[key] = folder
+    return _cells[key]

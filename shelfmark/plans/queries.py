@@ -7,21 +7,21 @@ SQL, or with none where SQL cannot express it.
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as T
-from shelfmark.operators import catalog, chunking, policy, search, structure
+from shelfmark.operators import catalog, cells, chunking, policy, search, structure, tokens
 from shelfmark.plans import corpus, hybrid
-from shelfmark.session import shared_dir
 from shelfmark.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-TERMS = ["thin", "que", "tion", "que"]
+#: A plain, a repeated and an accented term, and terms of two tokens each.
+LEXICAL_QUERY = "Thin the_and qué of_th tion thin"
 QUERY_TEXT = "The thin que of tion"
 NOTEBOOK = "en"
 WINDOW_LIMIT, REGION_CEILING, PIECE_LIMIT = 3000, 1500, 512
@@ -31,11 +31,11 @@ SRC = """src as (select d.doc_id, d.lang notebook, d.source, d.text, coalesce(l.
   from documents d left join (select doc_id, max(toxic) toxic from labels group by 1) l on l.doc_id = d.doc_id)"""
 VEC = SRC + ", vec as (select e.vec_id, s.notebook, s.space, e.embedding from embeddings e join src s on s.doc_id = e.vec_id)"
 QV = "qv as (select embedding q from embeddings where vec_id = (select min(vec_id) from embeddings))"
-#: BM25 of the fixed terms over all documents, as the lexical search defines it.
+#: BM25 of the fixed terms over all documents, as the lexical search defines it: a term is a prefix, after a whole token or none.
 BM25 = r"""tk as materialized (select doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') toks from documents),
 nn as (select count(*) n, cast(sum(len(toks)) as double) / count(*) avgdl from tk),
-qt as (select * from (values (0, 'thin'), (1, 'que'), (2, 'tion'), (3, 'que')) v(qi, t)),
-hit as (select * from (select qi, doc_id, len(toks) dl, len(list_filter(toks, lambda x: starts_with(x, t))) f from tk cross join qt) where f > 0),
+qt as (select * from (values (0, null, 'thin'), (1, 'the', 'and'), (2, null, 'que'), (3, 'of', 'th'), (4, null, 'tion'), (5, null, 'thin')) v(qi, w, t)),
+hit as (select * from (select qi, doc_id, len(toks) dl, len(list_filter(range(1, len(toks) + 1), lambda i: starts_with(toks[i], t) and (w is null or (i > 1 and toks[i - 1] = w)))) f from tk cross join qt) where f > 0),
 df as (select qi, count(*) df from hit group by qi),
 bm as (select doc_id, round(sum(case when ln((n - df + 0.5e0) / (df + 0.5e0)) > 0 then ln((n - df + 0.5e0) / (df + 0.5e0)) else 1e-6 end * f * 2.2e0 / (f + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 6) score
   from hit join df using (qi) cross join nn group by doc_id)"""
@@ -131,20 +131,22 @@ def page_main_text(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.table(spark, sf, "pages").select("page_id", readers.page_text(F.col("html")).alias("text"))
 
 
-FIXED_URLS = ["http://127.0.0.1/a", "http://10.1.2.3", "https://172.16.0.1:80/x", "http://172.32.0.1/", "http://192.168.5.5", "http://169.254.169.254/latest", "http://100.64.1.1", "http://8.8.8.8/dns", "http://[::1]/", "http://[fd00::1]/", "ftp://example.com/f", "file:///etc/passwd", "http:///nohost", "https://example.org"]
+#: URLs and what is wrong with them, written down one by one.
+FIXED_URLS = [
+    ("http://127.0.0.1/a", "private host"), ("http://127.0.0.1:5984/_all_dbs", "private host"), ("http://localhost/admin", "private host"), ("http://API.Localhost./", "private host"),
+    ("http://127.1/", "private host"), ("http://2130706433/", "private host"), ("http://0x7f.1/", "private host"), ("http://0177.0.0.1/", "private host"), ("http://0.0.0.0/", "private host"),
+    ("http://10.1.2.3", "private host"), ("https://172.16.0.1:80/x", "private host"), ("http://172.32.0.1/", None), ("http://192.168.5.5", "private host"), ("http://169.254.169.254/latest", "private host"),
+    ("http://100.64.1.1", "private host"), ("http://100.128.1.1", None), ("http://8.8.8.8/dns", None), ("http://134744072/", None), ("http://256.1.1.1/", "bad host"), ("http://u:p@10.0.0.1/", "private host"),
+    ("http://[::1]/", "private host"), ("http://[0:0:0:0:0:0:0:1]/", "private host"), ("http://[::]/", "private host"), ("http://[fd00::1]/", "private host"), ("http://[febf::2]/", "private host"),
+    ("http://[::ffff:127.0.0.1]/", "private host"), ("http://[::ffff:a00:1]/", "private host"), ("http://[::ffff:8.8.8.8]/", None), ("http://[2001:db8::1]/", None), ("http://[1:2]/", "bad host"),
+    ("ftp://example.com/f", "scheme"), ("file:///etc/passwd", "scheme"), ("http:///nohost", "no host"), ("https://example.org", None), ("https://localhost.example.org/", None),
+]
+VALUES = ", ".join(f"('{u}', {repr(p) if p else 'null'})" for u, p in FIXED_URLS)
 
 
-@query(
-    "with u as (select url from pages union all select unnest(["
-    + ", ".join(f"'{u}'" for u in FIXED_URLS)
-    + r"""])), p as (select url, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)) scheme, lower(regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)', 1), '^\[|\]$', '', 'g')) host from u),
-n as (select *, case when regexp_matches(host, '^(\d{1,3}\.){3}\d{1,3}$') then list_transform(string_split(host, '.'), lambda x: cast(x as bigint)) end o from p)
-select url, case when scheme not in ('http', 'https') then 'scheme' when host = '' then 'no host'
-  when o[1] in (127, 10) or (o[1] = 172 and o[2] between 16 and 31) or (o[1] = 192 and o[2] = 168) or (o[1] = 169 and o[2] = 254) or (o[1] = 100 and o[2] between 64 and 127) then 'private host'
-  when host = '::1' or regexp_matches(host, '^f[cd][0-9a-f]{2}:') or regexp_matches(host, '^fe[89ab][0-9a-f]:') then 'private host' end problem from n"""
-)
+@query(f"select url, null problem from pages where url similar to 'https?://[a-z][a-z0-9-]*(\\.[a-z][a-z0-9-]*)+(/.*)?' union all select * from (values {VALUES}) v(url, problem)")
 def url_policy(spark: SparkSession, sf: str) -> DataFrame:
-    fixed = spark.createDataFrame([(u,) for u in FIXED_URLS], "url string")
+    fixed = spark.createDataFrame([(u,) for u, _ in FIXED_URLS], "url string")
     urls = corpus.table(spark, sf, "pages").select("url").unionByName(fixed)
     return urls.select("url", readers.url_problem(F.col("url")).alias("problem"))
 
@@ -192,24 +194,23 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {BM25} select n, round(avgdl, 6) avgdl, qi, df from nn cross join df")
 def bm25_stats(spark: SparkSession, sf: str) -> DataFrame:
-    counts = search.phrase_counts(corpus.table(spark, sf, "documents"), TERMS, "text", ["doc_id"])
-    stats = search.bm25_stats(counts, len(TERMS))
+    phrases = search.parse_query(spark, LEXICAL_QUERY)
+    counts = search.phrase_counts(corpus.table(spark, sf, "documents"), phrases, "text", ["doc_id"])
+    stats = search.bm25_stats(counts, len(phrases))
     return stats.select("n", F.round("avgdl", 6).alias("avgdl"), F.posexplode("df").alias("qi", "df")).where("df > 0")
 
 
 @query(f"with {BM25} select doc_id, score, row_number() over (order by score desc, doc_id) as rank from bm order by score desc, doc_id limit 20")
 def lexical_search(spark: SparkSession, sf: str) -> DataFrame:
-    return search.top_k(search.bm25(corpus.table(spark, sf, "documents"), TERMS), 20, F.desc("score"), F.asc("doc_id"))
+    """Over the texts themselves, without an index."""
+    return search.top_k(search.bm25(corpus.table(spark, sf, "documents"), search.parse_query(spark, LEXICAL_QUERY)), 20, F.desc("score"), F.asc("doc_id"))
 
 
 @query(f"with {BM25} select doc_id, score, row_number() over (order by score desc, doc_id) as rank from bm order by score desc, doc_id limit 20")
 def indexed_search(spark: SparkSession, sf: str) -> DataFrame:
-    """``lexical_search`` through stored postings."""
-    docs = corpus.table(spark, sf, "documents")
-    folder = f"{shared_dir(spark)}/postings-{uuid4().hex}"
-    total = search.write_postings(search.postings(docs), folder)
-    totals = docs.agg(F.count("*").alias("n"), F.lit(total).alias("total"))
-    return search.top_k(search.bm25_indexed(spark.read.parquet(folder), totals, TERMS), 20, F.desc("score"), F.asc("doc_id"))
+    """``lexical_search`` through merged runs of stored postings."""
+    index, totals = corpus.lexical_index(spark, sf)
+    return search.top_k(search.bm25_indexed(index, totals, search.parse_query(spark, LEXICAL_QUERY)), 20, F.desc("score"), F.asc("doc_id"))
 
 
 # --- vectors and fusion ---------------------------------------------------------------------------
@@ -262,6 +263,12 @@ def multi_space_knn(spark: SparkSession, sf: str) -> DataFrame:
     return search.knn_by_space(corpus.vectors(spark, sf), _query_vector(spark, sf), 10)
 
 
+@query(f"with {VEC}, {QV} select space, vec_id, {DIST} distance, row_number() over (partition by space order by {DIST}, vec_id) as rank from vec cross join qv qualify rank <= 10")
+def pruned_knn(spark: SparkSession, sf: str) -> DataFrame:
+    """``multi_space_knn`` through stored cells, of which it reads those that the triangle inequality leaves open."""
+    return cells.Search(spark, corpus.vector_cells(spark, sf)).nearest(_query_vector(spark, sf), 10)
+
+
 @query("select distinct source, 'vec_' || regexp_replace(source || '-v1.' || lang, '[^a-zA-Z0-9]', '_', 'g') space_name from documents")
 def space_name(spark: SparkSession, sf: str) -> DataFrame:
     name = F.concat("source", F.lit("-v1."), "lang")
@@ -280,22 +287,22 @@ fu as (select doc_id, round(sum(1.0e0 / (60 + rk)), 6) score, min(list_no * 1000
 
 @query(f"with {LISTS} select doc_id, score, row_number() over (order by score desc, seen, doc_id) as rank from fu")
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    lists = hybrid.ranked_lists(corpus.sources(spark, sf), corpus.vectors(spark, sf), _query_vector(spark, sf), TERMS, NOTEBOOK, False, 10, "hybrid")
+    lists = hybrid.ranked_lists(corpus.sources(spark, sf), corpus.vectors(spark, sf), _query_vector(spark, sf), search.parse_query(spark, LEXICAL_QUERY), NOTEBOOK, False, 10, "hybrid", corpus.lexical_index(spark, sf))
     fused = search.rrf(lists, "doc_id")
     return fused.select("doc_id", "score", F.row_number().over(Window.orderBy(*search.fused_order("doc_id"))).alias("rank"))
 
 
-@query(f"with {LISTS} select fu.doc_id, score, source, private, space, substr(text, 1, 60) excerpt from fu join src on src.doc_id = fu.doc_id order by score desc, seen, fu.doc_id limit 10")
+@query(f"with {LISTS} select fu.doc_id, score, source, private, space, substr(text, 1, 60) excerpt, text from fu join src on src.doc_id = fu.doc_id order by score desc, seen, fu.doc_id limit 10")
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    return hybrid.notebook_query(corpus.sources(spark, sf), corpus.vectors(spark, sf), _query_vector(spark, sf), TERMS, NOTEBOOK)
+    return hybrid.notebook_query(corpus.sources(spark, sf), corpus.vectors(spark, sf), _query_vector(spark, sf), search.parse_query(spark, LEXICAL_QUERY), NOTEBOOK, index=corpus.lexical_index(spark, sf))
 
 
 OVERLAP = r"cast(len(list_intersect(list_distinct(string_split_regex(lower('The thin que of tion'), '\s+')), list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')))) as double) / 5"
 
 
-@query(f"with {LISTS} select fu.doc_id, score, source, private, space, substr(text, 1, 60) excerpt, round({OVERLAP}, 6) rerank_score from (select * from fu order by score desc, seen, doc_id limit 30) fu join src on src.doc_id = fu.doc_id order by rerank_score desc, score desc, seen, fu.doc_id limit 10")
+@query(f"with {LISTS} select fu.doc_id, score, source, private, space, substr(text, 1, 60) excerpt, text, round({OVERLAP}, 6) rerank_score from (select * from fu order by score desc, seen, doc_id limit 30) fu join src on src.doc_id = fu.doc_id order by rerank_score desc, score desc, seen, fu.doc_id limit 10")
 def rerank_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return hybrid.notebook_query(corpus.sources(spark, sf), corpus.vectors(spark, sf), _query_vector(spark, sf), TERMS, NOTEBOOK, query=QUERY_TEXT)
+    return hybrid.notebook_query(corpus.sources(spark, sf), corpus.vectors(spark, sf), _query_vector(spark, sf), search.parse_query(spark, LEXICAL_QUERY), NOTEBOOK, query=QUERY_TEXT, index=corpus.lexical_index(spark, sf))
 
 
 @query(f"select doc_id, round({OVERLAP}, 6) score from documents")
@@ -309,10 +316,11 @@ def rerank_text(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.table(spark, sf, "documents").select("doc_id", F.char_length(search.rerank_text(ctx, F.col("text"))).cast("long").alias("n_chars"))
 
 
-@query(f"with {SRC} select doc_id, bool_or(private) any_private, case when bool_or(private) then 'local' else 'remote' end route from src group by doc_id")
+@query(f"with {SRC} select notebook, length(text) n_chars, count(*) candidates, bool_or(private) any_private, case when bool_or(private) then 'local' else 'remote' end route from src group by all")
 def rerank_route(spark: SparkSession, sf: str) -> DataFrame:
-    rows = corpus.sources(spark, sf).groupBy("doc_id").agg(F.bool_or("private").alias("any_private"))
-    return rows.select("doc_id", "any_private", policy.rerank_route(F.col("any_private"), F.lit(False)).alias("route"))
+    """Texts of one length in a notebook stand for a pool of candidates; one private candidate makes its route local."""
+    rows = corpus.sources(spark, sf).groupBy("notebook", F.char_length("text").cast("long").alias("n_chars")).agg(F.count("*").alias("candidates"), F.bool_or("private").alias("any_private"))
+    return rows.select("notebook", "n_chars", "candidates", "any_private", policy.rerank_route(F.col("any_private"), F.lit(False)).alias("route"))
 
 
 # --- structure ------------------------------------------------------------------------------------
@@ -431,6 +439,14 @@ def token_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("doc_id", F.col("p.piece").alias("piece"), F.col("p.n_tokens").alias("n_tokens"), F.sha2("p.text", 256).alias("piece_hash"))
 
 
+@query()
+def vocabulary_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of 512 tokens of a byte-pair vocabulary every 412; tests compare them with the library's tokens."""
+    tokenizer = tokens.byte_pairs(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    rows = tokens.token_pieces(corpus.table(spark, sf, "documents").select("doc_id", "text"), tokenizer, chunking.PIECE, chunking.STEP)
+    return rows.select("doc_id", "piece", "n_tokens", "piece_start", "piece_end", F.sha2("text", 256).alias("piece_hash"))
+
+
 #: Small pieces, so that the short conversations give several each.
 SMALL_PIECE, SMALL_STEP = 60, 48
 

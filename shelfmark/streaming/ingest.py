@@ -19,7 +19,7 @@ def ingest_stream(spark: SparkSession, landing: str, target: str, checkpoint: st
 
     def write(docs: DataFrame, batch: int) -> None:
         docs = docs.dropDuplicates(["doc"])
-        found, _ = structure.ladder(docs, structure.shipped_profiles(docs.sparkSession))
+        found, _, _ = structure.ladder(docs, structure.shipped_profiles(docs.sparkSession))
         chunks = chunking.chunk_rows(docs, found)
         vectors = chunking.embed(chunks, embed)
         chunks.join(vectors, ["doc", "chunk_index"]).write.mode("overwrite").parquet(f"{target}/chunks/batch={batch}")

@@ -1,6 +1,12 @@
+import json
+import re
+import time
+
+import public_tokenizers
+import tiktoken
 from pyspark.sql import functions as F
 
-from shelfmark.operators import chunking, structure
+from shelfmark.operators import chunking, structure, tokens
 
 
 def frame(spark, *texts):
@@ -64,3 +70,80 @@ def test_embedding_sees_one_window_at_a_time(spark):
     chunks = spark.range(120).selectExpr("0L as doc", "id as chunk_index", "concat('t', id) as text")
     sizes = chunking.embed(chunks, lambda texts: [[float(len(texts))] for _ in texts]).groupBy(F.col("embedding")[0].alias("size")).count().collect()
     assert {(r["size"], r["count"]) for r in sizes} == {(50.0, 100), (20.0, 20)}
+
+
+def nested(parts, deep):
+    """Parts of which one has sections that none of the others have, with more items than there are parts."""
+    item = lambda i: f"Item {i}\n" + "words here " * 25 + "\n"
+    section = lambda k: f"Section {k}\n" + "".join(item(i) for i in range(1, 6))
+    return "".join(f"Part {p}\n" + ("".join(section(k) for k in range(1, 5)) if p == deep else "y " * 400 + "\n") for p in range(1, parts + 1))
+
+
+def test_levels_of_a_region_refine_the_profile(spark):
+    docs = frame(spark, nested(6, 3))
+    base = spark.createDataFrame([(0, 0, "part", "Part", "<NUM>"), (0, 1, "item", "Item", "<ROM>")], "doc long, lv int, low string, keyword string, cls string")
+    found = spark.createDataFrame([(0, 900, 0, 0, "section", "Section", "<NUM>"), (0, 900, 0, 1, "item", "ITEM", "<ROM>"), (0, 950, 1, 0, "item", "Item", "<NUM>")], "doc long, start_off long, depth int, lv int, low string, keyword string, cls string")
+    rows = structure.refined(docs.withColumn("doc", F.lit(0).cast("long")), base, found).orderBy("lv").collect()
+    # 4 sections, 6 parts, 20 items; the last region's form of an item counts
+    assert [(r.lv, r.low, r.keyword, r.cls) for r in rows] == [(0, "section", "Section", "<NUM>"), (1, "part", "Part", "<NUM>"), (2, "item", "Item", "<NUM>")]
+
+
+def test_a_second_text_takes_the_refined_profile_from_the_cache(spark):
+    section = lambda k: f"Section {k}\n" + "words here " * 60 + "\n"
+    text = lambda parts, deep: "".join(f"Part {p}\n" + ("".join(map(section, range(1, 5))) if p == deep else "y " * 400 + "\n") for p in range(1, parts + 1))
+    first, second = frame(spark, text(6, 3)), frame(spark, text(7, 2))
+    cache = structure.shipped_profiles(spark)
+    cut, rung, kept = structure.ladder(first, cache, ceiling=1500)
+    assert [r.rung for r in rung.collect()] == ["3-linemine-regional"] and max(r.end_off - r.start_off for r in cut.collect()) <= 1500
+    keys = structure.fingerprints(first, structure.signatures(first))
+    for levels in kept:
+        cache = cache.unionByName(structure.variants(keys, levels).select("fingerprint", "variant", "levels"))
+    assert cache.count() == 3
+    assert [r.rung for r in structure.ladder(second, cache, ceiling=1500)[1].collect()] == ["2-cache"]
+
+
+def test_pieces_of_vocabulary_tokens_are_slices_of_the_text(spark):
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    ranks = tokens.load_ranks(spark, path)
+    library = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["", None, "short", "naïve çalışma 日本語 🙂🙃 " * 60, "".join(chr(0x4E00 + 7 * i % 9000) for i in range(400)), "plain words " * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = tokens.token_pieces(df, tokens.byte_pairs(spark, path, pattern), 50, 40).orderBy("id", "piece").collect()
+    for i, text in enumerate(texts):
+        ids, mine = library.encode_ordinary(text or ""), [r for r in rows if r.id == i]
+        assert len(mine) == (max(0, -(-(len(ids) - 50) // 40)) + 1 if ids else 0)
+        for r in mine:
+            assert r.text == text[r.piece_start : r.piece_end]
+            want = library.decode_bytes(ids[r.piece * 40 : r.piece * 40 + 50])
+            assert r.n_tokens == len(ids[r.piece * 40 : r.piece * 40 + 50]) and want in r.text.encode()
+            assert len(r.text.encode()) - len(want) <= 6  # parts of a character at either end
+    whole = tokens.token_pieces(df, tokens.words, 50, 40).orderBy("id", "piece").collect()
+    plain = df.select("id", F.explode(chunking.pieces(F.col("text"), 50, 40)).alias("p")).select("id", "p.*").orderBy("id", "piece").collect()
+    assert [(r.id, r.piece, r.n_tokens, r.text) for r in whole] == [(r.id, r.piece, r.n_tokens, r.text) for r in plain]
+    cut = chunking.chunk_rows(frame(spark, "plain words " * 500), structure.induced(frame(spark, "plain words " * 500)), 50, 40, tokens.byte_pairs(spark, path, pattern))
+    assert cut.agg(F.max("n_tokens")).first()[0] == 50
+
+
+def test_patterns_of_profile_files_are_bounded_and_merged(spark, tmp_path):
+    one, two = tmp_path / "one", tmp_path / "two"
+    for folder in (one, two):
+        folder.mkdir()
+    (one / "a.json").write_text(json.dumps({"fingerprint": "art|<NUM>", "levels": [{"name": "art", "pattern": "old"}, {"name": "par", "pattern": "x"}]}))
+    (two / "a.yaml").write_text('fingerprint: "art|<NUM>"\nlevels:\n  - name: art\n    pattern: "Art\\\\.\\\\s+(\\\\d+)"\n  - name: par\n    pattern: "§\\\\s*(\\\\w+)"\n')
+    (two / "broken.yaml").write_text("levels: [")
+    (two / "other.json").write_text('{"levels": []}')
+    (two / "list.json").write_text("[1, 2]")
+    rows = structure.profile_files(spark, str(one), str(two)).collect()
+    assert [(r.fingerprint, r.variant) for r in rows] == [("art|<NUM>", "art|<NUM>::art+par")]
+    assert [x.pattern for x in rows[0].levels] == [r"Art\.\s+(\d+)", r"§\s*(\w+)"]
+    assert structure.profile_files(spark, str(two)).count() == 1
+
+    text = "Art. 1\nwords\n§ a\n" + "a" * 40 + "!\nArt. 22 more\nNote 7\n"
+    docs = frame(spark, text)
+    kept = [(0, i, x.name, None, None, x.pattern) for i, x in enumerate(rows[0].levels)]
+    bad = [(0, 2, "slow", None, None, "(a+)+$"), (0, 3, "wrong", None, None, "("), (0, 4, "note", "Note", "<NUM>", None)]
+    found = spark.createDataFrame(kept + bad, "doc long, lv int, low string, keyword string, cls string, pattern string")
+    began = time.monotonic()
+    got = [(r.off, r.lv, r.label) for r in structure.headings(docs, found).orderBy("off").collect()]
+    want = [(m.start(), lv, f"{name} {m[1]}") for lv, name, p in ((0, "art", r"(?m)^Art\.\s+(\d+)"), (1, "par", r"(?m)^§\s*(\w+)"), (4, "note", r"(?m)^Note (\d+)")) for m in re.finditer(p, text)]
+    assert got == sorted(want) and time.monotonic() - began < 60
