@@ -701,7 +701,7 @@ def test_the_language_sample_is_bounded_whatever_repeats(spark, monkeypatch):
     monkeypatch.setattr(language_gru, "SAMPLE_DOCS", 20)
     seen = []
     monkeypatch.setattr(language_gru, "train", lambda rows: seen.append(rows))
-    rows = [(None, f"some words {i}", "en") for i in range(300)] + [(5, "the same text", "de")] * 300 + [(None, None, "fr"), (1, "x", None)]
+    rows = [(None, f"some words {i}", "en") for i in range(300)] + [(1, "the same text", "de")] * 300 + [(None, None, "fr"), (1, "x", None)]
     language_gru.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     counts = {lang: sum(x == lang for x, _ in seen[0]) for lang in ("en", "de", "fr")}
     assert 0 < counts["en"] <= 20 and counts["de"] == 20 and counts["fr"] == 0
