@@ -55,7 +55,9 @@ def notebook_query(
         raise ValueError(f"unknown mode {mode!r}; one of {', '.join(MODES)}")
     pool = max(search.RERANK_POOL, top_k) if query else top_k
     fused = stage("rrf", search.rrf(lists, "doc_id").orderBy(*search.fused_order("doc_id")).limit(pool))
-    rows = docs.join(F.broadcast(fused), "doc_id").select("doc_id", "score", "source", "private", "space", F.substr("text", F.lit(1), F.lit(60)).alias("excerpt"), "first_seen", "text", *more)
+    fused = cut(fused)  # at most the pool; its ids as a filter reach the scan, so that no other text is read or moved
+    wanted = docs.where(F.col("doc_id").isin([r[0] for r in fused.select("doc_id").collect()]))
+    rows = wanted.join(F.broadcast(fused), "doc_id").select("doc_id", "score", "source", "private", "space", F.substr("text", F.lit(1), F.lit(60)).alias("excerpt"), "first_seen", "text", *more)
     if not query:
         return stage("hydrate", rows).orderBy(*search.fused_order("doc_id")).drop("first_seen")
     if scorers:

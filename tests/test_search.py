@@ -265,3 +265,19 @@ def test_scores_are_addressed_by_index():
     assert by_index([1, 2], 2) == [1.0, 2.0] and by_index([], 0) == []
     with pytest.raises(ModelError):
         by_index([1.0], 2)
+
+
+def test_registered_queries_build_no_index_for_one_query(spark, monkeypatch):
+    import os
+
+    from shelfmark.plans import corpus, queries
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("needs the driver's tables")
+    monkeypatch.setattr(corpus, "lexical_index", lambda *_: pytest.fail("an index for one query"))
+    for name in ("rrf_fusion", "hybrid_search", "rerank_topk"):
+        rows = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        if name != "rrf_fusion":
+            # texts are narrowed to the candidates where they are read, before the join with labels moves them
+            plan = rows._jdf.queryExecution().optimizedPlan().toString()
+            assert " IN (" in plan[plan.index("LeftOuter") :] or "INSET" in plan[plan.index("LeftOuter") :]
