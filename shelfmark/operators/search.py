@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,28 +26,30 @@ def parse_query(spark: SparkSession, query: str) -> list[Phrase]:
     return [list(p) for p in spark.createDataFrame([(query,)], "t string").select(query_phrases(F.col("t"))).first()[0]]
 
 
-def _token_places(tokens: Column) -> Column:
-    """(token, tf, places) of the distinct tokens: runs of the sorted array of tokens and places."""
-
-    def runs(s: Column) -> Column:
-        token = lambda i: F.get(s, i)["token"]
-        changes = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))), lambda i: ~token(i).eqNullSafe(token(i - 1)))
-
-        def one(at: Column, i: Column, k: Column) -> Column:
-            n = F.coalesce(F.get(at, k + 1), F.size(s)) - i
-            return F.struct(token(i).alias("token"), n.cast("bigint").alias("tf"), F.transform(F.slice(s, i + 1, n), lambda x: x["place"]).alias("places"))
-
-        return F.flatten(F.transform(F.array(changes), lambda at: F.transform(at, lambda i, k: one(at, i, k))))
-
-    placed = F.transform(tokens, lambda x, i: F.struct(x.alias("token"), i.alias("place")))
-    return F.flatten(F.transform(F.array(F.sort_array(placed)), runs))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with ``tokens`` (last column) -> a row of each distinct token: the other columns, token, tf, dl, places."""
+    for batch in batches:
+        *others, lists = batch.columns
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key = row * max(len(words.dictionary), 1) + words.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(key, kind="stable")  # places of a token stay in order
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        edges, head = np.append(first, len(order)), order[first]
+        places = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(place[order], pa.int32()))
+        token = words.dictionary.take(words.indices.take(pa.array(head)))
+        of_row = pa.array(row[head])
+        columns = [*(c.take(of_row) for c in others), token, pa.array(np.diff(edges), pa.int64()), pa.array(sizes[row[head]], pa.int32()), places]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "token", "tf", "dl", "places"])
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, ``keep`` columns, token, tf, dl, places) of every document's distinct tokens, counted inside the row."""
+    """(id, ``keep`` columns, token, tf, dl, places) of every document's distinct tokens, counted where the row is."""
     tokens = docs.select(id_col, *keep, index_tokens(F.col(text_col)).alias("tokens"))
-    counted = tokens.select(id_col, *keep, F.size("tokens").alias("dl"), F.explode(_token_places(F.col("tokens"))).alias("p"))
-    return counted.select(id_col, *keep, "p.token", "p.tf", "dl", "p.places")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields[:-1])
+    return tokens.mapInArrow(_counted, f"{fields}, token string, tf bigint, dl int, places array<int>")
 
 
 def _matching(tokens: Column, phrase: Phrase) -> Column:

@@ -120,7 +120,11 @@ class PostingsRuns:
     def _write(self, rows: DataFrame, level: int) -> int:
         run = self._next()
         columns = [c.split()[0] for c in self.schema.split(", ")]
-        rows.select(columns).repartitionByRange("token").sortWithinPartitions("token", *self.key_columns).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(self._folder(run))
+        # the borders of the ranges come from a look at all rows, so rows are made once, not twice
+        rows.select(columns).write.mode("overwrite").parquet(self._folder(run, "unsorted"))
+        rows = self.files.spark.read.schema(self.schema).parquet(self._folder(run, "unsorted"))
+        rows.repartitionByRange("token").sortWithinPartitions("token", *self.key_columns).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(self._folder(run))
+        self.files.delete(f"{self.name}/unsorted")
         stored = self._read(run)
         stored.groupBy("token").agg(F.count("*").alias("df")).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(self._folder(run, "tokens"))
         self.manifest.append([(run, level, stored.count())])

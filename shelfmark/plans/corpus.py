@@ -48,8 +48,6 @@ def _state(df: DataFrame) -> tuple:
     return (df.sparkSession.sparkContext.applicationId, *map(tuple, files))
 
 
-#: Documents are indexed in so many batches, as an engine would get them; their runs are merged on the way.
-BATCHES = 6
 _indexes: dict[tuple, tuple[PostingsRuns, int]] = {}
 
 
@@ -61,11 +59,8 @@ def lexical_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     if key not in _indexes:
         runs = PostingsRuns(Files(spark, f"{shared_dir(spark)}/index-{uuid4().hex}"), "postings", "doc_id bigint, notebook string")
         rows = docs.select("doc_id", F.col("lang").alias("notebook"), "text")
-        total = 0
-        for batch in range(BATCHES):
-            part = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES)) == batch)
-            total += runs.add(search.postings(part, keep=("notebook",)))
-        _indexes[key] = (runs, total)
+        # a table that is there as a whole is one batch, so no run is merged
+        _indexes[key] = (runs, runs.add(search.postings(rows, keep=("notebook",))))
     runs, total = _indexes[key]
     return runs.rows(), docs.agg(F.count("*").alias("n"), F.lit(total).cast("bigint").alias("total"))
 

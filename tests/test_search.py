@@ -281,3 +281,18 @@ def test_registered_queries_build_no_index_for_one_query(spark, monkeypatch):
             # texts are narrowed to the candidates where they are read, before the join with labels moves them
             plan = rows._jdf.queryExecution().optimizedPlan().toString()
             assert " IN (" in plan[plan.index("LeftOuter") :] or "INSET" in plan[plan.index("LeftOuter") :]
+
+
+def test_postings_of_a_batch_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    texts = [(1, "The café, the"), (2, None), (3, ""), (4, "b a b")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").mapInArrow(count, "doc_id long, text string")
+    runs = PostingsRuns(Files(spark, str(tmp_path)), "postings", "doc_id bigint")
+    assert runs.add(search.postings(docs)) == 6 and made.value == 4
+    assert sorted((r.doc_id, r.token, r.tf, r.dl, r.places) for r in runs.rows().collect()) == [(1, "cafe", 1, 3, [1]), (1, "the", 2, 3, [0, 2]), (4, "a", 1, 3, [1]), (4, "b", 2, 3, [0, 2])]
