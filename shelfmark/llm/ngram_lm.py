@@ -2,10 +2,11 @@
 
 Texts are cut into words once and kept as blocks of local word numbers.  Words go to shards by their hash, which count them and
 number them.  Then, order by order, each block sends its distinct n-grams, packed, to shards by their context; a shard
-counts them and builds a trie of those that occur in training texts.  A context that is more frequent than a shard holds is
-spread over shards by its next word, by a rule of its count alone, so every block deals alike and no shard grows with
-a frequent word.  When all counts are in, the probabilities of a shard's trie are smoothed and quantised, its blocks'
-n-grams are looked up in it, and the answers go back to the blocks.
+counts them, builds a trie of those that occur in training texts, and answers the blocks from it.  A context that is
+more frequent than a shard holds is spread over shards by its next word, by a rule of its count alone, so every block deals
+alike and no shard grows with a frequent word.  An n-gram whose context, or whose last words, no other block has is counted
+in its block and not sent; one with a part that no training text has is not sent either, since its count is 0.  When all
+counts of an order are in, the blocks smooth and quantise its probabilities.
 
 Smoothing interpolates with the order below (Jelinek and Mercer), with weights tied by the binary logarithm of the context's
 count: a context keeps the share of its bin's tokens whose n-gram occurs once, the Good-Turing estimate of what is new.
@@ -37,13 +38,14 @@ from shelfmark.llm.common import Scratch, frugal
 from shelfmark.llm.elias_fano import Trie
 from shelfmark.llm.words import mix
 
-ORDER = 2
+#: The usual order of models that are kept in tries; the last orders are what tells a text that was learned from others.
+ORDER = 5
 #: Bytes of text in a block, and of text cut into words at a time.
 BLOCK_BYTES, PIECE_BYTES = 8 << 20, 1 << 20
 #: Bytes of text that a shard of words stands for, and tokens that a shard of n-grams stands for.
 SHARD_BYTES, SHARD_TOKENS = 16 << 20, 1 << 20
-#: A quantised logarithm is a multiple of 1/STEPS, and its code has so many bits at most.
-STEPS, CODE_BITS = 256, 16
+#: A quantised logarithm is a multiple of 1/STEPS.
+STEPS = 256
 BINS = 64
 #: Differences of the words' places in a block are kept modulo this.
 WRAP = 1 << 32
@@ -285,85 +287,101 @@ class _Block:
         inner = np.ones(len(self.tokens), bool)
         inner[ends - 1] = False
         self.tokens[inner] = tokens
-        self.word = np.concatenate([word, [END, BEGIN]])
-        self.n, self.every = np.concatenate([n, [learned, learned]]), np.concatenate([every, [learned, learned]])
+        self.word, self.n = np.concatenate([word, [END, BEGIN]]), np.concatenate([n, [learned, learned]])
         self.learned = np.repeat(~self.held, self.counts)
         self.place = np.arange(len(self.tokens)) - np.repeat(self.starts, self.counts)
         self.base = np.log10((self.n + 1) / (total + vocabulary + 1))
-        #: For each token the code of its probability in the highest order asked so far.
-        self.code = quantise((self.n + 1) / (total + vocabulary + 1))[self.tokens]
+        #: For each token the code of its probability in the highest order answered so far, and its n-gram of that order.
+        self.code, self.own = quantise((self.n + 1) / (total + vocabulary + 1))[self.tokens], self.tokens
+        # the distinct n-grams of that order: words, count in training texts, in all texts, and in the block's texts
+        self.columns, self.total, self.every = [self.word], self.n, np.concatenate([every, [learned, learned]])
+        self.times = np.bincount(self.tokens, minlength=self.begin + 1)
+        self.times[self.end :] = -1  # every block has ends and beginnings
 
     def grams(self, order: int, shards: int) -> dict[str, np.ndarray]:
-        """Distinct n-grams of an order, by shard: ``columns`` of words, their counts, those of their contexts, and codes of
-        the order below; ``at`` (tokens that end one) and ``which`` (their places in the list)."""
+        """Distinct n-grams of an order: the ``context`` and ``last`` word of each, its counts, and the code of the order below; ``at``
+        (tokens that end one) and ``which`` (their places in the list); ``sent`` are those that other blocks may have, by ``shard``."""
         at = np.flatnonzero(self.place >= order - 2)
+        before = np.roll(self.own, 1)
         if order == 2:
-            before = np.where(self.place == 0, self.begin, np.roll(self.tokens, 1))
-            columns, n, every = [self.word], self.n, self.every
-        else:
-            lower = self.asked
-            own = np.full(len(self.tokens), -1, np.int64)
-            own[lower["at"]] = lower["which"]
-            before = np.roll(own, 1)
-            columns, n, every = lower["columns"], lower["total"], lower["every"]
+            before[self.starts] = self.begin
         keys, which = np.unique(before[at] * (self.begin + 1) + self.tokens[at], return_inverse=True)
         context, last = np.divmod(keys, self.begin + 1)
-        # the order below has the same code wherever an n-gram stands
-        lower_code = np.empty(len(keys), np.int64)
-        lower_code[which] = self.code[at]
-        spread = 1 + every[context] // SHARD_TOKENS
-        home = np.zeros(len(keys), np.uint64)
-        for column in columns:
-            home = mix(home * np.uint64(31) + column[context].astype(np.uint64))
-        part = mix(self.word[last].astype(np.uint64)) % spread.astype(np.uint64)
+        # the order below has the same code and n-gram wherever an n-gram stands
+        lower, suffix = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        lower[which], suffix[which] = self.code[at], self.own[at]
+        # an n-gram with a part that only this block has is counted here; one with a part that was never learned, nowhere
+        settled = (self.every == self.times) | (self.total == 0)
+        sent = np.flatnonzero(~(settled[context] | settled[suffix]))
+        spread = 1 + self.every[context[sent]] // SHARD_TOKENS
+        home = np.zeros(len(sent), np.uint64)
+        for column in self.columns:
+            home = mix(home * np.uint64(31) + column[context[sent]].astype(np.uint64))
+        part = mix(self.word[last[sent]].astype(np.uint64)) % spread.astype(np.uint64)
         shard = (mix(home + part) % np.uint64(shards)).astype(np.int64)
         by_shard = np.argsort(shard, kind="stable")
-        rank = np.empty(len(keys), np.int64)
-        rank[by_shard] = np.arange(len(keys))
-        counts = np.bincount(which, weights=self.learned[at], minlength=len(keys)).astype(np.int64)
-        return {
-            "at": at,
-            "which": rank[which],
-            "shard": shard[by_shard],
-            "context": context[by_shard],
-            "columns": [*(c[context[by_shard]] for c in columns), self.word[last[by_shard]]],
-            "count": counts[by_shard],
-            "times": np.bincount(which, minlength=len(keys))[by_shard],
-            "context_count": n[context[by_shard]],
-            "lower": lower_code[by_shard],
-        }
-
-    def answer(self, order: int, shards: int) -> None:
-        """Takes the answers to the n-grams of an order."""
-        self.asked = self.grams(order, shards)
-        # the highest order has codes alone
-        code, *counts = (np.concatenate(parts) for parts in zip(*map(unpack, self.answers.get(order, [])), strict=True)) if self.answers.get(order) else [np.empty(0, np.int64)]
-        self.asked |= dict(zip(("total", "every"), counts, strict=False))
-        self.code[self.asked["at"]] = code[self.asked["which"]]
+        count = np.bincount(which, weights=self.learned[at], minlength=len(keys)).astype(np.int64)
+        return {"at": at, "which": which, "context": context, "last": last, "lower": lower, "count": count, "times": np.bincount(which, minlength=len(keys)), "sent": sent[by_shard], "shard": shard[by_shard]}
+
+    def answer(self, order: int, shards: int, weights: np.ndarray) -> None:
+        """Takes the answers to the n-grams of an order: their counts, which are smoothed and quantised."""
+        asked = self.grams(order, shards)
+        total, every = asked["count"], asked["times"].copy()
+        answers = [unpack(b) for b in self.answers.get(order, [])]
+        if answers:
+            # the highest order has counts in training texts alone
+            for out, parts in zip((total, every), zip(*answers, strict=True), strict=False):
+                out[asked["sent"]] = np.concatenate(parts)
+        context, lower = asked["context"], asked["lower"]
+        of_context = self.total[context]
+        left = weights[_bin(of_context)]
+        code = np.where(of_context > 0, quantise(left), 0) + lower
+        hit = np.flatnonzero(total)
+        code[hit] = quantise((1 - left[hit]) * total[hit] / of_context[hit] + left[hit] * value(lower[hit]))
+        self.code[asked["at"]] = code[asked["which"]]
+        self.columns = [*(c[context] for c in self.columns), self.word[asked["last"]]]
+        self.total, self.every, self.times = total, every, asked["times"]
+        self.own = np.full(len(self.tokens), -1, np.int64)
+        self.own[asked["at"]] = asked["which"]
 
     def requests(self, order: int, shards: int, last: bool) -> Iterator[tuple]:
+        """(kind, shard, block or -1, arrays): what is sent to the shards, and the sums of what is not."""
         asked = self.grams(order, shards)
+        here = asked["count"].copy()
+        here[asked["sent"]] = 0
+        here = np.flatnonzero(here)
+        yield (order, -1, *_sums(self.total[asked["context"][here]], asked["count"][here]))
         edges = np.searchsorted(asked["shard"], np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(edges)).tolist():
-            own = slice(edges[s], edges[s + 1])
+            own = asked["sent"][edges[s] : edges[s + 1]]
             # a context's words stand together
-            new = np.append(True, np.diff(asked["context"][own]) != 0)
+            context = asked["context"][own]
+            new = np.append(True, np.diff(context) != 0)
             runs = np.diff(np.append(np.flatnonzero(new), len(new)))
-            contexts = [c[own][new] for c in asked["columns"][:-1]]
-            # words repeat within a request: they and their codes are sent once, in order, and each n-gram names one
-            pairs, word = np.unique(asked["columns"][-1][own] << CODE_BITS | asked["lower"][own], return_inverse=True)
-            words, lower = pairs >> CODE_BITS, pairs & ((1 << CODE_BITS) - 1)
-            yield (order, s, runs, *contexts, asked["context_count"][own][new], np.diff(words, prepend=0), lower, word, asked["count"][own], asked["times"][own][: 0 if last else None])
+            # words repeat within a request: they are sent once, in order, and each n-gram names one
+            words, word = np.unique(self.word[asked["last"][own]], return_inverse=True)
+            yield (order, s, runs, *(c[context[new]] for c in self.columns), self.total[context[new]], np.diff(words, prepend=0), word, asked["count"][own], asked["times"][own][: 0 if last else None])
+
+
+def _bin(count: np.ndarray) -> np.ndarray:
+    """The bin of contexts with these counts."""
+    return np.frexp(np.maximum(count, 1))[1] - 1
 
 
-def _ask(order: int, shards: int, sizes: tuple[int, int, int], of_order: dict[int, int], last: bool):
+def _sums(of_context: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By bin of context: how many n-grams occur once, and the sum of all counts."""
+    bins = _bin(of_context)
+    return tuple(np.bincount(bins, weights=w, minlength=BINS).astype(np.int64) for w in (count == 1, count))
+
+
+def _ask(order: int, shards: int, sizes: tuple[int, int, int], of_order: dict[int, tuple[int, np.ndarray]], last: bool):
     """One block -> its n-grams of an order, packed for each shard."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         frugal()
         block = _Block(table, *sizes)
         for lower in range(2, order):
-            block.answer(lower, of_order[lower])
+            block.answer(lower, *of_order[lower])
         number = key[0].as_py()
         return pa.Table.from_batches([_rows([(kind, s, number, 0, 0, pack(*arrays)) for kind, s, *arrays in block.requests(order, shards, last)])])
 
@@ -371,9 +389,9 @@ def _ask(order: int, shards: int, sizes: tuple[int, int, int], of_order: dict[in
 
 
 def _requested(blob: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(columns of the contexts, their counts, context of each n-gram, its last word, count, times and lower code)."""
-    runs, *contexts, of_context, steps, lower, word, count, times = unpack(blob)
-    return contexts, of_context, np.repeat(np.arange(len(runs)), runs), np.cumsum(steps)[word], count, times, lower[word]
+    """(columns of the contexts, their counts, context of each n-gram, its last word, count and times)."""
+    runs, *contexts, of_context, steps, word, count, times = unpack(blob)
+    return contexts, of_context, np.repeat(np.arange(len(runs)), runs), np.cumsum(steps)[word], count, times
 
 
 def _in_order(columns: list[np.ndarray]) -> np.ndarray:
@@ -387,81 +405,60 @@ def _in_order(columns: list[np.ndarray]) -> np.ndarray:
     return np.argsort(key)
 
 
-SHARD = "key bigint, trie binary, blocks array<bigint>, requests array<binary>, single array<bigint>, total array<bigint>"
+def _count_grams(order: int, last: bool):
+    """One shard: counts of its n-grams, in a trie of those in training texts, which answers the blocks: counts in training texts and,
+    for the next order, in all texts.  Rows of block -1 have sums by bin of context (the key)."""
 
-
-def _count_grams(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """One shard: counts of its n-grams, the trie of those in training texts, their lower codes, and sums by bin of context."""
-    frugal()
-    requests = table["payload"].to_pylist()
-    parts = []
-    for contexts, of_context, row, word, count, _, _ in map(_requested, requests):
-        parts.append((*(c[row] for c in contexts), word, of_context[row], count))
-    *columns, of_context, count = (np.concatenate(c) for c in zip(*parts, strict=True))
-    del parts
-    order = _in_order(columns)
-    grams = np.stack([c[order] for c in columns], axis=1)
-    new = np.append(True, (grams[1:] != grams[:-1]).any(axis=1))
-    starts = np.flatnonzero(new)
-    grams, count, of_context = grams[starts], np.add.reduceat(count[order], starts), of_context[order][starts]
-    seen = count > 0
-    bins = np.frexp(np.maximum(of_context[seen], 1))[1] - 1
-    single = np.bincount(bins, weights=count[seen] == 1, minlength=BINS).astype(np.int64)
-    total = np.bincount(bins, weights=count[seen], minlength=BINS).astype(np.int64)
-    trie = Trie.build(grams[seen], count[seen], of_context[seen])
-    row = {"key": [key[0].as_py()], "trie": [trie], "blocks": [table["block"].to_pylist()], "requests": [requests], "single": [single.tolist()], "total": [total.tolist()]}
-    return pa.table(row, pa.schema([("key", pa.int64()), ("trie", pa.binary()), ("blocks", pa.list_(pa.int64())), ("requests", pa.list_(pa.binary())), ("single", pa.list_(pa.int64())), ("total", pa.list_(pa.int64()))]))
-
-
-def _look_up(order: int, weights: np.ndarray, last: bool):
-    """Shards -> answers to their blocks: codes of probabilities, and for a context of the next order its counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         frugal()
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield _rows(list(answers(*(batch.column(c)[i] for c in ("key", "trie", "blocks", "requests")))))
-
-    def answers(key, trie, blocks, requests):
-        trie = Trie(trie.as_buffer())
-        n, of_context = trie.counts, trie.context_counts
-        context_of = np.repeat(np.arange(len(of_context)), np.diff(trie.pointers[-1].get(np.arange(len(of_context) + 1)))) if len(n) else np.empty(0, np.int64)
-        asked = []
-        lower, every = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-        for blob in requests.as_py():
-            contexts, count, row, word, _, times, code = _requested(blob)
+        requests, shard = table["payload"].to_pylist(), key[0].as_py()
+        if shard < 0:
+            return sums(np.sum([np.stack(unpack(b)) for b in requests], axis=0), [])
+        parts = []
+        for contexts, of_context, row, word, count, _ in map(_requested, requests):
+            parts.append((*(c[row] for c in contexts), word, of_context[row], count))
+        *columns, of_context, count = (np.concatenate(c) for c in zip(*parts, strict=True))
+        del parts
+        in_order = _in_order(columns)
+        grams = np.stack([c[in_order] for c in columns], axis=1)
+        starts = np.flatnonzero(np.append(True, (grams[1:] != grams[:-1]).any(axis=1)))
+        count, of_context = np.add.reduceat(count[in_order], starts), of_context[in_order][starts]
+        seen = count > 0
+        found = _sums(of_context[seen], count[seen])
+        trie = Trie(Trie.build(grams[starts][seen], count[seen], of_context[seen]))
+        del columns, grams, in_order, starts, count, of_context, seen
+        every, asked = np.zeros(len(trie.counts), np.int64), []
+        for contexts, _, row, word, _, times in map(_requested, requests):
             place = trie.grams(trie.contexts(contexts), row, word)
+            if not last:
+                every[place[place >= 0]] += times[place >= 0]
+            asked.append((place.astype(np.int32), times.astype(np.int32)))
+        rows = []
+        for block, (place, times) in zip(table["block"].to_pylist(), asked, strict=True):
             hit = place >= 0
-            # each n-gram of the trie was sent by a block
-            lower[place[hit]] = code[hit]
-            every[place[hit]] += times[hit] if not last else 0
-            # the weight goes by the count of the context in all shards, which the request has
-            backoff = np.where(count > 0, quantise(weights[np.frexp(np.maximum(count, 1))[1] - 1]), 0)
-            asked.append((place.astype(np.int32), (backoff[row] + code).astype(np.int32), times))
-        # smoothed and quantised: one code for each n-gram
-        left = weights[np.frexp(np.maximum(of_context, 1))[1] - 1]
-        smooth = quantise((1 - left[context_of]) * n / of_context[context_of] + left[context_of] * value(lower))
-        for block, (place, found, times) in zip(blocks.as_py(), asked, strict=True):
-            hit = place >= 0
-            found[hit] = smooth[place[hit]]
-            counts = []
+            total = np.zeros(len(place), np.int64)
+            total[hit] = trie.counts[place[hit]]
+            counts = [total]
             if not last:
-                total, all_ = np.zeros(len(place), np.int64), times.copy()
-                total[hit], all_[hit] = n[place[hit]], every[place[hit]]
-                counts = [total, all_]
-            yield (order, key.as_py(), block, 0, 0, pack(found, *counts))
+                times[hit] = every[place[hit]]
+                counts.append(times.astype(np.int64))
+            rows.append((order, shard, block, 0, 0, pack(*counts)))
+        return sums(found, rows)
+
+    def sums(found, rows: list[tuple]) -> pa.Table:
+        return pa.Table.from_batches([_rows([*rows, *((order, i, -1, int(found[0][i]), int(found[1][i]), None) for i in np.flatnonzero(found[1]).tolist())])])
 
     return run
 
 
-def _sum_up(order: int, sizes: tuple[int, int, int], of_order: dict[int, int]):
+def _sum_up(order: int, sizes: tuple[int, int, int], of_order: dict[int, tuple[int, np.ndarray]]):
     """One block with all answers -> its documents' scores."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         frugal()
         block = _Block(table, *sizes)
         for k in range(2, order + 1):
-            block.answer(k, of_order[k])
+            block.answer(k, *of_order[k])
         base, known = block.base[block.tokens], block.n[block.tokens] > 0
         return pa.table(
             {
@@ -496,18 +493,16 @@ def scores(df: DataFrame, order: int = ORDER, held=None, id_col: str = "doc_id",
     sizes = (total, vocabulary, learned)
     known = blocks.unionByName(answered.where("block >= 0"))
 
-    of_order: dict[int, int] = {}
+    of_order: dict[int, tuple[int, np.ndarray]] = {}
     for k in range(2, order + 1):
         shards = 1 + size // (8 * SHARD_TOKENS)
-        asked = known.groupBy("block").applyInArrow(_ask(k, shards, sizes, dict(of_order), k == order), ROW)
-        counted = scratch.keep(asked.groupBy("key").applyInArrow(_count_grams, SHARD))
-        sums = counted.select(F.posexplode(F.arrays_zip("single", "total"))).groupBy("pos").agg(F.sum("col.single").alias("single"), F.sum("col.total").alias("total")).collect()
+        # no name holds the requests, so that their shuffle files can go
+        found = scratch.keep(known.groupBy("block").applyInArrow(_ask(k, shards, sizes, dict(of_order), k == order), ROW).groupBy("key").applyInArrow(_count_grams(k, k == order), ROW))
         weights = np.ones(BINS)
-        for row in sums:
-            weights[row["pos"]] = weight_of_lower(row["single"], row["total"])
-        found = scratch.keep(counted.mapInArrow(_look_up(k, weights, k == order), ROW))
-        scratch.drop(counted)
-        of_order[k] = shards
-        known = known.unionByName(found)
+        for row in found.where("block < 0").groupBy("key").agg(F.sum("n").alias("single"), F.sum("m").alias("total")).collect():
+            weights[row["key"]] = weight_of_lower(row["single"], row["total"])
+        of_order[k] = shards, weights
+        known = known.unionByName(found.where("block >= 0"))
+        df.sparkSession._jvm.System.gc()  # lets go of this order's shuffle files before the next order writes its own
     rows = known.groupBy("block").applyInArrow(_sum_up(order, sizes, of_order), "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return rows.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

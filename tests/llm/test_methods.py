@@ -635,6 +635,46 @@ def test_ngram_scores_equal_a_plain_model(spark, monkeypatch):
     assert sum(p((b"w1", w[0])) for w in grams if len(w) == 1) + p((b"w1", b"never")) == pytest.approx(1)
 
 
+def test_ngram_scores_take_contexts_of_four_words(spark, monkeypatch):
+    from collections import Counter
+
+    from shelfmark.llm import ngram_lm
+
+    for name, value in {"SHARD_TOKENS": 60, "SHARD_BYTES": 900, "BLOCK_BYTES": 400}.items():
+        monkeypatch.setattr(ngram_lm, name, value)
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    # words that only one block has, copies in several, and a held-out text that differs four words before
+    texts += ["u v w x y z u v w x y q", "p o n m l", "p o n m l", "r o n m l"] * 2
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in ngram_lm.scores(frame, held=F.col("doc_id") % 4 == 3).collect()}
+    order, grams, contexts, once, total = 5, Counter(), Counter(), Counter(), Counter()
+    padded = [["<s>", *t.split(), "</s>"] for t in texts]
+    for i, words in enumerate(padded):
+        for k in range(1, order + 1):
+            for j in range(max(k, 2), len(words) + 1):
+                if i % 4 != 3:
+                    grams[tuple(words[j - k : j])] += 1
+                    contexts[tuple(words[j - k : j - 1]), k] += 1
+    for gram, n in grams.items():
+        key = (len(gram), contexts[gram[:-1], len(gram)].bit_length())
+        once[key] += n == 1
+        total[key] += n
+    known = sum(len(g) == 1 for g in grams)
+
+    def p(gram):
+        n = contexts[gram[:-1], len(gram)]
+        if len(gram) == 1:
+            return (grams[gram] + 1) / (n + known + 1)
+        key = (len(gram), n.bit_length())
+        left = (once[key] + 1) / (total[key] + 2) if n else 1
+        return (1 - left) * grams[gram] / max(n, 1) + left * p(gram[1:])
+
+    for i, words in enumerate(padded):
+        want = sum(math.log10(p(tuple(words[max(0, j - order + 1) : j + 1]))) for j in range(1, len(words)))
+        assert abs(got[i].score - want) <= 0.005 * order * (len(words) - 1), (i, got[i].score, want)
+
+
 def test_elias_fano_and_its_trie():
     from shelfmark.llm.elias_fano import EliasFano, Trie
 
