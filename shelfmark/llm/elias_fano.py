@@ -146,15 +146,17 @@ def unflat(buffer) -> list[np.ndarray]:
 
 
 class Trie:
-    """Levels of an n-gram trie.  Counts of the n-grams and of their contexts are kept as their running sums."""
+    """Levels of an n-gram trie.  Counts of the last levels, such as the n-grams and their contexts, are kept as their running sums."""
 
     def __init__(self, buffer) -> None:
         first, *rest = unflat(buffer)
-        self.depth = int(first[0])
-        *sequences, sums, context_sums = [EliasFano(*rest[3 * i : 3 * i + 3]) for i in range(2 * self.depth + 1)]
+        self.depth, counted = map(int, first)
+        sequences = [EliasFano(*rest[i : i + 3]) for i in range(0, len(rest), 3)]
         #: Words of each level, and pointers from each level but the last to the next one.
-        self.words, self.pointers = sequences[: self.depth], sequences[self.depth :]
-        self.counts, self.context_counts = np.diff(sums.all()), np.diff(context_sums.all())
+        self.words, self.pointers, sums = sequences[: self.depth], sequences[self.depth : -counted], sequences[-counted:]
+        #: Counts of the last levels.
+        self.counts_of = [np.diff(s.all()) for s in sums]
+        self.counts, self.context_counts = self.counts_of[-1], self.counts_of[-2] if counted > 1 else None
 
     @classmethod
     def map(cls, path: str) -> Trie:
@@ -165,25 +167,33 @@ class Trie:
     @staticmethod
     def build(grams: np.ndarray, counts: np.ndarray, context_counts: np.ndarray) -> bytes:
         """Of distinct n-grams in order (rows of words), their counts and those of their contexts (a gram each)."""
-        depth, words, pointers, above = grams.shape[1], [], [], np.zeros(len(grams), np.int64)
+        depth, levels, above = grams.shape[1], [], np.zeros(len(grams), np.int64)
         context = np.zeros(len(grams), np.int64)
         for level in range(depth):
             new = np.ones(len(grams), bool)
             new[1:] = (above[1:] != above[:-1]) | (grams[1:, level] != grams[:-1, level])
-            parent, word = above[new], grams[new, level] + 1
-            if level:
-                # the last word of each node's children, summed over all nodes before
-                last = np.append(parent[1:] != parent[:-1], True)[: len(parent)]
-                base = np.concatenate([[0], np.cumsum(word[last])[:-1]]) if len(parent) else np.empty(0, np.int64)
-                word = word + base[parent]
-                starts = np.flatnonzero(np.append(True, parent[1:] != parent[:-1])[: len(parent)])
-                pointers += EliasFano.arrays(np.append(starts, len(parent)))
-            words += EliasFano.arrays(word)
+            levels.append((above[new], grams[new, level]))
             above = np.cumsum(new) - 1
             if level == depth - 2:
                 context = np.flatnonzero(new)
-        sums = [EliasFano.arrays(np.concatenate([[0], np.cumsum(c, dtype=np.int64)])) for c in (counts, context_counts[context])]
-        return flat([np.array([depth], np.uint64), *words, *pointers, *sums[0], *sums[1]])
+        return Trie.of_levels(levels, [context_counts[context], counts])
+
+    @staticmethod
+    def of_levels(levels: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndarray]) -> bytes:
+        """Of the parent (its place in the level above) and the word of each node, in order, and the counts of the last levels.  Every
+        node above the last level may lack children."""
+        words, pointers = [], []
+        for level, (parent, word) in enumerate(levels):
+            word = word + 1
+            if level:
+                # the last word of each node's children, summed over all nodes before
+                starts = np.searchsorted(parent, np.arange(len(levels[level - 1][0]) + 1))
+                last = np.where(np.diff(starts) > 0, np.append(word, 0)[starts[1:] - 1], 0)
+                word = word + (np.cumsum(last) - last)[parent]
+                pointers += EliasFano.arrays(starts)
+            words += EliasFano.arrays(word)
+        sums = [x for c in counts for x in EliasFano.arrays(np.concatenate([[0], np.cumsum(c, dtype=np.int64)]))]
+        return flat([np.array([len(levels), len(counts)], np.uint64), *words, *pointers, *sums])
 
     def _range(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where the nodes' children in a level begin and end, and what their words are relative to."""
@@ -210,6 +220,15 @@ class Trie:
             out[a : a + STEP] = node
         return out
 
+    def after(self, level: int, nodes: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places in a level, or -1, of words below nodes of the level above (places, or -1)."""
+        out = np.full(len(word), -1, np.int64)
+        for a in range(0, len(out), STEP):
+            live = a + np.flatnonzero(nodes[a : a + STEP] >= 0)
+            _, end, base = self._range(level, nodes[live])
+            out[live] = self._child(level, end, base, word[live])
+        return out
+
     def grams(self, contexts: np.ndarray, of: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Places in the last level, or -1, of words after contexts: ``of`` says which one of ``contexts`` (places) each follows."""
         known = contexts >= 0

@@ -1,12 +1,13 @@
 """An n-gram language model of a corpus: counted, smoothed, kept in Elias-Fano tries, and asked for every text.
 
 Texts are cut into words once and kept as blocks of local word numbers.  Words go to shards by their hash, which count them and
-number them.  Then, order by order, each block sends its distinct n-grams, packed, to shards by their context; a shard
-counts them, builds a trie of those that occur in training texts, and answers the blocks from it.  A context that is
-more frequent than a shard holds is spread over shards by its next word, by a rule of its count alone, so every block deals
-alike and no shard grows with a frequent word.  An n-gram whose context, or whose last words, no other block has is counted
-in its block and not sent; one with a part that no training text has is not sent either, since its count is 0.  When all
-counts of an order are in, the blocks smooth and quantise its probabilities.
+number them.  Then each block sends its distinct n-grams of all orders at once, as a tree read backwards from the last word, to
+shards by their last two words; an n-gram and those that it ends in are then in one shard.  A shard merges what was learned into a
+trie of the same order of words and answers the blocks from it.  N-grams whose last words are all more frequent than a shard holds
+are spread by further words, by a rule of these counts alone, so every block deals alike and no shard grows with frequent words.
+An n-gram with a word that no other block has is counted in its block and not sent; one with a word that no training text
+has is not sent either, since its count is 0.  The count of a context is that of the n-gram that ends one token before, so the blocks
+have all counts then, and smooth and quantise the probabilities of their tokens.
 
 Smoothing interpolates with the order below (Jelinek and Mercer), with weights tied by the binary logarithm of the context's
 count: a context keeps the share of its bin's tokens whose n-gram occurs once, the Good-Turing estimate of what is new.
@@ -64,19 +65,25 @@ def pack(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         most = int(a.max()) if len(a) else 0
         width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
-        planes = a.astype(f"<u{width}").view(np.uint8).reshape(-1, width)
-        parts.append(struct.pack("<BQ", width, len(a)) + planes.T.tobytes())
+        a = a.astype(f"<u{width}")
+        parts.append(struct.pack("<BQ", width, len(a)))
+        parts += [(a >> (8 * i)).astype(np.uint8).tobytes() for i in range(width)]
     body = b"".join(parts)
     return struct.pack("<Q", len(body)) + pa.compress(body, codec="zstd", asbytes=True)
 
 
-def unpack(blob: bytes) -> list[np.ndarray]:
+def unpack(blob: bytes, narrow: bool = False) -> list[np.ndarray]:
+    """The arrays of ``pack``, of eight bytes a number or, if ``narrow``, as they were kept."""
     body = pa.decompress(blob[8:], decompressed_size=struct.unpack_from("<Q", blob)[0], codec="zstd", asbytes=True)
     out, at = [], 0
     while at < len(body):
         width, size = struct.unpack_from("<BQ", body, at)
         planes = np.frombuffer(body, np.uint8, width * size, at + 9).reshape(width, size)
-        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64))
+        kind = np.dtype(f"<u{width}" if narrow else np.int64)
+        out.append(planes[0].astype(kind))
+        for i in range(1, width):
+            if planes[i].any():
+                out[-1] |= planes[i].astype(kind) << kind.type(8 * i)
         at += 9 + width * size
     return out
 
@@ -255,7 +262,10 @@ def _count_words(shards: int):
             n[number] += some
             every[number] += all_
         shard = key[0].as_py()
-        rows = [(1, shard, b, 0, 0, pack(number * shards + shard + FIRST, n[number], every[number])) for b, (number, _, _) in zip(table["block"].to_pylist(), asked, strict=True)]
+        # frequent words have small numbers, which are packed better
+        rank = np.empty(len(numbers), np.int64)
+        rank[np.argsort(-every, kind="stable")] = np.arange(len(numbers))
+        rows = [(1, shard, b, 0, 0, pack(rank[number] * shards + shard + FIRST, n[number], every[number])) for b, (number, _, _) in zip(table["block"].to_pylist(), asked, strict=True)]
         rows.append((1, shard, -1, int((n > 0).sum()), 0, None))
         return pa.Table.from_batches([_rows(rows)])
 
@@ -265,211 +275,302 @@ def _count_words(shards: int):
 # --- n-grams ----------------------------------------------------------------------------------------
 
 
+def _children(parent: np.ndarray, n: int, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of a parent (below ``n``) and a word, in order: (the pair of each row, the parent and the word of each pair).
+    Only rows of parents that have several are sorted."""
+    rows = np.bincount(parent, minlength=n)
+    alone = rows[parent] == 1
+    several, alone = np.flatnonzero(~alone), np.flatnonzero(alone)
+    bits = int(word.max(initial=0)).bit_length()
+    keys, which = np.unique((parent[several] << bits) | word[several], return_inverse=True)
+    of = keys >> bits
+    size = (rows == 1) + np.bincount(of, minlength=n)
+    begin = np.cumsum(size) - size
+    # pairs of these parents stand in order, after the pairs of all parents before
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    at = begin[of] + np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))
+    out, words = np.empty(len(parent), np.int64), np.empty(int(size.sum()), np.int64)
+    out[alone], out[several] = begin[parent[alone]], at[which]
+    words[out] = word
+    return out, np.repeat(np.arange(n), size), words
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, ``size`` of them, end to end."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class _Block:
-    """A block's tokens as n-grams: for each order the distinct ones, where each token has its own, and the shards they go to."""
+    """A block's tokens as n-grams, read backwards: a node of a level k is an n-gram of k words, and its parent is the n-gram
+    without the first word.  Nodes of words that other blocks have too are sent to shards."""
+
+    def __init__(self, blob: bytes, order: int, learned: int) -> None:
+        self.order = order
+        self.ids, self.known, held, counts, self.tokens, self.word, n, every, times = unpack(blob)
+        self.held, self.counts = held.astype(bool), counts
+        if len(self.word) and int(self.word.max()) < 1 << 31:
+            self.word = self.word.astype(np.int32)
+        self.tokens = self.tokens.astype(np.int32)
+        ends = np.cumsum(counts)
+        self.starts = ends - counts
+        self.learned = np.repeat(~self.held, counts)
+        self.place = np.arange(len(self.tokens)) - np.repeat(self.starts, counts)
+        # the end and the beginning are in every block
+        self.n, self.every = np.concatenate([n, [learned, learned]]), np.concatenate([every, [learned, learned]])
+        self.settled = np.append(every == times, [False, False]) | (self.n == 0)
+
+    def grow(self, answered: bool) -> None:
+        """The nodes of all levels, and if they are to be ``answered``, the node of each token in each level."""
+        begin, which = len(self.word) - 1, self.tokens
+        self.which, self.parent, self.words, self.count = [], [None], [None], [None]
+        for k in range(2, self.order + 1):
+            at = np.flatnonzero(self.place >= k - 2)
+            before = np.where(self.place[at] >= k - 1, self.tokens[at - k + 1], begin)
+            # words are told apart, and put in order, by their numbers
+            own, parent, _ = _children(which[at].astype(np.int64), len(self.word) if k == 2 else len(self.parent[-1]), self.word[before])
+            # a block has few enough nodes for four bytes
+            of = np.empty(len(parent), np.int32)
+            of[own] = before
+            which = np.full(len(self.tokens), -1, np.int32)
+            which[at] = own
+            if answered:
+                self.which.append(which)
+            self.parent.append(parent.astype(np.int32))
+            self.words.append(of)
+            self.count.append(np.bincount(own[self.learned[at]], minlength=len(parent)).astype(np.int32))
+
+    def sent(self, shards: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], list[np.ndarray], list[np.ndarray]]]:
+        """For each level that n-grams are dealt to shards by: (level, edges of the shards, columns of words of these n-grams,
+        nodes of this and the further levels, numbers of their children that are sent).  N-grams go by their last two words, with
+        all that end in them; where all of these are more frequent than a shard holds, by more words."""
+        live, hot = ~self.settled, self.every > SHARD_TOKENS
+        levels = []
+        for k in range(1, self.order):
+            parent, words = self.parent[k], self.words[k]
+            live = live[parent] & ~self.settled[words]
+            # the n-grams of two words, and those whose shorter ones were spread
+            rooted = live & hot[parent] if k > 1 else live
+            levels.append((live, rooted))
+            hot = hot[parent] & (self.every[words] > SHARD_TOKENS)
+        for k, (_, rooted) in enumerate(levels, 1):
+            roots = np.flatnonzero(rooted)
+            if not len(roots):
+                continue
+            columns, node = [], roots
+            for j in range(k, 0, -1):
+                columns.append(self.words[j][node])
+                node = self.parent[j][node]
+            columns = [node, *columns[::-1]]
+            home = np.zeros(len(roots), np.uint64)
+            for column in columns:
+                home = mix(home * np.uint64(31) + self.word[column].astype(np.uint64) + np.uint64(1))
+            shard = (home % np.uint64(shards)).astype(np.int64)
+            by_shard = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+            edges = np.searchsorted(shard[by_shard], np.arange(shards + 1))
+            nodes, sizes = [roots[by_shard].astype(np.int32)], []
+            for j in range(k + 1, self.order):
+                parent, own = self.parent[j], levels[j - 1][0] & ~levels[j - 1][1]
+                kept = np.flatnonzero(own)
+                size = np.bincount(parent[kept], minlength=len(levels[j - 2][0]))
+                first = np.cumsum(size) - size
+                sizes.append(size[nodes[-1]].astype(np.int32))
+                nodes.append(kept[_ranges(first[nodes[-1]], sizes[-1])].astype(np.int32))
+            yield k + 1, edges, [c[by_shard] for c in columns], nodes, sizes
+
+    def requests(self, shards: int) -> Iterator[tuple]:
+        """(level, shard, arrays) of what is sent."""
+        for level, edges, columns, nodes, sizes in self.sent(shards):
+            # children of the roots of a shard stand together in each level
+            cuts = [edges]
+            for size in sizes:
+                cuts.append(np.concatenate([[0], np.cumsum(size)])[cuts[-1]])
+            columns = [self.word[c] for c in columns]
+            words = [self.word[self.words[level + i - 1][x]] for i, x in enumerate(nodes)]
+            counts = [self.count[level + i - 1][x] for i, x in enumerate(nodes)]
+            for s in np.flatnonzero(np.diff(edges)).tolist():
+                own = [slice(c[s], c[s + 1]) for c in cuts]
+                first, *more = (c[own[0]] for c in columns)
+                # a word's n-grams stand together
+                new = np.flatnonzero(np.diff(first, prepend=-1))
+                runs = np.diff(np.append(new, len(first)))
+                yield level, s, pack(first[new], runs, *more, *(x[o] for x, o in zip(counts, own, strict=True)), *(x[o] for x, o in zip(sizes, own)), *(x[o] for x, o in zip(words[1:], own[1:])))
+
+    def answer(self, shards: int, answers: dict[int, list[bytes]]) -> list[np.ndarray]:
+        """For each order from 2 on: how often training texts have the n-gram that each token ends (0 where there is none)."""
+        totals = [None if c is None else c.astype(np.int64) for c in self.count]
+        for level, _, _, nodes, _ in self.sent(shards):
+            parts = [unpack(b) for b in answers[level]]
+            for i, (x, found) in enumerate(zip(nodes, zip(*parts, strict=True), strict=True)):
+                totals[level + i - 1][x] = np.concatenate(found)
+        out = []
+        for which, total in zip(self.which, totals[1:], strict=True):
+            out.append(np.append(total, 0)[which])  # tokens without an n-gram have -1
+        return out
+
+
+def _contexts(place: np.ndarray, n: np.ndarray, found: list[np.ndarray], learned: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order from 2 on: tokens that end an n-gram, its count and that of its context, which ends a token before."""
+    below = n
+    for k, total in enumerate(found, 2):
+        at = np.flatnonzero(place >= k - 2)
+        of_context = np.where(place[at] > 0, below[at - 1], learned)
+        yield at, total[at], of_context
+        below = total
+
+
+def _number_words(learned: int):
+    """One block and the answers to its words -> a row (kind 0) of its documents, its tokens by local words, and these words'
+    numbers, counts in training texts and in all texts, and in the block's."""
 
-    def __init__(self, table: pa.Table, total: int, vocabulary: int, learned: int) -> None:
-        """``table`` has the block's row (kind 0) and the answers to it, kind k for order k."""
-        self.answers: dict[int, list[bytes]] = {}
-        for kind, _, blob in sorted(zip(table["kind"].to_pylist(), table["key"].to_pylist(), table["payload"].to_pylist(), strict=True), key=lambda r: r[:2]):
-            self.answers.setdefault(kind, []).append(blob)
-        ids, known, held, counts, steps, tokens = unpack(self.answers[0][0])
-        tokens = (np.cumsum(steps) % WRAP)[tokens]
-        self.ids = pa.array(ids, pa.int64(), mask=known == 0)
-        self.held, self.counts = held.astype(bool), counts + 1
-        parts = [unpack(b) for b in self.answers.get(1, [])]
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        frugal()
+        rows = sorted(zip(table["kind"].to_pylist(), table["key"].to_pylist(), table["payload"].to_pylist(), strict=True), key=lambda r: r[:2])
+        ids, known, held, counts, steps, ranks = unpack(rows[0][2])
+        parts = [unpack(blob) for _, _, blob in rows[1:]]
         word, n, every = (np.concatenate([p[i] for p in parts] or [np.empty(0, np.int64)]) for i in range(3))
-        ends = np.cumsum(self.counts)
-        self.starts = ends - self.counts
-        # local numbers of words; after them the end and the beginning
-        self.end, self.begin = len(word), len(word) + 1
-        self.tokens = np.full(int(ends[-1]), self.end, np.int64)
-        inner = np.ones(len(self.tokens), bool)
+        # words stay in the order of their frequency
+        by_frequency = np.cumsum(steps) % WRAP
+        times, counts = np.bincount(ranks, minlength=len(word)), counts + 1
+        ends = np.cumsum(counts)
+        tokens, inner = np.full(int(ends[-1]), len(word), np.int64), np.ones(int(ends[-1]), bool)
         inner[ends - 1] = False
-        self.tokens[inner] = tokens
-        self.word, self.n = np.concatenate([word, [END, BEGIN]]), np.concatenate([n, [learned, learned]])
-        self.learned = np.repeat(~self.held, self.counts)
-        self.place = np.arange(len(self.tokens)) - np.repeat(self.starts, self.counts)
-        self.base = np.log10((self.n + 1) / (total + vocabulary + 1))
-        #: For each token the code of its probability in the highest order answered so far, and its n-gram of that order.
-        self.code, self.own = quantise((self.n + 1) / (total + vocabulary + 1))[self.tokens], self.tokens
-        # the distinct n-grams of that order: words, count in training texts, in all texts, and in the block's texts
-        self.columns, self.total, self.every = [self.word], self.n, np.concatenate([every, [learned, learned]])
-        self.times = np.bincount(self.tokens, minlength=self.begin + 1)
-        self.times[self.end :] = -1  # every block has ends and beginnings
-
-    def grams(self, order: int, shards: int) -> dict[str, np.ndarray]:
-        """Distinct n-grams of an order: the ``context`` and ``last`` word of each, its counts, and the code of the order below; ``at``
-        (tokens that end one) and ``which`` (their places in the list); ``sent`` are those that other blocks may have, by ``shard``."""
-        at = np.flatnonzero(self.place >= order - 2)
-        before = np.roll(self.own, 1)
-        if order == 2:
-            before[self.starts] = self.begin
-        keys, which = np.unique(before[at] * (self.begin + 1) + self.tokens[at], return_inverse=True)
-        context, last = np.divmod(keys, self.begin + 1)
-        # the order below has the same code and n-gram wherever an n-gram stands
-        lower, suffix = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
-        lower[which], suffix[which] = self.code[at], self.own[at]
-        # an n-gram with a part that only this block has is counted here; one with a part that was never learned, nowhere
-        settled = (self.every == self.times) | (self.total == 0)
-        sent = np.flatnonzero(~(settled[context] | settled[suffix]))
-        spread = 1 + self.every[context[sent]] // SHARD_TOKENS
-        home = np.zeros(len(sent), np.uint64)
-        for column in self.columns:
-            home = mix(home * np.uint64(31) + column[context[sent]].astype(np.uint64))
-        part = mix(self.word[last[sent]].astype(np.uint64)) % spread.astype(np.uint64)
-        shard = (mix(home + part) % np.uint64(shards)).astype(np.int64)
-        by_shard = np.argsort(shard, kind="stable")
-        count = np.bincount(which, weights=self.learned[at], minlength=len(keys)).astype(np.int64)
-        return {"at": at, "which": which, "context": context, "last": last, "lower": lower, "count": count, "times": np.bincount(which, minlength=len(keys)), "sent": sent[by_shard], "shard": shard[by_shard]}
-
-    def answer(self, order: int, shards: int, weights: np.ndarray) -> None:
-        """Takes the answers to the n-grams of an order: their counts, which are smoothed and quantised."""
-        asked = self.grams(order, shards)
-        total, every = asked["count"], asked["times"].copy()
-        answers = [unpack(b) for b in self.answers.get(order, [])]
-        if answers:
-            # the highest order has counts in training texts alone
-            for out, parts in zip((total, every), zip(*answers, strict=True), strict=False):
-                out[asked["sent"]] = np.concatenate(parts)
-        context, lower = asked["context"], asked["lower"]
-        of_context = self.total[context]
-        left = weights[_bin(of_context)]
-        code = np.where(of_context > 0, quantise(left), 0) + lower
-        hit = np.flatnonzero(total)
-        code[hit] = quantise((1 - left[hit]) * total[hit] / of_context[hit] + left[hit] * value(lower[hit]))
-        self.code[asked["at"]] = code[asked["which"]]
-        self.columns = [*(c[context] for c in self.columns), self.word[asked["last"]]]
-        self.total, self.every, self.times = total, every, asked["times"]
-        self.own = np.full(len(self.tokens), -1, np.int64)
-        self.own[asked["at"]] = asked["which"]
-
-    def requests(self, order: int, shards: int, last: bool) -> Iterator[tuple]:
-        """(kind, shard, block or -1, arrays): what is sent to the shards, and the sums of what is not."""
-        asked = self.grams(order, shards)
-        here = asked["count"].copy()
-        here[asked["sent"]] = 0
-        here = np.flatnonzero(here)
-        yield (order, -1, *_sums(self.total[asked["context"][here]], asked["count"][here]))
-        edges = np.searchsorted(asked["shard"], np.arange(shards + 1))
-        for s in np.flatnonzero(np.diff(edges)).tolist():
-            own = asked["sent"][edges[s] : edges[s + 1]]
-            # a context's words stand together
-            context = asked["context"][own]
-            new = np.append(True, np.diff(context) != 0)
-            runs = np.diff(np.append(np.flatnonzero(new), len(new)))
-            # words repeat within a request: they are sent once, in order, and each n-gram names one
-            words, word = np.unique(self.word[asked["last"][own]], return_inverse=True)
-            yield (order, s, runs, *(c[context[new]] for c in self.columns), self.total[context[new]], np.diff(words, prepend=0), word, asked["count"][own], asked["times"][own][: 0 if last else None])
+        tokens[inner] = ranks
+        numbers = np.concatenate([word[by_frequency], [END, BEGIN]])
+        return pa.Table.from_batches([_rows([(0, 0, key[0].as_py(), 0, 0, pack(ids.view(np.uint64), known, held, counts, tokens, numbers, n[by_frequency], every[by_frequency], times))])])
 
+    return run
 
-def _bin(count: np.ndarray) -> np.ndarray:
-    """The bin of contexts with these counts."""
-    return np.frexp(np.maximum(count, 1))[1] - 1
 
+def _ask(order: int, shards: int, learned: int):
+    """Blocks -> their n-grams, packed for each shard (kind: the level that they are dealt by)."""
 
-def _sums(of_context: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """By bin of context: how many n-grams occur once, and the sum of all counts."""
-    bins = _bin(of_context)
-    return tuple(np.bincount(bins, weights=w, minlength=BINS).astype(np.int64) for w in (count == 1, count))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
+        for batch in batches:
+            for number, blob in zip(batch.column(2).to_pylist(), batch.column(5), strict=True):
+                block = _Block(blob.as_py(), order, learned)
+                block.grow(answered=False)
+                rows = [(level, s, number, 0, 0, packed) for level, s, packed in block.requests(shards)]
+                del block
+                if rows:
+                    yield _rows(rows)
+
+    return run
 
 
-def _ask(order: int, shards: int, sizes: tuple[int, int, int], of_order: dict[int, tuple[int, np.ndarray]], last: bool):
-    """One block -> its n-grams of an order, packed for each shard."""
+def _count_grams(order: int):
+    """One shard: tries of the n-grams that training texts have, with their counts, which answer the blocks."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         frugal()
-        block = _Block(table, *sizes)
-        for lower in range(2, order):
-            block.answer(lower, *of_order[lower])
-        number = key[0].as_py()
-        return pa.Table.from_batches([_rows([(kind, s, number, 0, 0, pack(*arrays)) for kind, s, *arrays in block.requests(order, shards, last)])])
+        kinds, rows = table["kind"].to_numpy(), []
+        for level in np.unique(kinds).tolist():
+            own = table.filter(pa.array(kinds == level))
+            answers = _merge([unpack(b.as_py(), narrow=True) for b in own["payload"]], level, order)
+            rows += [(level, key[0].as_py(), block, 0, 0, answer) for block, answer in zip(own["block"].to_pylist(), answers, strict=True)]
+        return pa.Table.from_batches([_rows(rows)])
 
     return run
 
 
-def _requested(blob: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(columns of the contexts, their counts, context of each n-gram, its last word, count and times)."""
-    runs, *contexts, of_context, steps, word, count, times = unpack(blob)
-    return contexts, of_context, np.repeat(np.arange(len(runs)), runs), np.cumsum(steps)[word], count, times
+def _merge(requests: list[list[np.ndarray]], level: int, order: int) -> list[bytes]:
+    """Answers to requests of a level: n-grams that a request learned are merged into the trie, level by level, which gives
+    their places; those that it only asks for are searched there."""
+    deep = order - level
+    # children and counts are few in a request, so they take four bytes
+    kinds = [np.int64] * level + [np.int32] * (2 * deep + 1) + [np.int64] * deep
+    joined = [np.concatenate(c, dtype=kind, casting="unsafe") for kind, c in zip(kinds, zip(*([np.repeat(first, runs), *rest] for first, runs, *rest in requests), strict=True), strict=True)]
+    sizes_of = [[len(c) for c in r[1 + level : 2 + level + deep]] for r in requests]
+    requests.clear()
+    columns, counts = joined[:level], joined[level : level + deep + 1]
+    children, words = joined[level + deep + 1 : level + 2 * deep + 1], joined[level + 2 * deep + 1 :]
+    learned = np.flatnonzero(counts[0])
+    parent, n, levels, totals, places = np.zeros(len(learned), np.int64), 1, [], [], []
+    for column in columns:
+        parent, of, word = _children(parent, n, column[learned])
+        levels.append((of, word))
+        n = len(word)
+    for i, count in enumerate(counts):
+        if i:
+            above = np.repeat(np.arange(len(counts[i - 1])), children[i - 1])
+            learned = np.flatnonzero(count)
+            parent, of, word = _children(places[-1][above[learned]], n, words[i - 1][learned])
+            levels.append((of, word))
+            n = len(word)
+        places.append(np.full(len(count), -1, np.int64))
+        places[-1][learned] = parent
+        totals.append(np.bincount(parent, weights=count[learned], minlength=n).astype(np.int64))
+    trie = Trie(Trie.of_levels(levels, totals))
+    out = []
+    for i, (count, place) in enumerate(zip(counts, places, strict=True)):
+        asked = np.flatnonzero(count == 0)
+        if not i:
+            place[asked] = trie.contexts([c[asked] for c in columns])
+        else:
+            above = np.repeat(np.arange(len(counts[i - 1])), children[i - 1])[asked]
+            place[asked] = trie.after(level + i - 1, places[i - 1][above], words[i - 1][asked])
+        found, hit = np.zeros(len(place), np.int64), place >= 0
+        found[hit] = trie.counts_of[i][place[hit]]
+        out.append(np.split(found, np.cumsum([s[i] for s in sizes_of])[:-1]))
+    return [pack(*arrays) for arrays in zip(*out, strict=True)]
 
 
-def _in_order(columns: list[np.ndarray]) -> np.ndarray:
-    """The order of rows by their columns; they are one number if they fit."""
-    bits = [int(c.max()).bit_length() if len(c) else 0 for c in columns]
-    if sum(bits) > 63:
-        return np.lexsort(columns[::-1])
-    key = np.zeros(len(columns[0]), np.int64)
-    for column, width in zip(columns, bits, strict=True):
-        key = (key << width) | column
-    return np.argsort(key)
+def _bin(count: np.ndarray) -> np.ndarray:
+    """The bin of contexts with these counts."""
+    return np.frexp(np.maximum(count, 1))[1] - 1
 
 
-def _count_grams(order: int, last: bool):
-    """One shard: counts of its n-grams, in a trie of those in training texts, which answers the blocks: counts in training texts and,
-    for the next order, in all texts.  Rows of block -1 have sums by bin of context (the key)."""
+def _collect(order: int, shards: int, learned: int):
+    """One block with all answers -> its row (kind 0) with the counts of each token's n-grams, and sums by order (kind) and bin of
+    context (key): n-grams that occur once, and all occurrences.  An n-gram that occurs once is at one token, so tokens are summed."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         frugal()
-        requests, shard = table["payload"].to_pylist(), key[0].as_py()
-        if shard < 0:
-            return sums(np.sum([np.stack(unpack(b)) for b in requests], axis=0), [])
-        parts = []
-        for contexts, of_context, row, word, count, _ in map(_requested, requests):
-            parts.append((*(c[row] for c in contexts), word, of_context[row], count))
-        *columns, of_context, count = (np.concatenate(c) for c in zip(*parts, strict=True))
-        del parts
-        in_order = _in_order(columns)
-        grams = np.stack([c[in_order] for c in columns], axis=1)
-        starts = np.flatnonzero(np.append(True, (grams[1:] != grams[:-1]).any(axis=1)))
-        count, of_context = np.add.reduceat(count[in_order], starts), of_context[in_order][starts]
-        seen = count > 0
-        found = _sums(of_context[seen], count[seen])
-        trie = Trie(Trie.build(grams[starts][seen], count[seen], of_context[seen]))
-        del columns, grams, in_order, starts, count, of_context, seen
-        every, asked = np.zeros(len(trie.counts), np.int64), []
-        for contexts, _, row, word, _, times in map(_requested, requests):
-            place = trie.grams(trie.contexts(contexts), row, word)
-            if not last:
-                every[place[place >= 0]] += times[place >= 0]
-            asked.append((place.astype(np.int32), times.astype(np.int32)))
-        rows = []
-        for block, (place, times) in zip(table["block"].to_pylist(), asked, strict=True):
-            hit = place >= 0
-            total = np.zeros(len(place), np.int64)
-            total[hit] = trie.counts[place[hit]]
-            counts = [total]
-            if not last:
-                times[hit] = every[place[hit]]
-                counts.append(times.astype(np.int64))
-            rows.append((order, shard, block, 0, 0, pack(*counts)))
-        return sums(found, rows)
-
-    def sums(found, rows: list[tuple]) -> pa.Table:
-        return pa.Table.from_batches([_rows([*rows, *((order, i, -1, int(found[0][i]), int(found[1][i]), None) for i in np.flatnonzero(found[1]).tolist())])])
+        answers: dict[int, list[bytes]] = {}
+        for kind, _, blob in sorted(zip(table["kind"].to_pylist(), table["key"].to_pylist(), table["payload"].to_pylist(), strict=True), key=lambda r: r[:2]):
+            answers.setdefault(kind, []).append(blob)
+        block = _Block(answers[0][0], order, learned)
+        block.grow(answered=True)
+        found, rows = block.answer(shards, answers), []
+        for k, (at, total, of_context) in enumerate(_contexts(block.place, block.n[block.tokens], found, learned), 2):
+            own = block.learned[at]
+            bins = _bin(of_context[own])
+            single, every = np.bincount(bins[total[own] == 1], minlength=BINS), np.bincount(bins, minlength=BINS)
+            rows += [(k, i, -1, int(single[i]), int(every[i]), None) for i in np.flatnonzero(every).tolist()]
+        rows.append((0, 0, key[0].as_py(), 0, 0, pack(block.ids.view(np.uint64), block.known, block.held, block.counts, block.tokens, block.n, *found)))
+        return pa.Table.from_batches([_rows(rows)])
 
     return run
 
 
-def _sum_up(order: int, sizes: tuple[int, int, int], of_order: dict[int, tuple[int, np.ndarray]]):
-    """One block with all answers -> its documents' scores."""
+def _sum_up(sizes: tuple[int, int, int], weights: dict[int, np.ndarray]):
+    """Blocks with all counts -> their documents' scores, by smoothed and quantised probabilities."""
+    total, vocabulary, learned = sizes
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frugal()
-        block = _Block(table, *sizes)
-        for k in range(2, order + 1):
-            block.answer(k, *of_order[k])
-        base, known = block.base[block.tokens], block.n[block.tokens] > 0
-        return pa.table(
-            {
-                "id": block.ids,
-                "held_out": block.held,
-                "n_tokens": block.counts,
-                "n_known": np.add.reduceat(known.astype(np.int64), block.starts),
-                "base_score": np.add.reduceat(base, block.starts),
-                "score": -np.add.reduceat(block.code, block.starts) / STEPS,
-            }
-        )
+        for batch in batches:
+            for blob in batch.column(0):
+                ids, known, held, counts, tokens, n, *found = unpack(blob.as_py())
+                starts = np.cumsum(counts) - counts
+                place = np.arange(len(tokens)) - np.repeat(starts, counts)
+                single = (n + 1) / (total + vocabulary + 1)
+                code, of_word = quantise(single)[tokens], n[tokens]
+                for k, (at, count, of_context) in enumerate(_contexts(place, of_word, found, learned), 2):
+                    bins, lower = _bin(of_context), code[at]
+                    code[at] += np.where(of_context > 0, quantise(weights[k])[bins], 0)
+                    hit = np.flatnonzero(count)
+                    left, values = weights[k][bins[hit]], value(np.arange(int(lower.max(initial=0)) + 1))
+                    code[at[hit]] = quantise((1 - left) * count[hit] / of_context[hit] + left * values[lower[hit]])
+                columns = {
+                    "id": pa.array(ids.astype(np.int64), pa.int64(), mask=known == 0),
+                    "held_out": held.astype(bool),
+                    "n_tokens": counts,
+                    "n_known": np.add.reduceat((of_word > 0).astype(np.int64), starts),
+                    "base_score": np.add.reduceat(np.log10(single)[tokens], starts),
+                    "score": -np.add.reduceat(code, starts) / STEPS,
+                }
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
     return run
 
@@ -490,19 +591,22 @@ def scores(df: DataFrame, order: int = ORDER, held=None, id_col: str = "doc_id",
     answered = scratch.keep(words.groupBy("key").applyInArrow(_count_words(shards), ROW))
     scratch.drop(cut, "kind=1")
     vocabulary = (answered.where("block < 0").agg(F.sum("n")).first()[0] or 0) + (learned > 0)
-    sizes = (total, vocabulary, learned)
-    known = blocks.unionByName(answered.where("block >= 0"))
-
-    of_order: dict[int, tuple[int, np.ndarray]] = {}
-    for k in range(2, order + 1):
-        shards = 1 + size // (8 * SHARD_TOKENS)
-        # no name holds the requests, so that their shuffle files can go
-        found = scratch.keep(known.groupBy("block").applyInArrow(_ask(k, shards, sizes, dict(of_order), k == order), ROW).groupBy("key").applyInArrow(_count_grams(k, k == order), ROW))
-        weights = np.ones(BINS)
-        for row in found.where("block < 0").groupBy("key").agg(F.sum("n").alias("single"), F.sum("m").alias("total")).collect():
-            weights[row["key"]] = weight_of_lower(row["single"], row["total"])
-        of_order[k] = shards, weights
-        known = known.unionByName(found.where("block >= 0"))
-        df.sparkSession._jvm.System.gc()  # lets go of this order's shuffle files before the next order writes its own
-    rows = known.groupBy("block").applyInArrow(_sum_up(order, sizes, of_order), "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    # a block's words and their answers are one row, which no later step shuffles but the last one
+    numbered = scratch.keep(blocks.unionByName(answered.where("block >= 0")).groupBy("block").applyInArrow(_number_words(learned), ROW))
+    scratch.drop(cut, "kind=0")
+    scratch.drop(answered)
+    clean = df.sparkSession._jvm.System.gc  # lets go of the shuffle files of a step before the next one writes its own
+    clean()
+    shards = 1 + size // (8 * SHARD_TOKENS)
+    # no name holds the requests, so that their shuffle files can go
+    found = scratch.keep(numbered.mapInArrow(_ask(order, shards, learned), ROW).groupBy("key").applyInArrow(_count_grams(order), ROW))
+    clean()
+    counted = scratch.keep(numbered.unionByName(found).groupBy("block").applyInArrow(_collect(order, shards, learned), ROW))
+    scratch.drop(numbered)
+    scratch.drop(found)
+    clean()
+    weights = {k: np.ones(BINS) for k in range(2, order + 1)}
+    for row in counted.where("block < 0").groupBy("kind", "key").agg(F.sum("n").alias("single"), F.sum("m").alias("total")).collect():
+        weights[row["kind"]][row["key"]] = weight_of_lower(row["single"], row["total"])
+    rows = counted.where("kind = 0").select("payload").mapInArrow(_sum_up((total, vocabulary, learned), weights), "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return rows.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -675,6 +675,63 @@ def test_ngram_scores_take_contexts_of_four_words(spark, monkeypatch):
         assert abs(got[i].score - want) <= 0.005 * order * (len(words) - 1), (i, got[i].score, want)
 
 
+def test_ngrams_of_all_orders_are_counted_in_one_pass(spark, monkeypatch):
+    from shelfmark.llm import ngram_lm
+
+    kept, keep = [], ngram_lm.Scratch.keep
+    monkeypatch.setattr(ngram_lm.Scratch, "keep", lambda self, *args, **more: kept.append(1) or keep(self, *args, **more))
+    frame = spark.createDataFrame([(i, "a b c a b d") for i in range(4)], "doc_id long, text string")
+    written = []
+    for order in (2, 5):
+        kept.clear()
+        ngram_lm.scores(frame, order)
+        written.append(len(kept))
+    assert written[0] == written[1]  # a block is read and sent once, not once for each order
+
+
+def test_ngrams_of_frequent_words_are_spread_and_counted_whole(monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from shelfmark.llm import ngram_lm
+
+    order, shards = 5, 4
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 150)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("aaaabbbccd" if i % 3 else "abcdefgh") for _ in range(rng.randint(0, 30))) for i in range(90)]
+    texts += ["only here", "only there x y z", "held alone", "held alone"]
+    held = [i % 5 == 4 or i >= 91 for i in range(len(texts))]
+    batch = lambda a: pa.RecordBatch.from_pydict({"id": pa.array(range(len(texts)))[a], "held": pa.array(held)[a], "text": pa.array(texts)[a], "part": pa.array([a.start] * len(texts))[a]})
+    cut = pa.Table.from_batches([t for a in (slice(0, 40), slice(40, 92), slice(92, 94)) for t in ngram_lm._cut(2)(iter([batch(a)]))])
+    groups = lambda table, column: [((k,), table.filter(pa.compute.equal(table[column], k))) for k in table[column].unique()]
+    blocks, words = (cut.filter(pa.compute.equal(cut["kind"], k)) for k in (0, 1))
+    learned = sum(blocks["m"].to_pylist())
+    numbers = pa.concat_tables([ngram_lm._count_words(2)(k, t) for k, t in groups(words, "key")])
+    both = pa.concat_tables([blocks, numbers.filter(pa.compute.greater_equal(numbers["block"], 0))])
+    numbered = pa.concat_tables([ngram_lm._number_words(learned)(k, t) for k, t in groups(both, "block")])
+    asked = pa.Table.from_batches(list(ngram_lm._ask(order, shards, learned)(iter(numbered.to_batches()))))
+    assert set(asked["kind"].to_pylist()) == {2, 3, 4, 5}  # frequent ones are dealt by more words
+    found = pa.concat_tables([ngram_lm._count_grams(order)(k, t) for k, t in groups(asked, "key")])
+    counted = pa.concat_tables([ngram_lm._collect(order, shards, learned)(k, t) for k, t in groups(pa.concat_tables([numbered, found]), "block")])
+    padded, grams = [["<s>", *t.split(), "</s>"] for t in texts], Counter()
+    for words, h in zip(padded, held):
+        for k in range(2, order + 1):
+            grams.update(() if h else (tuple(words[j - k : j]) for j in range(k, len(words) + 1)))
+    for blob in counted.filter(pa.compute.equal(counted["kind"], 0))["payload"].to_pylist():
+        ids, _, _, sizes, _, _, *totals = ngram_lm.unpack(blob)
+        for k, total in enumerate(totals, 2):
+            want = [grams[tuple(padded[i][j - k : j])] if j >= k else 0 for i in ids for j in range(2, len(padded[i]) + 1)]
+            assert total.tolist() == want and len(want) == sizes.sum()
+    sums = Counter()
+    for row in counted.filter(pa.compute.equal(counted["block"], -1)).to_pylist():
+        sums[row["kind"], "once"] += row["n"]
+        sums[row["kind"], "all"] += row["m"]
+    for k in range(2, order + 1):
+        of_order = [c for g, c in grams.items() if len(g) == k]
+        assert (sums[k, "once"], sums[k, "all"]) == (of_order.count(1), sum(of_order))
+
+
 def test_elias_fano_and_its_trie():
     from shelfmark.llm.elias_fano import EliasFano, Trie
 
