@@ -231,10 +231,20 @@ def _alike(texts: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 def _run(texts: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Equal shingles in a row around the root."""
-    other = (texts != text) | (text == 0)
-    other = np.concatenate([np.ones((len(texts), 1), bool), other, np.ones((len(texts), 1), bool)], axis=1)
-    return other[:, REACH + 1 :].argmax(axis=1) + other[:, REACH + 1 :: -1].argmax(axis=1) - 1
+    """Equal shingles in a row around the root, RUN on each side at most."""
+    near = slice(REACH - RUN + 1, REACH + RUN)
+    other = np.ones((len(texts), 2 * RUN + 1), bool)
+    other[:, 1:-1] = (texts[:, near] != text[near]) | (text[near] == 0)
+    return other[:, RUN:].argmax(axis=1) + other[:, RUN::-1].argmax(axis=1) - 1
+
+
+def _hits(near: np.ndarray, local: np.ndarray, text: np.ndarray) -> Iterator[int]:
+    """The rows among ``near`` that ``text`` repeats, in order; most often the first ones do, so a few are compared at a time."""
+    begin, size = 0, 4
+    while begin < near.size:
+        part = near[begin : begin + size]
+        yield from part[_alike(local[part], text)].tolist()
+        begin, size = begin + size, size * 8
 
 
 def _in_runs(group: np.ndarray, local: np.ndarray) -> np.ndarray:
@@ -277,9 +287,8 @@ def _pair_up(low: np.ndarray, high: np.ndarray, own: np.ndarray, wanted: np.ndar
     for y in np.flatnonzero(wanted).tolist():
         others = mine[: smaller[y]]
         near = others[_run(local[others], local[y]) >= RUN]  # a stretch that repeats has such a run, which has a root
-        hit = near[_alike(local[near], local[y])]
         text = np.flatnonzero(local[y])
-        for x in hit.tolist():
+        for x in _hits(near, local, local[y]):
             source = np.flatnonzero(local[x])
             a, b = int(source[0]), int(text[0])
             found = repeated_spans(local[x][a : source[-1] + 1], local[y][b : text[-1] + 1], [(a - b, 0, int(text[-1]) - b)])

@@ -189,6 +189,18 @@ def test_blocks_of_a_key_meet_each_other(spark, monkeypatch):
     assert got[10].sources == [9] and got[10].n_repeat_words == 60 and all(got[i].n_repeat_words == 0 for i in range(10))
 
 
+def test_a_window_is_compared_until_it_repeats_one(monkeypatch):
+    rows, alike = [], compact_windows._alike
+    monkeypatch.setattr(compact_windows, "_alike", lambda texts, text: rows.append(len(texts)) or alike(texts, text))
+    rng = np.random.default_rng(8)
+    local = np.repeat(rng.integers(1, 1 << 32, (1, 2 * compact_windows.REACH + 1), dtype=np.uint32), 300, axis=0)
+    ids, last = np.arange(300), np.arange(300) == 299
+    local[:7, : compact_windows.REACH - 12] += np.uint32(1)  # these share a run, but no passage
+    local[:7, compact_windows.REACH + 22 :] += np.uint32(1)
+    got = list(compact_windows._pair_up(ids, ids, ids >= 0, last, local))
+    assert {(row, source) for row, source, _, _ in got} == {(299, 7)} and sum(rows) == 4 + 32
+
+
 def test_edited_passages_of_fifty_words_are_never_missed(spark):
     rng = random.Random(13)
     fresh = lambda n: [f"e{rng.randrange(10**9)}" for _ in range(n)]
